@@ -69,8 +69,8 @@ def signature(hashes: Column, rules: Lexicon) -> Column:
 def fingerprint(hashes: Column, sig: Column, rest: Column, rules: Lexicon) -> Column:
     """The signature as hexadecimal digits, dashes for an empty subset; without terms of the lexicon, a hash of all terms."""
     d = rules.digits
-    digits = F.array_join(F.transform(sig, lambda v: F.when(v < 0, "-" * d).otherwise(F.lpad(F.lower(F.hex(v)), d, "0"))), "")
-    return F.when(F.size(hashes) > 0, digits).otherwise(F.concat(F.lit("none:"), F.lower(F.hex(rest))))
+    digits = F.array_join(F.transform(sig, lambda v: F.when(v < 0, "-" * d).otherwise(F.lpad(F.hex(v), d, "0"))), "")
+    return F.when(F.size(hashes) > 0, digits).otherwise(F.concat(F.lit("none:"), F.hex(rest)))
 
 
 def likeness(a: Column, b: Column, rules: Lexicon) -> Column:
@@ -129,7 +129,8 @@ def fingerprints(docs: DataFrame, rules: Lexicon = Lexicon(), id_col: str = "doc
         F.transform("t1", lambda t: F.struct(t.alias("term"), F.lit(2).alias("side"))),
     )
     rest = lambda c: F.xxhash64(F.sort_array(c))
-    rows = cut.select("bucket", "nth", "guest", "doc_id", "n_chars", "sha", rest("t0").alias("rest0"), rest("t1").alias("rest1"), F.explode(marked).alias("m")).select("*", "m.*").drop("m")
+    once_each = cut.select("*", rest("t0").alias("rest0"), rest("t1").alias("rest1"))
+    rows = once_each.select("bucket", "nth", "guest", "doc_id", "n_chars", "sha", "rest0", "rest1", F.explode(marked).alias("m")).select("*", "m.*").drop("m")
     known = rows.join(bounded.select(F.col("term").alias("known")), F.col("term") == F.col("known"), "left").where("known is not null or side = 0")
     side = lambda k: F.sort_array(F.collect_set(F.when(F.col("side") == k, F.col("term"))))
     first = lambda c: F.first(c, ignorenulls=True).alias(c)

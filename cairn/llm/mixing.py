@@ -54,7 +54,7 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         h, m, k = half[todo], mask[todo], key[todo].astype(np.uint64)
         left, right = out[todo] >> h, out[todo] & m
         for turn in range(6):
-            z = (right + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ k
+            z = (right + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)) ^ k
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((z ^ (z >> np.uint64(31))) & m)

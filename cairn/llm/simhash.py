@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, blocks: int = 2, id_col
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     known = stored(member.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return fps.join(known, "fp").select("doc_id", F.lpad(F.translate(F.hex("fp"), "ABCDEF", "abcdef"), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,7 +64,7 @@ def host_edges(pages: DataFrame, html_col: str | None) -> DataFrame:
     edges = ties.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*", F.lit(1).alias("w"))
     if html_col:
         target = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), 1))
-        linked = pages.where(F.col(html_col).contains("//")).select(F.col("host").alias("src"), lower_ascii(target).alias("dst"))
+        linked = pages.where(F.col(html_col).contains("//")).select(F.col("host").alias("src"), target.alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
         edges = edges.union(linked.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("int").alias("w")))
     return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
