@@ -1,4 +1,9 @@
 """Every registered query and its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import metrics_queries, search_queries
+
+MODULES = (metrics_queries, search_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.query.queries.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.query.sql.items()}
