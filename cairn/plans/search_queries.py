@@ -274,7 +274,7 @@ def activation_sql(attention: bool = False) -> str:
 
 def activation_inputs(spark, sf_dir):
     e = graph_edges(spark, sf_dir)
-    both = e.unionByName(e.withColumnsRenamed({"src": "dst", "dst": "src"}).select(e.columns))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "weight", "evidence", "last_used"))
     # every tenth part is a seed of the walk, as a query's hits would be
     seeds = load(spark, sf_dir, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("node_id"), (F.col("p_size").cast("double") / 50).alias("score"))
     return seeds, both
