@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, dot, edge_decay, hebbian, jaccard
-from .graph import checkpointed
+from ..sources.scratch import stored
 
 
 def coactivated(edges: DataFrame, pairs: DataFrame, eta: float = 0.02, mu: float = 0.01) -> DataFrame:
@@ -28,14 +28,14 @@ def decayed(edges: DataFrame, as_of: str, rate: float, least: float, evidence: i
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges(a, b) → (node, root): the least node reachable, by repeated minima over neighbours and their roots."""
-    links = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    links = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     last = None
     for _ in range(rounds):
         near = links.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
         jump = low.join(low.toDF("n2", "r2"), F.col("root") == F.col("n2")).select("node", F.col("r2").alias("root"))
-        label = checkpointed(jump)
+        label = stored(jump)
         now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == last:
             break
