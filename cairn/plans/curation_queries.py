@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import rewards as RW
 from ..functions import scalars as S
 from ..operators import curate as C
-from ..operators import learn as L
 from ..sources import files
 from ..sources.scratch import fresh_path
 from ..sources.tables import load
