@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 
-__all__ = ["SPACES", "WORD", "WORD_RE", "chunks", "crc32_mod", "read", "stored"]
+__all__ = ["SPACES", "WORD", "WORD_RE", "Numbering", "chunks", "crc32_mod", "read", "stored"]
 
 #: A word is a run of anything but ASCII white space; bytes.split() on UTF-8 cuts in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,14 @@ WORD_RE = re.compile(WORD)
 SPACES = " \t\n\x0b\x0c\r"
 
 
+class Numbering(dict):
+    """key → its number, in order of first sight; looking a key up numbers it."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc32_mod
+from .common import Numbering, chunks, crc32_mod
 
 PARTS = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.DOTALL)
 
@@ -60,23 +60,18 @@ class Reader:
 
     def __init__(self, net: Net, most: int = 400_000) -> None:
         self.net, self.most = net, most
-        self.codes: dict[bytes, int] = {}
+        self.codes = Numbering()
         self.table = np.zeros((0, 2), np.int32)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """([words, 2] rows, number of words of each text)"""
         if len(self.codes) > self.most:
-            self.codes, self.table = {}, np.zeros((0, 2), np.int32)
-        codes, fresh = self.codes, []
+            self.codes, self.table = Numbering(), np.zeros((0, 2), np.int32)
+        codes, known = self.codes, len(self.codes)
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        for ws in split:
-            for w in set(ws):
-                if w not in codes:
-                    codes[w] = len(codes)
-                    fresh.append(tokens(w, self.net))
-        if fresh:
-            self.table = np.concatenate([self.table, np.array(fresh, np.int32)])
         words = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(codes) > known:
+            self.table = np.concatenate([self.table, np.array([tokens(w, self.net) for w in islice(codes, known, None)], np.int32)])
         return self.table[words], np.fromiter(map(len, split), np.int64, len(split))
 
 
