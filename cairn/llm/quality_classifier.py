@@ -8,7 +8,6 @@ own, and rows are summed in Spark. A document is pooled over its tokens, over it
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, islice
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Numbering, chunks, crc32_mod
 
-PARTS = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.DOTALL)
+PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 @dataclass(frozen=True)
@@ -47,31 +46,35 @@ class Net:
         return self.cores + self.shapes
 
 
-def tokens(word: bytes, net: Net) -> tuple[int, int]:
-    """The rows of a word's core and shape."""
-    front, core, back = PARTS.match(word).groups()
-    case = b"A" if core.isupper() and len(core) > 1 else b"T" if core[:1].isupper() else b"d" if core.isdigit() else b"a"
-    shape = front[:3] + case + back[:3]
-    return xxhash.xxh32_intdigest(core.lower()) % net.cores, net.cores + xxhash.xxh32_intdigest(shape) % net.shapes
+def tokens(word: bytes, net: Net, shapes: dict[bytes, int]) -> tuple[int, int]:
+    """The rows of a word's core and shape. shapes: the rows of shapes so far."""
+    core = word.strip(PUNCTUATION)
+    at = word.find(core) if core else len(word)
+    case = b"a" if core.islower() else b"A" if core.isupper() and len(core) > 1 else b"T" if core[:1].isupper() else b"d" if core.isdigit() else b"a"
+    shape = word[: min(at, 3)] + case + word[at + len(core) :][:3]
+    row = shapes.get(shape)
+    if row is None:
+        row = shapes[shape] = net.cores + xxhash.xxh32_intdigest(shape) % net.shapes
+    return xxhash.xxh32_intdigest(core.lower()) % net.cores, row
 
 
 class Reader:
     """Rows of the words of texts; each distinct word is looked at once as long as the table holds it."""
 
     def __init__(self, net: Net, most: int = 400_000) -> None:
-        self.net, self.most = net, most
+        self.net, self.most, self.shapes = net, most, {}
         self.codes = Numbering()
         self.table = np.zeros((0, 2), np.int32)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """([words, 2] rows, number of words of each text)"""
         if len(self.codes) > self.most:
-            self.codes, self.table = Numbering(), np.zeros((0, 2), np.int32)
+            self.codes, self.shapes, self.table = Numbering(), {}, np.zeros((0, 2), np.int32)
         codes, known = self.codes, len(self.codes)
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         words = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64)
         if len(codes) > known:
-            self.table = np.concatenate([self.table, np.array([tokens(w, self.net) for w in islice(codes, known, None)], np.int32)])
+            self.table = np.concatenate([self.table, np.array([tokens(w, self.net, self.shapes) for w in islice(codes, known, None)], np.int32)])
         return self.table[words], np.fromiter(map(len, split), np.int64, len(split))
 
 
@@ -111,12 +114,13 @@ def pooled(rows: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, net: Net) -
     if not len(rows):
         return out
     doc, full = np.repeat(np.arange(n), sizes), np.flatnonzero(sizes)
-    start = (np.cumsum(sizes) - sizes)[full]
-    out[full, :d] = np.add.reduceat(vectors[rows[:, 0]], start, axis=0) / sizes[full, None]
-    code = np.unique(doc * net.cores + rows[:, 0])
+    code, times = np.unique(doc * net.cores + rows[:, 0], return_counts=True)
     of, distinct = code // net.cores, np.bincount(code // net.cores, minlength=n)
     begin = np.searchsorted(of, full)
-    out[full, d : 2 * d] = np.add.reduceat(vectors[code % net.cores], begin, axis=0) / distinct[full, None]
+    own = vectors[code % net.cores]  # of each distinct core of a text
+    out[full, d : 2 * d] = np.add.reduceat(own, begin, axis=0) / distinct[full, None]
+    own *= times[:, None].astype(np.float32)
+    out[full, :d] = np.add.reduceat(own, begin, axis=0) / sizes[full, None]
     shapes = np.bincount(doc * net.shapes + rows[:, 1] - net.cores, minlength=n * net.shapes).reshape(n, net.shapes)
     out[:, 2 * d : 3 * d] = (shapes / np.maximum(sizes, 1)[:, None]) @ vectors[net.cores :]
     again = np.bincount(doc[1:], (rows[1:, 0] == rows[:-1, 0]) & (doc[1:] == doc[:-1]), n)
