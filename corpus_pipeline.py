@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import read, stored
 from cairn.llm.mixing import mixed_documents
+from cairn.llm.near_copies import one_of_near_copies
 from cairn.llm.piece_codec import encode_pieces
 from cairn.llm.repetition import kept_documents
 from cairn.llm.secret_scan import redact_secrets
-from cairn.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return one_of_each(docs)
+    """Of each group of texts that link at a similarity of 0.8 in runs of five words the document with the smallest id stays."""
+    return one_of_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
