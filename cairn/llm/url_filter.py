@@ -69,23 +69,32 @@ def host_edges(pages: DataFrame, html_col: str | None) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """edges(kind, src, dst, w), seeds(kind, host, mass) → (kind, host, rank): a personalised PageRank for each kind.
 
-    rank = (1 - damping) * seed share + damping * what comes in; a host passes on its rank in proportion to w.
+    rank = (1 - damping) * seed share + damping * what comes in; a host passes on its rank in proportion to w. Without
+    `rounds` it goes on until the ranks change by at most `tolerance`, both summed and as a part of each host's own rank;
+    a host that is reached for the first time changes by all of its rank, so that every host within reach gets one.
     """
     share = stored(seeds.join(seeds.groupBy("kind").agg(F.sum("mass").alias("all")), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")))
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     parts = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("part")))
-    rank = share.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = rank.join(parts, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("x"))
-        fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"))
-        rank = stored(moved.unionByName(fresh).groupBy("kind", "host").agg(F.sum("x").alias("rank")))
+    rank, turn = share.select("kind", "host", F.col("seed").alias("rank")), 0
+    while rounds is None or turn < rounds:
+        moved = rank.join(parts, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("x"), F.lit(0.0).alias("old"))
+        fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"), F.lit(0.0).alias("old"))
+        before = rank.select("kind", "host", F.lit(0.0).alias("x"), F.col("rank").alias("old"))
+        found = stored(moved.unionByName(fresh).unionByName(before).groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
+        rank, turn = found.select("kind", "host", "rank"), turn + 1
+        if rounds is None:
+            change = F.abs(F.col("rank") - F.col("old"))
+            summed, largest = found.agg(F.sum(change), F.max(F.when(change > 0, change / F.greatest("rank", "old")))).first()
+            if (summed or 0.0) <= tolerance and (largest or 0.0) <= tolerance:
+                break
     return rank
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, least_trust: float = 0.5, rounds: int = 12, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, least_trust: float = 0.5, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, trust.
 
     trust: the host's trust / (trust + distrust), null where neither reaches it. Without a rule, a host whose trust is
