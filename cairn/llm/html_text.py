@@ -18,8 +18,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea meta link base param source track area dialog".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul caption tr td th thead tbody tfoot".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area dialog".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul caption tr td th thead tbody tfoot option optgroup".split())
 #: Blocks with an empty line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt listing main menu nav ol p plaintext pre search section summary table ul".split())
@@ -38,6 +38,10 @@ ENDS = {
     "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
 SCOPE = frozenset("table td th caption html body template".split())
+#: tag → tags within it that are not drawn
+UNDRAWN = {"svg": frozenset("title desc defs metadata symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
+#: An attribute that no page can have: the element has lines of its own.
+LINE = "\0line"
 TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption".split())
 
 
@@ -115,12 +119,20 @@ def tree(source: str) -> Node:
             close(*ENDS[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
-        push(tag, attributes(found[3]) if found[3].strip(" /\n\t") else {})
-        if tag in RAW:
+        attrs = attributes(found[3]) if found[3].strip(" /\n\t") else {}
+        foreign = tag if tag in UNDRAWN else next((s.tag for s in reversed(stack) if s.tag in UNDRAWN), "")
+        if foreign and tag in UNDRAWN[foreign]:
+            attrs["hidden"] = ""
+        elif foreign == "svg" and tag == "text":
+            attrs[LINE] = ""
+        push(tag, attrs)
+        if foreign and found[3].endswith("/"):
+            stack.pop()
+        elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             raw = source[at : end.start() if end else n]
             if raw:
-                stack[-1].children.append(raw)
+                stack[-1].children.append(html.unescape(re.sub(r"\A\r?\n", "", raw)) if tag == "textarea" else raw)
             stack.pop()
             at = end.end() if end else n
     return root
@@ -212,7 +224,7 @@ def rendered(source: str | None) -> str:
             if tag == "br":
                 flow.line(keep=True)
                 continue
-            if tag in BLOCKS and tag not in TABLE_PARTS:
+            if LINE in node.attrs or tag in BLOCKS and tag not in TABLE_PARTS:
                 flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu"):
                 start = node.attrs.get("start", "1")
@@ -237,8 +249,11 @@ def rendered(source: str | None) -> str:
                 flows.append(Flow())
             elif tag == "q":
                 flow.text('"', False)
+            elif tag == "optgroup" and node.attrs.get("label"):
+                flow.text(node.attrs["label"], False)
+                flow.block(False)
             todo.append((node, True, pre))
-            inside = pre or tag in ("pre", "listing", "plaintext", "xmp")
+            inside = pre or tag in ("pre", "listing", "plaintext", "xmp", "textarea")
             todo += [(c, False, inside) for c in reversed(node.children)]
             continue
         if tag in ("td", "th", "caption"):
@@ -268,7 +283,7 @@ def rendered(source: str | None) -> str:
             flow.indents.pop()
         elif tag == "q":
             flow.text('"', False)
-        if tag in BLOCKS and tag not in TABLE_PARTS:
+        if LINE in node.attrs or tag in BLOCKS and tag not in TABLE_PARTS:
             flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
     return "\n".join(flows[0].done())
 
