@@ -2,8 +2,8 @@
 
 Candidates share a band of minimum hashes: of pairs at similarity s, 1 - (1 - s^7)^32 are expected to share one of the 32
 bands, 0.9994 at s = 0.8 and more above. Each pair that links is then confirmed on the whole sets. A bucket's texts are
-first held against its least one, and only those that are still in different components against one another, so that a
-large group of near copies costs about its size and not its square.
+first held against its least one, and only those that are still in different components against one another: a large
+group that links to its least text costs about its size, one that does not up to its square.
 """
 
 from __future__ import annotations
