@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import attention_lm, graph, html_text, imatch, mixing, piece_codec, quality_classifier, repetition, secret_scan, simhash, url_filter
+from cairn.llm import graph, html_text, imatch, mixing, piece_codec, quality_classifier, repetition, secret_scan, simhash, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
@@ -21,69 +21,6 @@ def texts_of(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
-# --- 1
-
-
-def brute_base(rows):
-    train = [t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
-    c = Counter(w for t in train for w in WORD.findall(lower(t)))
-    n, v, ends = sum(c.values()) + len(train), len(c) + (len(train) > 0), len(train)
-    p = lambda k: math.log10((k + 0.5) / (n + 0.5 * (v + 1)))
-    out = []
-    for i, t in rows:
-        w = WORD.findall(lower(t))
-        out.append((i, zlib.crc32(str("" if i is None else i).encode()) % 5 == 1, len(w) + 1, sum(c[x] > 0 for x in w) + (ends > 0), n, round(sum(p(c[x]) for x in w) + p(ends), 4)))
-    return out
-
-
-SMALL = attention_lm.Shape(classes=60, rounds=1, least_windows=500, lexicon=5000)
-
-
-@pytest.mark.parametrize("which", ["docs", "odd_docs"])
-def test_lm_scoring(request, which):
-    df = request.getfixturevalue(which)
-    got = attention_lm.score_documents(df, SMALL).collect()
-    key = lambda x: repr(x)
-    assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got], key=key) == sorted(brute_base(texts_of(df)), key=key)
-    assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
-
-
-def test_lm_scores_beat_uniform_and_sum_to_one():
-    """Probabilities of all next classes sum to one, and training lowers the loss."""
-    rng = np.random.default_rng(0)
-    begins = np.array([True] * 6 + [False] * 6)
-    first, pairs = np.array([5.0] * 6 + [0] * 6), np.array([(a, b, 3) for a in range(6) for b in range(6, 12)] + [(b, -1, 4) for b in range(6, 12)])
-    s = attention_lm.Shape(classes=8, group=4, half=4, width=8)
-    c = attention_lm.classes(first, pairs, begins, 10, s)
-    w = attention_lm.fresh_weights(c, s)
-    total = 0.0
-    for k in range(c.n):
-        lp, _ = attention_lm.log_probabilities(c, w, np.array([0, k]), np.array([2]), s.half)
-        total += math.exp(lp[1])
-    assert total == pytest.approx(1, abs=1e-4)
-    runs = [np.tile(rng.integers(0, 3, 2), 6) for _ in range(300)]
-    loss = lambda w: -np.mean(attention_lm.log_probabilities(c, w, np.concatenate(runs), np.cumsum([len(r) for r in runs]), s.half)[0])
-    assert loss(attention_lm.trained(c, w, runs, s, 1)) < loss(w)
-
-
-def test_lm_gradients():
-    rng = np.random.default_rng(1)
-    s = attention_lm.Shape(classes=8, group=4, half=3, width=4)
-    c = attention_lm.classes(np.array([3.0, 2, 0, 0]), np.array([(0, 2, 2), (1, 3, 1), (2, -1, 2), (3, -1, 1)]), np.array([True, True, False, False]), 3, s)
-    w = {k: v.astype(np.float64) for k, v in attention_lm.fresh_weights(c, s).items()}
-    ids, ends = rng.integers(0, c.n, 11), np.array([5, 11])
-    x, there, target = attention_lm.windows(ids, ends, c.n, s.half)
-    y = np.where(target >= 0, ids[target], -1)
-    _, g = attention_lm.gradients(c, w, x, there, y, s.half)
-    for k in w:
-        at = tuple(rng.integers(0, n) for n in w[k].shape)
-        up, down = ({**w, k: w[k].copy()} for _ in range(2))
-        up[k][at] += 1e-3
-        down[k][at] -= 1e-3
-        slope = (attention_lm.gradients(c, up, x, there, y, s.half)[0] - attention_lm.gradients(c, down, x, there, y, s.half)[0]) / 2e-3
-        assert g[k][at] == pytest.approx(slope, abs=2e-3), k
-
-
 # --- 2
 
 
