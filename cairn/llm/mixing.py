@@ -1,9 +1,12 @@
 """Mixing sources to target weights.
 
 Each source's words are packed, document after document in a pseudorandom order, into blocks of fixed length. Output
-slots come in shards; a shard draws how many of its slots each source gets. A source numbers its slots over all shards,
-and each pass over its blocks is a pseudorandom permutation: slot number → block number. Blocks and slots meet by block
-number in an equi-join. Sources are a dimension and reach the driver as one row each; documents, blocks and slots do not.
+slots come in shards; a shard draws how many of its slots each source gets: multinomial counts, given that all shards
+together meet the sources' targets. Such a draw is made by halving: of the slots of a range of shards its first half gets
+a random part without replacement, and so on down to single shards, which also tells a shard how many slots of each
+source lie before it. A source numbers its slots over all shards, and each pass over its blocks is a pseudorandom
+permutation: slot number → block number. Blocks and slots meet by block number in an equi-join. Sources are a dimension
+and reach the driver as one row each; documents, blocks and slots do not.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .common import WORD, stored
 
 @dataclass(frozen=True)
 class MixPlan:
-    """weights: given to the sources in code point order, null last, repeating; block: words in a block; shard: slots in a shard."""
+    """weights: given to the sources in code point order, null last, repeating; block: words in a block; shard: slots in a shard; bucket: documents summed up together on the way to their places; max_sources: beyond it the mix raises an error, as sources are broadcast."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most_passes: int = 3
@@ -29,7 +32,7 @@ class MixPlan:
     shard: int = 4096
     bucket: int = 2000
     seed: int = 17
-    max_sources: int = 1_000_000
+    max_sources: int = 100_000
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, most: float) -> np.ndarray:
@@ -63,6 +66,39 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def without_replacement(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among n drawn at random from counts. From a thousand million on, where the generator ends, a kind's number is its normal approximation."""
+    out, left = np.zeros(len(counts), np.int64), int(counts.sum())
+    for k in np.flatnonzero(counts):
+        if not n:
+            break
+        c = int(counts[k])
+        rest = left - c
+        if left < 10**9:
+            x = int(rng.hypergeometric(c, rest, n))
+        else:
+            spread = (n / left * c / left * rest * (left - n) / max(1, left - 1)) ** 0.5
+            x = min(c, n, max(0, n - rest, round(n / left * c + spread * rng.standard_normal())))
+        out[k], n, left = x, n - x, rest
+    return out
+
+
+def draws(slots: np.ndarray, per_shard: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each shard of [first, last): (shard, slots of each source in it, slots of each source in the shards before)."""
+    n_shards = -(-int(slots.sum()) // per_shard)
+    todo = [(0, n_shards, slots, np.zeros_like(slots))]
+    while todo:
+        low, high, counts, before = todo.pop()
+        if low >= min(last, high) or high <= first:
+            continue
+        if high - low == 1:
+            yield low, counts, before
+            continue
+        middle = (low + high) // 2
+        left = without_replacement(np.random.default_rng([seed, low, high]), counts, (middle - low) * per_shard)
+        todo += [(middle, high, counts - left, before + left), (low, middle, left, before)]
+
+
 @dataclass
 class Mix:
     """sized: a row for each document with its place in its source's words; slots: (sid, shard, pass, block), a row for each slot; sources: one row each."""
@@ -118,25 +154,23 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     mixed = F.xxhash64("doc_id", F.lit(plan.seed))
     placed = rows.join(F.broadcast(sources.select("sid", F.col("source").alias("_s"), "n_buckets")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("h", F.shiftrightunsigned(mixed, 33)).withColumn("bucket", F.shiftright(F.col("h") * F.col("n_buckets"), 31))
-    before = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("base", F.sum("words").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("words")).drop("words")
+    # prefix sums in two steps, so that no window holds all buckets of a source
+    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("thousand", F.floor(F.col("bucket") / 1000))
+    ahead = lambda *by: F.sum("words").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("words")
+    tops = sums.groupBy("sid", "thousand").agg(F.sum("words").alias("words")).select("sid", "thousand", ahead("sid", "thousand").alias("top"))
+    before = sums.withColumn("base", ahead("sid", "thousand", "bucket")).join(tops, ["sid", "thousand"]).select("sid", "bucket", (F.col("base") + F.col("top")).alias("base"))
     inner = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
     placed = placed.withColumns({"nth": F.row_number().over(inner), "inside": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     sized = stored(placed.join(before, ["sid", "bucket"]).select("sid", "bucket", "nth", "doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("at")))
 
-    share = np.array(slots, float)
-    total = int(share.sum())
-    part = share / total if total else share
-    n_shards, per_shard, seed = -(-total // plan.shard), plan.shard, plan.seed
+    wanted, per_shard, seed = np.array(slots, np.int64), plan.shard, plan.seed
+    n_shards = -(-int(wanted.sum()) // per_shard)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                n = min(per_shard, total - int(shard) * per_shard)
-                sure = np.floor(n * part + 1e-9).astype(np.int64)
-                rest = np.maximum(0, n * part - sure)
-                if left := n - int(sure.sum()):
-                    sure = sure + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
-                yield pd.DataFrame({"shard": shard, "sid": np.arange(len(sure), dtype=np.int32), "n": sure})[sure > 0]
+            if len(batch):
+                for shard, n, base in draws(wanted, per_shard, int(batch["id"].min()), int(batch["id"].max()) + 1, seed):
+                    yield pd.DataFrame({"shard": shard, "sid": np.arange(len(n), dtype=np.int32), "n": n, "base": base})[n > 0]
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,11 +183,10 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
                 turn, sid = number // size, b["sid"].to_numpy()[row]
                 out = pd.DataFrame({"sid": sid, "shard": b["shard"].to_numpy()[row], "slot": step, "pass": turn})
                 out["block"] = permuted(number % size, size, (sid.astype(np.int64) * 1_000_003 + turn) * 7919 + seed)
-                yield out[turn < most]
+                yield out
 
-    most = plan.most_passes
-    drawn = stored(spark.range(0, n_shards, 1, max(1, min(n_shards // 8, 10_000))).mapInPandas(draw, "shard long, sid int, n long"))
-    drawn = drawn.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")).join(F.broadcast(sources.select("sid", "n_blocks")), "sid")
+    drawn = stored(spark.range(0, n_shards, 1, max(1, min(n_shards // 8, 10_000))).mapInPandas(draw, "shard long, sid int, n long, base long"))
+    drawn = drawn.join(F.broadcast(sources.select("sid", "n_blocks")), "sid")
     filled = drawn.select("shard", "sid", "n", "base", "n_blocks").mapInPandas(fill, "sid int, shard long, slot long, pass long, block long")
     return Mix(sized, filled, sources, plan)
 

@@ -342,6 +342,33 @@ def test_mix_fragments_add_up(docs):
     assert {r.doc_id: r.taken for r in mix.taken().collect() if r.taken} == words
 
 
+def test_shard_draws():
+    """Each shard is full, ranges agree, totals are met, and counts spread as multinomial ones do."""
+    slots = np.array([0, 50_000, 30_000, 3, 11_111])
+    every = list(mixing.draws(slots, 100, 0, 10**6, 7))
+    counts, before = np.array([c for _, c, _ in every]), np.array([b for _, _, b in every])
+    assert [k for k, _, _ in every] == list(range(-(-slots.sum() // 100)))
+    assert (counts.sum(axis=0) == slots).all() and (counts.sum(axis=1)[:-1] == 100).all() and (before == np.cumsum(counts, axis=0) - counts).all()
+    assert [tuple(c) for _, c, _ in mixing.draws(slots, 100, 300, 400, 7)] == list(map(tuple, counts[300:400]))
+    p = slots / slots.sum()
+    assert counts[:-1].var(axis=0)[[1, 2, 4]] == pytest.approx(100 * (p * (1 - p))[[1, 2, 4]], rel=0.25)
+    big = np.array([3 * 10**9, 10**9])
+    rng = np.random.default_rng(1)
+    parts = np.array([mixing.without_replacement(rng, big, 4000) for _ in range(500)])
+    assert (parts.sum(axis=1) == 4000).all() and parts[:, 0].mean() == pytest.approx(3000, abs=10) and parts[:, 0].std() == pytest.approx(27.4, rel=0.2)
+
+
+def test_mix_meets_targets(spark, docs):
+    """Each source of some size is within 5 % of its target, however many buckets hold it."""
+    for plan in (mixing.MixPlan(), mixing.MixPlan(bucket=2, shard=64)):
+        got = mixing.mix_sources(docs, plan).taken().collect()
+        taken, target = defaultdict(int), {}
+        for r in got:
+            taken[r.source_size] += r.taken
+            target[r.source_size] = r.target
+        assert all(taken[s] == pytest.approx(t, rel=0.05, abs=400) for s, t in target.items())
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 64, 1000):
         x = np.arange(n)
