@@ -23,5 +23,5 @@ def fresh_path(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
