@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """use(value), value being computed once however often it is used; inside a lambda it would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -84,7 +89,8 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct runs of n tokens, joined by spaces; none if there are fewer."""
-    return F.when(F.size(tokens) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    return once(tokens, runs)
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_personal_data, shingles, words
+from ..sources.scratch import stored
 
 
 def gated(df: DataFrame, before: Sequence[tuple[str, Column]], key: Column, order: Sequence[Column], after: Sequence[tuple[str, Column]]) -> DataFrame:
     """df with exclude_reason: the first gate of `before` that is true, else duplicate for rows whose key stands earlier among those that passed, else the first gate of `after`; null for rows that stay."""
     early = F.coalesce(*(F.when(c, F.lit(n)) for n, c in before), F.lit(None).cast("string"))
     late = F.coalesce(*(F.when(c, F.lit(n)) for n, c in after), F.lit(None).cast("string"))
-    out = df.withColumn("_early", early).withColumn("_key", key)
+    out = df.select("*", early.alias("_early"), key.alias("_key"), late.alias("_late"))  # before the shuffle, so that a caller that keeps few columns shuffles those only
     nth = F.row_number().over(Window.partitionBy("_key", F.col("_early").isNull()).orderBy(*order))
     duplicate = F.when(F.col("_early").isNull() & (nth > 1), F.lit("duplicate"))
-    return out.withColumn("_dup", duplicate).withColumn("exclude_reason", F.coalesce("_early", "_dup", late)).drop("_early", "_dup", "_key")
+    return out.withColumn("_dup", duplicate).withColumn("exclude_reason", F.coalesce("_early", "_dup", "_late")).drop("_early", "_dup", "_key", "_late")
 
 
 def keep_first(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
@@ -77,10 +78,16 @@ def preference_pairs(df: DataFrame, bucket: Sequence[str], reward: str, id_col:
     return pairs.withColumn("_n", n).where(F.col("_n") <= most).select(*bucket, "chosen", "rejected", F.round(F.col("ra") - F.col("rb"), 6).alias("delta"))
 
 
-def leak_scores(docs: DataFrame, evals: DataFrame, n: int = 3, id_col: str = "doc_id", eval_id: str = "item_id") -> DataFrame:
-    """(doc_id, containment): the largest share of an eval text's distinct n-word runs that stand in the document. Both meet by run; only pairs that share one arise."""
-    of = lambda df, key: df.select(key, F.explode(shingles(words(F.col("text")), n)).alias("s"))
-    items = of(evals, eval_id)
+def leak_scores(docs: DataFrame, evals: DataFrame, n: int = 3, id_col: str = "doc_id", eval_id: str = "item_id", most_broadcast: int = 2_000_000) -> DataFrame:
+    """(doc_id, containment): the largest share of an eval text's distinct n-word runs that stand in the document.
+
+    Both meet by the run's XXH64; only pairs that share one arise. Runs of the eval texts are broadcast if there are
+    `most_broadcast` at most, so that the documents' other runs end where they begin; else they are joined by shuffle.
+    """
+    of = lambda df, key: df.select(key, F.explode(F.transform(shingles(words(F.col("text")), n), lambda s: F.xxhash64(s))).alias("s"))
+    items = stored(of(evals, eval_id))
+    if items.count() <= most_broadcast:
+        items = F.broadcast(items)
     sizes = items.groupBy(eval_id).agg(F.count("*").alias("size"))
     hits = of(docs, id_col).join(items, "s").groupBy(id_col, eval_id).agg(F.count("*").alias("hits")).join(sizes, eval_id)
     return hits.groupBy(id_col).agg(F.max(F.col("hits") / F.col("size")).alias("containment"))

@@ -26,12 +26,12 @@ def decayed(edges: DataFrame, as_of: str, rate: float, least: float, evidence: i
     return out.where((F.col("weight") > 0) & ~((F.col("weight") < least) & (F.col("evidence") < evidence) & ~pinned))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges(a, b) → (node, root): the least node reachable, by repeated minima over neighbours and their roots."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) → (node, root): the least node reachable, by repeated minima over neighbours and their roots until none changes."""
     links = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     last = None
-    for _ in range(rounds):
+    while True:
         near = links.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
         jump = low.join(low.toDF("n2", "r2"), F.col("root") == F.col("n2")).select("node", F.col("r2").alias("root"))
