@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs → (node, root), for every node with an edge; root is the smallest node reachable.
 
-    Each round replaces edges by at most as many edges to nearer roots; stars remain at the end. The work of a round
-    is two shuffles of the edges, its result is written to the shared folder, and only two sums reach the driver.
+    Each round replaces edges by at most as many edges to nearer roots, until none changes and stars remain; a chain
+    takes about as many rounds as the logarithm of its length. The work of a round is two shuffles of the edges, its
+    result is written to the shared folder, and only two sums reach the driver.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, last = stored(edges), None
-    for _ in range(max_rounds):
+    while True:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last or not seen[0]:
             break

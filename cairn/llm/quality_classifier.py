@@ -1,9 +1,12 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network in numpy, calibrated by a temperature.
 
-A word is two tokens: its core (lower-cased, without punctuation at the ends), hashed to one of `cores` rows, and its
-shape (case and the punctuation around the core), hashed to one of `shapes`. A row's vector is the sum, over the whole
-corpus, of the sparse random index vectors of the tokens near it. These tables are of fixed size; tasks add up their
-own, and rows are summed in Spark. A document is pooled over its tokens, over its distinct cores, and over its shapes.
+A word is two tokens: its core (lower-cased, without punctuation at the ends) and its shape (case and the punctuation
+around the core). A core's sparse random index vector follows from its hash, so that any number of words has one of its
+own and no table holds them. A context vector is the sum, over the whole corpus, of the index vectors of the cores near
+a core. Cores of the lexicon, the most frequent of the labelled texts, have a context vector each; all others have their
+own index vector, and share context vectors by hash: `others` rows, whose meaning blurs as the vocabulary grows. Shapes
+are few and are hashed to `shapes` rows. Tasks add up their own context vectors, and rows are summed in Spark. A document
+is pooled over its cores, over its distinct cores, and over its shapes.
 """
 
 from __future__ import annotations
@@ -15,19 +18,20 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, chunks, crc32_mod
+from .common import Numbering, chunks, crc32_mod, stored
 
 PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 @dataclass(frozen=True)
 class Net:
-    """most_labels: labelled rows that the network learns from, the first by a hash of their id; least: score from which a document is predicted good."""
+    """lexicon: cores with a context vector of their own; most_labels: labelled documents that lexicon and network learn from, the first by a hash of their id; least: score from which a document is predicted good."""
 
-    cores: int = 4096
+    lexicon: int = 16_384
+    others: int = 4096
     shapes: int = 256
     width: int = 64
     nonzero: int = 4
@@ -41,89 +45,113 @@ class Net:
     least: float = 0.7
     seed: int = 11
 
+    @property
+    def cores(self) -> int:
+        return self.lexicon + self.others
+
     @property
     def rows(self) -> int:
         return self.cores + self.shapes
 
 
-def tokens(word: bytes, net: Net, shapes: dict[bytes, int]) -> tuple[int, int]:
-    """The rows of a word's core and shape. shapes: the rows of shapes so far."""
+def tokens(word: bytes) -> tuple[int, bytes]:
+    """The hash of a word's core, and its shape."""
     core = word.strip(PUNCTUATION)
     at = word.find(core) if core else len(word)
     case = b"a" if core.islower() else b"A" if core.isupper() and len(core) > 1 else b"T" if core[:1].isupper() else b"d" if core.isdigit() else b"a"
-    shape = word[: min(at, 3)] + case + word[at + len(core) :][:3]
-    row = shapes.get(shape)
-    if row is None:
-        row = shapes[shape] = net.cores + xxhash.xxh32_intdigest(shape) % net.shapes
-    return xxhash.xxh32_intdigest(core.lower()) % net.cores, row
+    return xxhash.xxh64_intdigest(core.lower()), word[: min(at, 3)] + case + word[at + len(core) :][:3]
 
 
 class Reader:
-    """Rows of the words of texts; each distinct word is looked at once as long as the table holds it."""
+    """Words of texts; each distinct word is looked at once as long as the table holds it. core, shape: rows by word; hash: of its core."""
+
+    def __init__(self, net: Net, lexicon: np.ndarray, most: int = 400_000) -> None:
+        """lexicon: hashes of cores, sorted."""
+        self.net, self.lexicon, self.most = net, lexicon, most
+        self.clear()
 
-    def __init__(self, net: Net, most: int = 400_000) -> None:
-        self.net, self.most, self.shapes = net, most, {}
-        self.codes = Numbering()
-        self.table = np.zeros((0, 2), np.int32)
+    def clear(self) -> None:
+        self.codes, self.shapes = Numbering(), {}
+        self.core, self.shape, self.hash = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """([words, 2] rows, number of words of each text)"""
+        """(number of each word in the table, number of words of each text); numbers hold until the next call."""
         if len(self.codes) > self.most:
-            self.codes, self.shapes, self.table = Numbering(), {}, np.zeros((0, 2), np.int32)
-        codes, known = self.codes, len(self.codes)
+            self.clear()
+        codes, known, net = self.codes, len(self.codes), self.net
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         words = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64)
         if len(codes) > known:
-            self.table = np.concatenate([self.table, np.array([tokens(w, self.net, self.shapes) for w in islice(codes, known, None)], np.int32)])
-        return self.table[words], np.fromiter(map(len, split), np.int64, len(split))
+            hashes, shapes = zip(*map(tokens, islice(codes, known, None)), strict=True)
+            for x in set(shapes) - self.shapes.keys():
+                self.shapes[x] = net.cores + xxhash.xxh32_intdigest(x) % net.shapes
+            h = np.array(hashes, np.uint64)
+            row = (net.lexicon + h % np.uint64(net.others)).astype(np.int32)
+            if len(self.lexicon):
+                at = np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)
+                row = np.where(self.lexicon[at] == h, at, row).astype(np.int32)
+            self.core, self.hash = np.append(self.core, row), np.append(self.hash, h)
+            self.shape = np.append(self.shape, np.fromiter(map(self.shapes.__getitem__, shapes), np.int32, len(shapes)))
+        return words, np.fromiter(map(len, split), np.int64, len(split))
+
+
+def index_vectors(hashes: np.ndarray, net: Net) -> tuple[np.ndarray, np.ndarray]:
+    """([n, nonzero] places, signs) of sparse random index vectors: one place in each of `nonzero` equal parts of the width, taken from the hash."""
+    h = hashes.astype(np.uint64)[:, None] ^ np.uint64(net.seed * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    k, part = np.arange(net.nonzero, dtype=np.uint64), net.width // net.nonzero
+    places = (h >> (np.uint64(8) * k + np.uint64(8)) & np.uint64(255)) % np.uint64(part) + k * np.uint64(part)
+    return places.astype(np.int64), np.where(h >> (k + np.uint64(44)) & np.uint64(1), 1.0, -1.0)
+
+
+def context_table(words: np.ndarray, sizes: np.ndarray, reader: Reader, net: Net, out: np.ndarray) -> None:
+    """Adds to out, by row, the index vectors of the cores within `near` words of each core, of the shapes within `near` of each shape, and of a core for its own shape and the reverse."""
+    core_at, core_sign = index_vectors(reader.hash, net)
+    shape_at, shape_sign = index_vectors(np.arange(net.rows), net)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    core, shape = reader.core[words].astype(np.int64), reader.shape[words].astype(np.int64)
 
+    def add(to: np.ndarray, places: np.ndarray, signs: np.ndarray, by: np.ndarray) -> None:
+        for k in range(net.nonzero):
+            np.add.at(out, to * net.width + places[by, k], signs[by, k])
 
-def index_vectors(net: Net) -> tuple[np.ndarray, np.ndarray]:
-    """([rows, nonzero] places, signs) of every token's sparse random index vector."""
-    rng = np.random.default_rng(net.seed)
-    places = np.argsort(rng.random((net.rows, net.width)), axis=1)[:, : net.nonzero]
-    return places, rng.choice([-1.0, 1.0], (net.rows, net.nonzero))
+    add(core, shape_at, shape_sign, shape)
+    add(shape, core_at, core_sign, words)
+    for gap in range(1, net.near + 1):
+        same = np.flatnonzero(doc[gap:] == doc[: len(doc) - gap])
+        add(core[same], core_at, core_sign, words[same + gap])
+        add(core[same + gap], core_at, core_sign, words[same])
+        add(shape[same], shape_at, shape_sign, shape[same + gap])
+        add(shape[same + gap], shape_at, shape_sign, shape[same])
 
 
-def context_table(rows: np.ndarray, sizes: np.ndarray, net: Net, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors of the tokens within `near` words of each core and shape, by row."""
-    out = np.zeros(net.rows * net.width)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    for gap in range(0, net.near + 1):
-        same = doc[gap:] == doc[: len(doc) - gap]
-        a, b = rows[: len(rows) - gap][same], rows[gap:][same]
-        pairs = [(a[:, 0], a[:, 1]), (a[:, 1], a[:, 0])] if gap == 0 else [(a[:, 0], b[:, 0]), (b[:, 0], a[:, 0]), (a[:, 1], b[:, 1]), (b[:, 1], a[:, 1])]
-        for to, by in pairs:
-            for k in range(net.nonzero):
-                out += np.bincount(to.astype(np.int64) * net.width + places[by, k], signs[by, k], len(out))
-    return out.reshape(net.rows, net.width)
-
-
-def word_vectors(table: np.ndarray, net: Net, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Context and own index vector of each row, each of unit length."""
-    own = np.zeros_like(table)
-    np.put_along_axis(own, places, signs, axis=1)
-    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    return (unit(table) + unit(own)).astype(np.float32)
-
-
-def pooled(rows: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, net: Net) -> np.ndarray:
-    """[texts, 3 * width + 3]: means over cores, distinct cores and shapes; log length, and the shares of distinct cores and of words equal to the one before."""
+def unit(z: np.ndarray) -> np.ndarray:
+    return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def pooled(words: np.ndarray, sizes: np.ndarray, reader: Reader, contexts: np.ndarray, net: Net) -> np.ndarray:
+    """[texts, 3 * width + 3]: means over cores, distinct cores and shapes of context and index vector, each of unit length; log length, and the shares of distinct cores and of words equal to the one before. contexts: unit context vectors by row."""
     n, d = len(sizes), net.width
     out = np.zeros((n, 3 * d + 3), np.float32)
-    if not len(rows):
+    if not len(words):
         return out
     doc, full = np.repeat(np.arange(n), sizes), np.flatnonzero(sizes)
-    code, times = np.unique(doc * net.cores + rows[:, 0], return_counts=True)
-    of, distinct = code // net.cores, np.bincount(code // net.cores, minlength=n)
-    begin = np.searchsorted(of, full)
-    own = vectors[code % net.cores]  # of each distinct core of a text
-    out[full, d : 2 * d] = np.add.reduceat(own, begin, axis=0) / distinct[full, None]
-    own *= times[:, None].astype(np.float32)
-    out[full, :d] = np.add.reduceat(own, begin, axis=0) / sizes[full, None]
-    shapes = np.bincount(doc * net.shapes + rows[:, 1] - net.cores, minlength=n * net.shapes).reshape(n, net.shapes)
-    out[:, 2 * d : 3 * d] = (shapes / np.maximum(sizes, 1)[:, None]) @ vectors[net.cores :]
-    again = np.bincount(doc[1:], (rows[1:, 0] == rows[:-1, 0]) & (doc[1:] == doc[:-1]), n)
+    used, number = np.unique(words, return_inverse=True)
+    hashes, first, core = np.unique(reader.hash[used], return_index=True, return_inverse=True)
+    own = core[number]
+    code, times = np.unique(doc * len(hashes) + own, return_counts=True)
+    of, which = code // len(hashes), code % len(hashes)
+    distinct, begin = np.bincount(of, minlength=n), np.searchsorted(of, full)
+    places, signs = index_vectors(hashes, net)
+    vectors = contexts[reader.core[used[first]]]
+    np.put_along_axis(vectors, places, np.take_along_axis(vectors, places, axis=1) + (signs * net.nonzero**-0.5).astype(np.float32), axis=1)
+    own_vectors = vectors[which]  # of each distinct core of a text
+    out[full, d : 2 * d] = np.add.reduceat(own_vectors, begin, axis=0) / distinct[full, None]
+    own_vectors *= times[:, None].astype(np.float32)
+    out[full, :d] = np.add.reduceat(own_vectors, begin, axis=0) / sizes[full, None]
+    shapes = np.bincount(doc * net.shapes + reader.shape[words] - net.cores, minlength=n * net.shapes).reshape(n, net.shapes)
+    out[:, 2 * d : 3 * d] = (shapes / np.maximum(sizes, 1)[:, None]) @ contexts[net.cores :]
+    again = np.bincount(doc[1:], (own[1:] == own[:-1]) & (doc[1:] == doc[:-1]), n)
     out[:, 3 * d] = np.log1p(sizes)
     out[:, 3 * d + 1] = distinct / np.maximum(sizes, 1)
     out[:, 3 * d + 2] = again / np.maximum(sizes, 1)
@@ -181,15 +209,40 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def features(rows: DataFrame, vectors, net: Net) -> DataFrame:
-    """(doc_id, x): the pooled vector of each text."""
+def texts_in(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, last, texts) of runs of a batch's second column."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    for i, j in chunks(texts, most):
+        yield i, j, texts[i:j]
+
+
+def lexicon_of(sample: DataFrame, net: Net) -> np.ndarray:
+    """Hashes, sorted, of the cores that stand in the most texts of the sample, in two at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net)
+        reader = Reader(net, np.zeros(0, np.uint64))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(texts, 1_000_000):
-                x = pooled(*reader.read(texts[i:j]), vectors.value, net)
+            for _, j, texts in texts_in(batch, 1_000_000):
+                words, sizes = reader.read(texts)
+                if len(words):
+                    code = np.unique(np.stack([np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64), reader.hash[words]]), axis=1)
+                    core, n = np.unique(code[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n)], ["core", "n"])
+
+    counts = sample.mapInArrow(run, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "core").limit(net.lexicon).select("core").toPandas()  # net.lexicon rows
+    return np.sort(top["core"].to_numpy(np.int64).view(np.uint64))
+
+
+def features(rows: DataFrame, shared, net: Net) -> DataFrame:
+    """(doc_id, x): the pooled vector of each text. shared: broadcast lexicon and unit context vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, contexts = shared.value
+        reader = Reader(net, lexicon)
+        for batch in batches:
+            for i, j, texts in texts_in(batch, 1_000_000):
+                x = pooled(*reader.read(texts), reader, contexts, net)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
     return rows.mapInArrow(run, "doc_id long, x array<float>")
@@ -199,39 +252,41 @@ def classify_quality(docs: DataFrame, labels: DataFrame, net: Net = Net(), id_co
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
     Labels count only from ids whose crc32 modulo 4 is not 2; null labels don't count, and of several for an id the
-    largest does. Word vectors are summed over all rows. Null and empty texts pool to zeros and are scored like others.
+    largest does. Of labelled rows with one id the one whose text has the least hash teaches. Context vectors are summed
+    over all rows. Null and empty texts pool to zeros and are scored like others; repeated rows are scored each.
     """
     spark, rows = docs.sparkSession, text_rows(docs, id_col, text_col)
-    places, signs = index_vectors(net)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").where(crc32_mod("doc_id", 4) != 2)
+    known = stored(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(net.seed)), "doc_id").limit(net.most_labels))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    sample = stored(rows.join(F.broadcast(known), "doc_id").withColumn("nth", nth).where("nth = 1").drop("nth"))  # known: most_labels rows of two numbers
+    lexicon = lexicon_of(sample.select("doc_id", "text"), net)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(net), np.zeros((net.rows, net.width))
+        reader, total = Reader(net, lexicon), np.zeros(net.rows * net.width)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(texts, 2_000_000):
-                total += context_table(*reader.read(texts[i:j]), net, places, signs)
+            for _, _, texts in texts_in(batch, 2_000_000):
+                context_table(*reader.read(texts), reader, net, total)
+        total = total.reshape(net.rows, net.width).astype(np.float32)
         met = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * net.width, pa.int32()), pa.array(total[met].ravel()))], ["row", "v"])
 
-    sums = rows.mapInArrow(tables, "row long, v array<double>").groupBy("row").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(net.width))).alias("v")).collect()  # net.rows at most
-    table = np.zeros((net.rows, net.width))
-    for r in sums:
-        table[r.row] = r.v
-    vectors = spark.sparkContext.broadcast(word_vectors(table, net, places, signs))
+    sums = rows.mapInArrow(tables, "row long, v array<float>").groupBy("row").agg(F.array(*(F.sum(F.col("v")[i]).cast("float") for i in range(net.width))).alias("v")).toPandas()  # net.rows at most
+    table = np.zeros((net.rows, net.width), np.float32)
+    if len(sums):
+        table[sums["row"].to_numpy()] = np.stack(sums["v"].to_numpy())
+    vectors = spark.sparkContext.broadcast((lexicon, unit(table)))
 
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").where(crc32_mod("doc_id", 4) != 2)
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(net.seed)), "doc_id").limit(net.most_labels)
-    sample = rows.join(F.broadcast(known), "doc_id")  # most_labels rows of two numbers
-    got = features(sample.select("doc_id", "text"), vectors, net).dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy("doc_id").toPandas()
+    got = features(sample.select("doc_id", "text"), vectors, net).join(known, "doc_id").orderBy("doc_id").toPandas()  # most_labels rows
     x = np.stack(got["x"].to_numpy()).astype(float) if len(got) else np.zeros((0, 3 * net.width + 3))
     shared = spark.sparkContext.broadcast(fit(x, got["label"].to_numpy(float), net))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net)
+        lexicon, contexts = vectors.value
+        reader = Reader(net, lexicon)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(texts, 1_000_000):
-                scores = shared.value.score(pooled(*reader.read(texts[i:j]), vectors.value, net))
+            for i, j, texts in texts_in(batch, 1_000_000):
+                scores = shared.value.score(pooled(*reader.read(texts), reader, contexts, net))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in (batch.column(0), batch.column(2))), pa.array(scores), pa.array((scores >= net.least).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.withColumn("held_out", crc32_mod("doc_id", 4) == 2).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")

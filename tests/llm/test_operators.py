@@ -293,24 +293,61 @@ def test_classifier(spark, docs, sf, odd_docs, no_docs):
     assert quality_classifier.classify_quality(no_docs, labels).count() == 0
 
 
+def test_classifier_reruns_agree(spark, docs, sf):
+    """Repeated ids with different texts teach the same on other partitions."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.union(docs.withColumn("text", F.concat(F.reverse("text"), F.lit(" x"))))
+    a, b = (sorted((r.doc_id, round(r.score, 4)) for r in quality_classifier.classify_quality(d, labels).collect()) for d in (twice, twice.repartition(7)))
+    assert len(a) == 2 * docs.count()
+    assert sum(x != y for x, y in zip(a, b, strict=True)) <= 0.02 * len(a)
+
+
 def test_context_table_is_a_sum_over_neighbours():
-    net = quality_classifier.Net(cores=16, shapes=4, width=8, nonzero=2, near=2)
-    places, signs = quality_classifier.index_vectors(net)
-    rows, sizes = quality_classifier.Reader(net).read(["a b c, A", "b"])
-    index = np.zeros((net.rows, net.width))
-    np.put_along_axis(index, places, signs, axis=1)
-    want, at = np.zeros((net.rows, net.width)), 0
+    q = quality_classifier
+    net = q.Net(lexicon=3, others=8, shapes=4, width=8, nonzero=2, near=2)
+    texts = ["a b c, A zz", "b"]
+    lexicon = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in (b"a", b"b", b"c")], np.uint64))
+    reader = q.Reader(net, lexicon)
+    words, sizes = reader.read(texts)
+    assert [reader.core[w] for w in words[:4]] == [np.searchsorted(lexicon, xxhash.xxh64_intdigest(w)) for w in (b"a", b"b", b"c", b"a")] and reader.core[words[4]] >= 3
+
+    def vector(h):
+        places, signs = q.index_vectors(np.array([h], np.uint64), net)
+        out = np.zeros(net.width)
+        out[places[0]] += signs[0]
+        return out
+
+    want = np.zeros((net.rows, net.width))
+    at = 0
     for n in sizes:
-        r = rows[at : at + n]
+        r = words[at : at + n]
         for i in range(n):
-            want[r[i, 0]] += index[r[i, 1]]
-            want[r[i, 1]] += index[r[i, 0]]
+            c, s = reader.core[r[i]], reader.shape[r[i]]
+            want[c] += vector(s)
+            want[s] += vector(reader.hash[r[i]])
             for j in range(n):
                 if 0 < abs(i - j) <= 2:
-                    for k in (0, 1):
-                        want[r[i, k]] += index[r[j, k]]
+                    want[c] += vector(reader.hash[r[j]])
+                    want[s] += vector(reader.shape[r[j]])
         at += n
-    assert np.allclose(quality_classifier.context_table(rows, sizes, net, places, signs), want)
+    got = np.zeros(net.rows * net.width)
+    q.context_table(words, sizes, reader, net, got)
+    assert np.allclose(got.reshape(want.shape), want)
+    contexts = q.unit(want.astype(np.float32))
+    x = q.pooled(words, sizes, reader, contexts, net)
+    own = [contexts[reader.core[w]] + vector(reader.hash[w]) / 2**0.5 for w in words]
+    assert np.allclose(x[0, :8], np.mean(own[:5], axis=0), atol=1e-5) and np.allclose(x[0, 8:16], np.mean([own[i] for i in (0, 1, 2, 4)], axis=0), atol=1e-5)
+    assert np.allclose(x[0, 16:24], np.mean([contexts[reader.shape[w]] for w in words[:5]], axis=0), atol=1e-5) and np.allclose(x[1, :8], own[5], atol=1e-5)
+
+
+def test_index_vectors_are_apart():
+    """Of 3,000 words hardly any two have like index vectors."""
+    net = quality_classifier.Net()
+    places, signs = quality_classifier.index_vectors(np.array([xxhash.xxh64_intdigest(str(i)) for i in range(3000)], np.uint64), net)
+    v = np.zeros((3000, net.width))
+    np.put_along_axis(v, places, signs, axis=1)
+    like = v @ v.T / net.nonzero
+    assert (np.diag(like) == 1).all() and (np.abs(like[np.triu_indices(3000, 1)]) > 0.7).mean() < 0.001
 
 
 # --- 10
