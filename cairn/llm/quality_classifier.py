@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, chunks, crc32_mod, stored
+from .common import Numbering, crc32_mod, stored, text_runs
 
 PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -211,9 +211,8 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def texts_in(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, list[str]]]:
     """(first, last, texts) of runs of a batch's second column."""
-    texts = [t or "" for t in batch.column(1).to_pylist()]
-    for i, j in chunks(texts, most):
-        yield i, j, texts[i:j]
+    for i, j, texts in text_runs(batch.column(1), most):
+        yield i, j, [t or "" for t in texts]
 
 
 def lexicon_of(sample: DataFrame, net: Net) -> np.ndarray:
