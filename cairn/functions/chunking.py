@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def heading_sections(df: DataFrame, id_col: str, text: str, least_words: int = 0) -> DataFrame:
     """(id, section, heading, content): the text cut at lines that are headings of level 2 or more; the section before the first has no heading.
 
-    Sections of under `least_words` words join the one before them.
+    section: its place among all parts, from 0. Sections of under `least_words` words join the one before them.
     """
-    lines = F.split(F.col(text), "\n")
-    start = F.struct(F.lit("").alias("heading"), F.array().cast("array<string>").alias("lines"))
-    section = "array<struct<heading:string,lines:array<string>>>"
-
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["heading"].alias("heading"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        fresh = F.concat(acc, F.array(F.struct(F.regexp_extract(line, r"^#{2,6}\s+(.*)$", 1).alias("heading"), F.array().cast("array<string>").alias("lines"))))
-        return F.when(line.rlike(r"^#{2,6}\s+"), fresh).otherwise(grown).cast(section)
-
-    cut = df.select(id_col, F.aggregate(lines, F.array(start).cast(section), step).alias("s"))
-    rows = cut.select(id_col, F.posexplode("s").alias("section", "x")).select(id_col, "section", F.col("x.heading").alias("heading"), F.trim(F.array_join("x.lines", "\n")).alias("content"))
+    parts = F.split(F.col(text), r"(?m)(?=^#{2,6}\s)")  # each part but the first begins with its heading's line
+    rows = df.select(id_col, F.posexplode(parts).alias("section", "part"))
+    if_heading = F.col("part").rlike(r"^#{2,6}\s")
+    rows = rows.select(
+        id_col, "section",
+        F.when(if_heading, F.trim(F.regexp_extract("part", r"^#{2,6}\s+([^\n]*)", 1))).otherwise("").alias("heading"),
+        F.trim(F.when(if_heading, F.regexp_replace("part", r"^#{2,6}\s+[^\n]*\n?", "")).otherwise(F.col("part"))).alias("content"),
+    )
     rows = rows.where("heading <> '' or content <> ''")
     if not least_words:
         return rows
     n = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(id_col).orderBy("section")
     group = F.sum(F.when((n >= least_words) | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w)
     grouped = rows.withColumn("_g", F.lit(0)).withColumn("_g", group)
@@ -48,3 +42,52 @@ def packed(df: DataFrame, id_col: str, text: str, most_tokens: int) -> DataFrame
 
     cut = df.select(id_col, F.aggregate(atoms, F.array().cast("array<string>"), step).alias("c"))
     return cut.select(id_col, F.posexplode("c").alias("chunk", "content"))
+
+
+def front_matter(text: Column) -> tuple[Column, Column]:
+    """(body, map of fields): what stands between lines of --- at the top is cut off and read as fields."""
+    head = F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---\s*\n", 1)
+    lines = F.filter(F.split(head, "\n"), lambda line: line.contains(":"))
+    field = lambda line: F.struct(F.trim(F.regexp_extract(line, "^([^:]*):", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("v"))
+    entries = F.transform(lines, field)
+    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    # of fields with one name the last counts
+    fields = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+    return F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", ""), fields
+
+
+# Starts of headings that are actions, and headings that list settings or a reference.
+ACTIONS = ("how to ", "how do ", "when to ", "setting up ", "getting started", "creating ", "configuring ", "installing ", "working with ", "using ", "customizing ", "adding ", "removing ", "enabling ", "disabling ", "running ", "debugging ", "troubleshooting")
+SETTINGS = ("settings", "configuration", "options", "environment variables", "config", "flags", "parameters", "keys", "values")
+REFERENCE = ("commands", "reference", "api", "syntax", "spec", "schema")
+
+
+def question(title: Column, heading: Column) -> Column:
+    """A question that a section answers, by the form of its heading."""
+    h = F.regexp_replace(F.trim(heading), r"\.+$", "")
+    low = F.lower(h)
+    return (
+        F.when(h.endswith("?"), h).when(low.rlike("^(" + "|".join(ACTIONS) + ")"), F.concat(low, F.lit(", according to "), title, F.lit("?")))
+        .when(low.isin(*SETTINGS), F.concat(F.lit("What are the "), low, F.lit(" of "), title, F.lit("?"))).when(low.isin(*REFERENCE), F.concat(F.lit("What is the "), low, F.lit(" of "), title, F.lit("?")))
+        .otherwise(F.concat(F.lit("What does '"), h, F.lit("' mean in "), title, F.lit("?")))
+    )
+
+
+def rephrased(title: Column, heading: Column, level: Column) -> Column:
+    """Another wording of a section's question, so that a held-out row can't be matched by its words."""
+    h = F.regexp_replace(F.trim(heading), r"\.+$", "")
+    return F.when(h.endswith("?"), F.concat(F.lit("On "), title, F.lit(": "), h)).when(level == 2, F.concat(F.lit("Explain '"), h, F.lit("' as "), title, F.lit(" has it."))).otherwise(F.concat(F.lit("Within "), title, F.lit(", describe what '"), h, F.lit("' covers.")))
+
+
+def question_rows(df: DataFrame, id_col: str, text: str, title: Column, least_words: int = 40, navigation: str = r"(?i)^(next steps|see also|related.*|resources|further reading)$") -> DataFrame:
+    """(id, row_id, section, level, title, heading, prompt, completion, words): a row for each section of level 2 or 3 of a markdown text, but navigation and sections of under least_words words. Deeper headings belong to the section above."""
+    body, fields = front_matter(F.col(text))
+    parts = F.split(F.col("_body"), r"(?m)(?=^#{2,3}[ \t])")
+    rows = df.select(id_col, body.alias("_body"), F.coalesce(fields["title"], title).alias("title")).select(id_col, "title", F.posexplode(F.filter(parts, lambda p: p.rlike(r"^#{2,3}[ \t]"))).alias("section", "part"))
+    rows = rows.select(
+        id_col, "title", "section", F.length(F.regexp_extract("part", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("part", r"^#+[ \t]+([^\n]*)", 1)).alias("heading"),
+        F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("completion"),
+    )
+    rows = rows.withColumn("words", F.size(F.filter(F.split("completion", r"\s+"), lambda w: w != "")))
+    key = F.concat(F.lit("q_"), F.substring(F.sha2(F.concat_ws("::", F.col(id_col).cast("string"), F.col("section").cast("string"), "heading"), 256), 1, 16))
+    return rows.where((F.col("words") >= least_words) & ~F.col("heading").rlike(navigation)).select(id_col, key.alias("row_id"), "section", "level", "title", "heading", question(F.col("title"), F.col("heading")).alias("prompt"), "completion", "words")

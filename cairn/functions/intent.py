@@ -128,3 +128,77 @@ def canonical_date(text: Column, scan: int = 500) -> Column:
     head = F.substring(text, 1, scan)
     patterns = (r"(?m)^#+\s*\[[^\]]+\]\s*-\s*(\d{4}-\d{2}-\d{2})", r"(?i)version\s+[\d.]+\s*\((\d{4}-\d{2}-\d{2})\)", r"(?im)^\s*(?:date|published|updated|created)\s*:\s*(\d{4}-\d{2}-\d{2})", r"\b(\d{4}-\d{2}-\d{2})\b")
     return F.coalesce(*(F.try_to_timestamp(F.nullif(F.regexp_extract(head, p, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date") for p in patterns))
+
+
+# --- time -----------------------------------------------------------------------------------------------------------
+
+# Names of months, and words of a wish for what is recent.
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+RECENT = ("recent", "recently", "latest", "newest", "what changed", "what's new", "whats new", "updates to", "updated", "new changes", "latest changes", "recent changes")
+DAY = r"(\d{4}-\d{2}-\d{2})"
+
+
+def temporal_intent(q: Column, now: Column) -> Column:
+    """A struct (mode, after, before, confidence): hard with a half-open range where the query names one, soft for words of recency, else none. The first pattern that gives a valid range counts."""
+    none = F.lit(None).cast("timestamp")
+    found = lambda p, i: F.regexp_extract(q, "(?i)" + p, i)
+    date = lambda text: F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("yyyy-MM-dd"))
+    month = lambda name, year: F.try_to_timestamp(F.when(name != "", F.concat(F.initcap(F.substring(name, 1, 3)), F.lit(" "), year)), F.lit("MMM yyyy"))
+
+    def ago(p: str) -> Column:
+        days = found(p, 1).try_cast("int") * F.when(F.lower(found(p, 2)).startswith("week"), 7).when(F.lower(found(p, 2)).startswith("month"), 30).otherwise(1)
+        return F.when(found(p, 2) != "", now - F.make_interval(days=days))
+
+    says = lambda p: q.rlike("(?i)" + p)
+    since, before, between = rf"\bsince\s+{DAY}\b", rf"\bbefore\s+{DAY}\b", rf"\bbetween\s+{DAY}\s+and\s+{DAY}\b"
+    since_month, before_month = rf"\bsince\s+({MONTHS})\s+(\d{{4}})\b", rf"\bbefore\s+({MONTHS})\s+(\d{{4}})\b"
+    ranges = (
+        (ago(r"\b(?:in\s+)?the\s+last\s+(\d+)\s+(days?|weeks?|months?)\b"), none), (ago(r"\blast\s+(\d+)\s+(days?|weeks?|months?)\b"), none),
+        (F.when(says(r"\bthis\s+week\b"), F.date_trunc("week", now)), none), (F.when(says(r"\bthis\s+month\b"), F.date_trunc("month", now)), none), (F.when(says(r"\bthis\s+year\b"), F.date_trunc("year", now)), none),
+        (F.when(says(r"\blast\s+week\b"), now - F.make_interval(days=F.lit(7))), none), (F.when(says(r"\blast\s+month\b"), now - F.make_interval(months=F.lit(1))), none),
+        (date(found(since, 1)), none), (month(found(since_month, 1), found(since_month, 2)), none), (none, date(found(before, 1))), (none, month(found(before_month, 1), found(before_month, 2))),
+        (F.when(date(found(between, 2)).isNotNull(), date(found(between, 1))), date(found(between, 2))),
+    )
+    kind = "struct<mode:string,after:timestamp,before:timestamp,confidence:double>"
+    of = lambda mode, a, b, c: F.struct(F.lit(mode).alias("mode"), a.alias("after"), b.alias("before"), F.lit(c).alias("confidence")).cast(kind)
+    hard = [F.when(a.isNotNull() if i < len(ranges) - 1 and b is none else b.isNotNull() if i < len(ranges) - 1 else a.isNotNull() & b.isNotNull(), of("hard", a, b, 0.9)) for i, (a, b) in enumerate(ranges)]
+    words = sum((F.when(F.lower(q).contains(w), 1).otherwise(0) for w in RECENT[1:]), F.when(F.lower(q).contains(RECENT[0]), 1).otherwise(0))
+    return F.coalesce(*hard, F.when(words > 1, of("soft", none, none, 0.85)).when(words == 1, of("soft", none, none, 0.7)), of("none", none, none, 0.0))
+
+
+def in_range(at: Column, after: Column, before: Column) -> Column:
+    """after <= at < before; a bound that is null doesn't count. A null time is outside unless both are null."""
+    return F.coalesce(at >= after, after.isNull()) & F.coalesce(at < before, before.isNull())
+
+
+# --- comparison -----------------------------------------------------------------------------------------------------
+
+# How a query compares two things.
+COMPARISONS = (
+    r"\b(?:difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)\b", r"\b(.+?)\s+(?:vs\.?|versus|compared\s+to)\s+(.+?)\b", r"\b(?:both|having both)\s+(.+?)\s+and\s+(.+?)\b",
+    r"\b(?:compare|comparing)\s+(.+?)\s+(?:and|with|to)\s+(.+?)\b", r"\bwhy\s+(?:have|are there|do we have)\s+both\s+(.+?)\s+and\s+(.+?)\b", r"\brelationship\s+between\s+(.+?)\s+and\s+(.+?)\b",
+)
+
+
+def is_comparison(q: Column) -> Column:
+    return q.rlike("(?i)" + "|".join(COMPARISONS))
+
+
+def comparison_targets(q: Column) -> Column:
+    """The names that a query compares, lower-cased, each once, in order: of each phrase without article and kind the last word that looks like a module, else the last word; over two characters."""
+
+    def name(phrase: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.trim(phrase), r"(?i)^(?:the\s+)?", ""), r"(?i)\s*(?:module|service|controller|handler)s?\s*$", "")
+        words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+        modules = F.filter(words, lambda w: w.rlike(r"^[A-Z][a-zA-Z0-9]+$|Module|Service"))
+        return F.coalesce(F.try_element_at(modules, F.lit(-1)), F.try_element_at(words, F.lit(-1)), bare)
+
+    phrases = F.concat(*(F.regexp_extract_all(q, F.lit("(?i)" + p), F.lit(i)) for p in COMPARISONS for i in (1, 2)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(phrases, lambda p: F.lower(name(p))), lambda t: F.length(t) > 2)))
+
+
+def comparison_score(name: Column, summary: Column, tags: Column, targets: Column) -> Column:
+    """0.1 + 0.1 times the share of targets that name or summary mention, 0.3 + 0.3 times it for a node tagged comparison; 0 if they mention none."""
+    n, s = F.lower(name), F.lower(summary)
+    share = F.size(F.filter(targets, lambda t: n.contains(t) | s.contains(t))) / F.size(targets)
+    return F.when((F.size(targets) == 0) | (share == 0), 0.0).when(F.array_contains(tags, "comparison"), 0.3 + 0.3 * share).otherwise(0.1 + 0.1 * share)

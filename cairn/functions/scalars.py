@@ -39,6 +39,11 @@ def phase_multiplier(edges: Column) -> Column:
     return F.when(edges <= 0, 2.0).when(edges < 10_000, 1.0).when(edges < 50_000, 0.5).otherwise(0.25)
 
 
+def kind_multiplier(kind: Column) -> Column:
+    """How much faster an edge of that origin is learned."""
+    return F.when(kind == "conversation", 2.0).when(kind == "config", 1.5).when(kind == "same_directory", 1.2).otherwise(1.0)
+
+
 def learning_phase(edges: Column) -> Column:
     return F.when(edges <= 0, "cold").when(edges < 10_000, "learning").when(edges < 50_000, "warm").otherwise("saturated")
 

@@ -109,11 +109,82 @@ def stagnant(history: DataFrame, key: str, order: str, last: int, least: float)
 
 
 def advantages(df: DataFrame, group: str, reward: str, floor: float = 1e-6, clip: float = 5.0) -> DataFrame:
-    """(reward - mean) / deviation within the group, clipped; 0 where the group's deviation is below the floor."""
-    w = Window.partitionBy(group)
-    std = F.stddev_pop(reward).over(w)
-    z = F.when(std < floor, 0.0).otherwise((F.col(reward) - F.avg(reward).over(w)) / std)
-    return df.withColumn("advantage", F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
+    """(reward - mean) / deviation within the group, clipped; 0 where the group's deviation is below the floor. Groups are summed first, so that a large one isn't one task."""
+    stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"))
+    z = F.when(F.col("_std") < floor, 0.0).otherwise((F.col(reward) - F.col("_mean")) / F.col("_std"))
+    return df.join(stats, group).withColumn("advantage", F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("_mean", "_std")
+
+
+def golden_rows(df: DataFrame, source: str, row_id: str, size: int, top: int) -> DataFrame:
+    """A holdout of about `size` rows: of each of the `top` largest sources its share of them, one at least (rounded half to even; the largest takes what is over or missing), the first by SHA-256 of the row's id."""
+    sizes = df.groupBy(source).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), source).limit(top)
+    every = sizes.agg(F.sum("_n").alias("_all"))
+    q = sizes.crossJoin(F.broadcast(every)).withColumn("_q", F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("_n") / F.col("_all")).cast("int")))  # `top` rows
+    order = Window.orderBy(F.desc("_n"), source)
+    over = F.lit(size) - F.sum("_q").over(Window.partitionBy())
+    q = q.select(source, F.when(F.row_number().over(order) == 1, F.greatest(F.lit(1), F.col("_q") + over)).otherwise(F.col("_q")).alias("_q"))
+    from .rank import nth_by_hash
+
+    return nth_by_hash(df.join(F.broadcast(q), source), [source], F.sha2(F.col(row_id).cast("string"), 256)).where(F.col("nth") <= F.col("_q")).drop("nth", "peers", "_q")
+
+
+# Outcome of a guidance → its quality.
+OUTCOMES = {"followed": 1.0, "partially_followed": 0.7, "ignored": 0.3, "contradicted": 0.0}
+
+
+def task_quality(task: Column, outcome: Column, comprehension: Column, applicability: Column, outcomes: dict[str, float] | None = None, least_confidence: float = 0.7) -> Column:
+    """Quality of a record by its task: synthesis by the outcome's value, evaluation by comprehension, classification 1 for a JSON object whose confidence, if it has one, reaches the least, reranking by applicability; both cut to 0..1. Null for other tasks and outcomes."""
+    table = F.create_map(*(F.lit(x) for kv in (outcomes or OUTCOMES).items() for x in kv))
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    parsed = F.try_parse_json(outcome)
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    given = F.try_variant_get(parsed, "$.confidence", "string")
+    classified = F.when(F.coalesce(is_object, F.lit(False)) & (F.array_contains(F.coalesce(F.json_object_keys(outcome), F.array().cast("array<string>")), "confidence")), _bit(given.try_cast("double") >= least_confidence)).otherwise(_bit(is_object))
+    return F.when(task == "synthesize", F.try_element_at(table, outcome)).when(task == "evaluate", cut(comprehension)).when(task == "classify", classified).when(task == "rerank", cut(applicability))
+
+
+def _bit(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+
+
+def outcome_pairs(outcomes: DataFrame, interactions: DataFrame, chosen: Sequence[str] = ("followed",), rejected: Sequence[str] = ("contradicted", "ignored"), least_difference: int = 10) -> DataFrame:
+    """outcomes(guidance_id, outcome_type), interactions(guidance_id, time, response, private) → (guidance_id, chosen, rejected).
+
+    A guidance with outcomes of both kinds and two interactions gives one pair: the responses of its first two by time.
+    None if the first is private or both responses are equal. Outcomes are summed up before the join, and of interactions
+    two a guidance reach it.
+    """
+    kinds = outcomes.where("guidance_id is not null").groupBy("guidance_id").agg(F.bool_or(F.col("outcome_type").isin(*chosen)).alias("good"), F.bool_or(F.col("outcome_type").isin(*rejected)).alias("bad")).where("good and bad")
+    nth = F.row_number().over(Window.partitionBy("guidance_id").orderBy("time", "response"))
+    first = interactions.withColumn("_k", nth).where("_k <= 2").groupBy("guidance_id").agg(
+        F.count("*").alias("_n"), F.min_by("response", "_k").alias("chosen"), F.max_by("response", "_k").alias("rejected"), F.min_by("private", "_k").alias("_private")
+    )
+    same = (F.abs(F.length("chosen") - F.length("rejected")) < least_difference) & (F.col("chosen") == F.col("rejected"))
+    return kinds.join(first, "guidance_id").where((F.col("_n") == 2) & ~F.col("_private") & ~same).select("guidance_id", "chosen", "rejected")
+
+
+def rows_of_specs(specs: DataFrame, rows: DataFrame) -> DataFrame:
+    """specs(spec, task_name, prompt_hash, dynamic), rows(row_id, task_name, prompt_hash) → (spec, row_id): by the row's task; for rows without one by the hash of their system prompt, unless the spec's prompt is dynamic."""
+    named = specs.select("spec", "task_name").join(rows.where("task_name is not null").select("row_id", "task_name"), "task_name")
+    hashed = specs.where("not dynamic and prompt_hash is not null").select("spec", "prompt_hash").join(rows.where("task_name is null").select("row_id", "prompt_hash"), "prompt_hash")
+    return named.select("spec", "row_id").unionAll(hashed.select("spec", "row_id"))
+
+
+def decayed_trust(outcomes: DataFrame, key: Sequence[str], value: str, newest_first: Sequence[Column], start: float = 0.5, step: float = 0.1) -> DataFrame:
+    """(key, trust): from `start`, each outcome in turn moves trust by `step` of the way to its value. The newest but k counts step * (1 - step)^k."""
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(*newest_first)) - 1
+    rows = outcomes.select(*key, F.col(value).alias("_x"), k.alias("_k"))
+    left = F.lit(1 - step)
+    return rows.groupBy(*key).agg((start * F.pow(left, F.count("*")) + step * F.sum(F.col("_x") * F.pow(left, F.col("_k")))).alias("trust"))
+
+
+def set_overlap(members: DataFrame, group: str, item: str) -> DataFrame:
+    """members(group, item), distinct → (a, b, jaccard) for groups a < b that share an item."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"))
+    x, y = members.select(F.col(group).alias("a"), item), members.select(F.col(group).alias("b"), item)
+    hits = x.join(y, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("h"))
+    both = hits.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return both.select("a", "b", (F.col("h") / (F.col("na") + F.col("nb") - F.col("h"))).alias("jaccard"))
 
 
 def quality_gates(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, dot, edge_decay, hebbian, jaccard
+from ..sources.files import knn_blocks
 from ..sources.scratch import stored
 
 
@@ -43,35 +44,60 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, tables: int = 1, seed: int = 3) -> DataFrame:
-    """(a, b, sim) with a < b and cosine at least `least`.
+def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, recall: float = 0.95, block: int = 1024, seed: int = 3) -> DataFrame:
+    """(a, b, sim) with a < b and cosine at least `least`. Vectors of another length than the first are near none.
 
-    planes = 0 compares blocks of 256 points: exact, for point sets of a bounded size. planes > 0 compares points that
-    share a side of all random planes in one of the tables: recall below 1, work in proportion to the buckets.
+    planes = 0 is exact: every pair is compared, in blocks, and the work grows with the square of the points. planes > 0
+    compares points that share a side of `planes` random planes in one of as many tables as give that recall at `least`,
+    more above it; each pair is then checked. Points of one key are compared in blocks of about `block`, whatever their number.
     """
-    import numpy as np
+    import math
 
-    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    if not planes:
-        n = max(1, points.count() // 256)
-        block = F.pmod(F.xxhash64("id"), F.lit(n))
-        cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("k"), j).alias("i"), F.greatest(F.col("k"), j).alias("j"))))
-        placed = p.withColumn("k", block).withColumn("cell", cells)
-        x, y = placed.toDF("a", "va", "ka", "cell"), placed.toDF("b", "vb", "kb", "cell")
-        once = F.when(F.col("cell.i") == F.col("cell.j"), F.col("a") < F.col("b")).otherwise((F.col("ka") == F.col("cell.i")) & (F.col("kb") == F.col("cell.j")))
-        pairs = x.join(y, "cell").where(once & (F.col("a") != F.col("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), cosine(F.col("va"), F.col("vb")).alias("sim"))
-        return pairs.where(F.col("sim") >= least)
-    width = len(points.select(vector).first()[0])
-    rng = np.random.default_rng(seed)
-    keys = []
-    for t in range(tables):
-        bits = [F.when(dot(F.col("v"), F.array(*(F.lit(float(x)) for x in rng.standard_normal(width)))) > 0, F.lit(1 << i)).otherwise(0) for i in range(planes)]
-        keys.append(F.struct(F.lit(t).alias("t"), sum(bits[1:], bits[0]).alias("key")))
-    placed = p.withColumn("cell", F.explode(F.array(*keys)))
-    x, y = placed.toDF("a", "va", "cell"), placed.toDF("b", "vb", "cell")
-    pairs = x.join(y, "cell").where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim"))
-    return pairs.where(F.col("sim") >= least).dropDuplicates(["a", "b"])
+    import numpy as np
+    import pyarrow as pa
+
+    p = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    width = len((points.select(vector).where(F.col(vector).isNotNull()).first() or [[]])[0])
+    p = p.where(F.size("v") == width)
+    if planes:
+        share = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** planes
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - share)))) if share < 1 else 1
+        sides = np.random.default_rng(seed).standard_normal((width, tables * planes))
+
+        def keys(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy().reshape(-1, width)
+                    bits = (x @ sides > 0).reshape(len(x), tables, planes) @ (1 << np.arange(planes, dtype=np.int64))
+                    key = bits + (np.arange(tables, dtype=np.int64) << planes)
+                    at = np.repeat(np.arange(len(x)), tables)
+                    for i in range(0, len(at), 10_000):
+                        part = pa.array(at[i : i + 10_000])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(key.ravel()[i : i + 10_000])], ["id", "v", "key"])
+
+        keyed = p.mapInArrow(keys, f"id {dict(p.dtypes)['id']}, v array<double>, key long")
+    else:
+        keyed = p.withColumn("key", F.lit(0).cast("long"))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).alias("n"))
+    placed = keyed.join(sizes, "key").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
+    cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least(F.col("k"), j).alias("i"), F.greatest(F.col("k"), j).alias("j"))))
+    placed = placed.withColumn("cell", cells).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "k", "id", "v")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, k, i, j = (table.column(c).to_numpy() for c in ("id", "k", "i", "j"))
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), width)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        left, right = np.flatnonzero(k == i[0]), np.flatnonzero(k == j[0])
+        sims = x[left] @ x[right].T
+        u, w = np.nonzero(sims >= least - 1e-12)
+        a, b, s = ids[left[u]], ids[right[w]], sims[u, w]
+        keep = a < b if i[0] == j[0] else a != b
+        a, b, s = a[keep], b[keep], s[keep]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s})
+
+    kind = dict(p.dtypes)["id"]
+    found = placed.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
+    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")).where(F.col("sim") >= least) if planes else found.where(F.col("sim") >= least)
 
 
 def dbscan(points: DataFrame, pairs: DataFrame, least_neighbours: int, id_col: str = "vec_id") -> DataFrame:
@@ -92,8 +118,12 @@ def centroids(points: DataFrame, group: str, vector: str = "embedding", digits:
     return mean.groupBy(group).agg(F.max("size").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_centroid(points: DataFrame, centers: DataFrame, group: str, least: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, group, sim) of the nearest centre with cosine at least `least`. centers: a bounded number of rows, broadcast."""
+def nearest_centroid(points: DataFrame, centers: DataFrame, group: str, least: float, id_col: str = "vec_id", vector: str = "embedding", most_broadcast: int = 2000) -> DataFrame:
+    """(id, group, sim) of the nearest centre with cosine at least `least`. Up to most_broadcast centres are broadcast; more are searched in blocks."""
+    if centers.count() > most_broadcast:
+        known = centers.select(F.col(group).cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+        near = knn_blocks(known, points.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("embedding")), 1, least, digits=9, apart=False)
+        return near.select(F.col("q").alias("id"), F.col("node").alias(group), "sim")
     scored = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).join(F.broadcast(centers.select(group, "centroid")), F.lit(True))
     scored = scored.select("id", group, F.round(cosine(F.col("v").cast("array<double>"), F.col("centroid")), 9).alias("sim"))
     best = scored.groupBy("id").agg(F.max(F.struct("sim", (-F.col(group)).alias("neg"))).alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..sources.scratch import stored
 
 
 def ranked(df: DataFrame, keys: Sequence[str] = (), score: str = "score", tie: str = "node_id") -> DataFrame:
@@ -24,10 +25,10 @@ def vector_top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, id_col: str = "node_id", tokens: str = "tokens") -> DataFrame:
-    """BM25 of each document with one of the terms. Lengths and document frequencies are taken over all documents in one scan."""
+    """BM25 of each document with one of the terms. Lengths and document frequencies are taken over all documents."""
     terms = list(dict.fromkeys(terms))
     tf = [_count(tokens, t) for t in terms]
-    per = docs.select(F.col(id_col).alias("node_id"), F.size(tokens).alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+    per = stored(docs.select(F.col(id_col).alias("node_id"), F.size(tokens).alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(tf))))  # texts are cut once, for statistics and scores
     stats = per.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     total = sum((part(i) for i in range(len(terms))), F.lit(0.0))
@@ -124,3 +125,30 @@ def round_robin(df: DataFrame, stratum: str, order: Sequence[Column], n: int) ->
     """The first of each stratum, then the second of each, and so on, until n."""
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
     return df.withColumn("nth", nth).where(F.col("nth") <= n).orderBy("nth", stratum).limit(n)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, value: Column) -> DataFrame:
+    """df with _bucket, _before (sum of value over the key's earlier buckets) and _all (over all): what a window over a whole key would need, without one task for each key. bucket: a whole number, in the order wanted."""
+    rows = df.withColumn("_bucket", bucket)
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_v")).withColumn("_super", F.floor(F.col("_bucket") / 1000))
+    ahead = lambda *by: F.coalesce(F.sum("_v").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy(*keys, "_super").agg(F.sum("_v").alias("_v"))
+    tops = tops.select(*keys, "_super", ahead(*keys, "_super").alias("_top"), F.sum("_v").over(Window.partitionBy(*keys)).alias("_all"))
+    before = sums.withColumn("_in", ahead(*keys, "_super", "_bucket")).join(tops, [*keys, "_super"]).select(*keys, "_bucket", (F.col("_in") + F.col("_top")).alias("_before"), "_all")
+    return rows.join(before, [*keys, "_bucket"])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int = 1000) -> DataFrame:
+    """df with running (sum of value up to the row in the order of a whole-numbered column) and total rows of its key as `peers`."""
+    out = bucketed(df, keys, F.floor(F.col(order) / width), F.col(value))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    peers = df.groupBy(*keys).agg(F.count("*").alias("peers"))
+    return out.withColumn("running", F.col("_before") + F.sum(value).over(w)).drop("_bucket", "_before", "_all").join(peers, list(keys))
+
+
+def nth_by_hash(df: DataFrame, keys: Sequence[str], hexadecimal: Column, digits: int = 3) -> DataFrame:
+    """df with nth (from 1, in the order of a hexadecimal hash) and peers, within each key; 16^digits buckets a key."""
+    rows = df.withColumn("_h", hexadecimal)
+    out = bucketed(rows, keys, F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"), F.lit(1))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_h"))
+    return out.withColumn("nth", F.col("_before") + nth).withColumnRenamed("_all", "peers").drop("_bucket", "_before", "_h")

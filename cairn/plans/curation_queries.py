@@ -84,13 +84,6 @@ def c10_clean_eval(spark, sf_dir):
     return C.keep_first(d.join(known, "doc_id", "left_anti"), [F.col("text")], [F.asc("doc_id")]).select("doc_id").orderBy("doc_id").limit(120)
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= greatest(1, CAST(floor(n * 0.05) AS INT))")
-def c11_golden_carve(spark, sf_dir):
-    w = Window.partitionBy("source")
-    d = load(spark, sf_dir, D).withColumns({"k": F.row_number().over(w.orderBy(F.md5(F.col("doc_id").cast("string")))), "n": F.count("*").over(w)})
-    return d.where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))).select("doc_id")
-
-
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, count(*) AS n_turns, bool_or(role = 'user') AND bool_or(role = 'assistant') AS valid FROM conversations GROUP BY conv_id")
 def c12_chat_records(spark, sf_dir):
     m = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("m"))
@@ -120,54 +113,21 @@ def c15_proportional_sample(spark, sf_dir):
     return C.proportional(load(spark, sf_dir, D), "source", 137, F.md5(F.col("doc_id").cast("string"))).select("doc_id", "source")
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0.0 WHEN quality IS NOT NULL THEN CAST(quality AS DOUBLE) ELSE 0.5 END AS annotation FROM documents LEFT JOIN labels USING (doc_id)")
-def c17_quality_annotation(spark, sf_dir):
-    d = load(spark, sf_dir, D).join(load(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("toxic") == 1, 0.0).when(F.col("quality").isNotNull(), F.col("quality").cast("double")).otherwise(0.5).alias("annotation"))
-
-
 @query("SELECT event_id, round(CASE WHEN stddev_pop(value) OVER w < 1e-6 THEN 0 ELSE greatest(-5, least(5, (value - avg(value) OVER w) / stddev_pop(value) OVER w)) END, 6) AS advantage FROM events WINDOW w AS (PARTITION BY event_type)")
 def c18_advantages(spark, sf_dir):
     return C.advantages(load(spark, sf_dir, "events"), "event_type", "value").select("event_id", F.round("advantage", 6).alias("advantage"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS e, list_distinct(list(l_partkey % 40)) AS m FROM lineitem WHERE l_quantity > 45 AND l_suppkey <= 40 GROUP BY 1) SELECT a.e AS a, b.e AS b, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM s a JOIN s b ON a.e < b.e WHERE len(list_intersect(a.m, b.m)) > 0""")
-def c19_expert_overlap(spark, sf_dir):
-    """Sets of 40 items at most, of 40 experts at most, as a routing table has them."""
-    s = load(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_suppkey <= 40").groupBy(F.col("l_suppkey").alias("e")).agg(F.collect_set(F.col("l_partkey") % 40).alias("m"))
-    j = s.toDF("a", "ma").join(s.toDF("b", "mb"), F.expr("a < b")).select("a", "b", F.round(S.jaccard(F.col("ma"), F.col("mb")), 6).alias("jaccard"))
-    return j.where("jaccard > 0")
-
-
 @query(f"SELECT doc_id FROM documents WHERE {PII_SQL}")
 def p13_privacy_predicate(spark, sf_dir):
     return load(spark, sf_dir, D).where(S.has_personal_data(F.col("text"))).select("doc_id")
 
 
-@query("SELECT event_id, json_valid(props) AND json_extract_string(props, '$.k') IS NOT NULL AS valid FROM events")
-def p14_schema_validation(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", (F.coalesce(RW.schema_match(F.col("props"), ["k"]), F.lit(0.0)) == 1).alias("valid"))
-
-
 @query("SELECT conv_id, turn FROM conversations WHERE NOT (role = 'system' OR regexp_matches(lower(text), '\\b(error|failed)\\b'))")
 def p15_promotion_gate(spark, sf_dir):
     return load(spark, sf_dir, "conversations").where(~((F.col("role") == "system") | F.lower("text").rlike(r"\b(error|failed)\b"))).select("conv_id", "turn")
 
 
-@query("SELECT conv_id, turn, contains(lower(text), 'que') AS relation, contains(lower(text), ' the ') OR contains(lower(text), 'that') AS code, CASE WHEN contains(lower(text), 'que') THEN 0.3 WHEN contains(lower(text), 'that') THEN 0.6 ELSE 0.5 END AS vector_weight FROM conversations WHERE role = 'user'")
-def p5_query_classifiers(spark, sf_dir):
-    t = F.lower("text")
-    weight = F.when(t.contains("que"), 0.3).when(t.contains("that"), 0.6).otherwise(0.5)
-    return load(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", t.contains("que").alias("relation"), (t.contains(" the ") | t.contains("that")).alias("code"), weight.alias("vector_weight"))
-
-
-@query("SELECT page_id, regexp_extract(url, '/([0-9]+)', 1) AS number, CASE WHEN regexp_matches(url, '[?&]utm_') THEN 'hard' WHEN contains(url, '#') THEN 'soft' ELSE 'none' END AS intent, CASE WHEN regexp_matches(url, '[?&]utm_') THEN 0.9 WHEN contains(url, '#') THEN 0.7 ELSE 0.0 END AS confidence FROM pages")
-def p4_intent_parse(spark, sf_dir):
-    u = F.col("url")
-    hard, soft = u.rlike(r"[?&]utm_"), u.contains("#")
-    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"/([0-9]+)", 1).alias("number"), F.when(hard, "hard").when(soft, "soft").otherwise("none").alias("intent"), F.when(hard, 0.9).when(soft, 0.7).otherwise(0.0).alias("confidence"))
-
-
 @query("SELECT doc_id, sha256(coalesce(source, '') || coalesce(text, '')) AS key FROM documents")
 def x1_dedup_key(spark, sf_dir):
     return load(spark, sf_dir, D).select("doc_id", F.sha2(F.concat(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("key"))
@@ -178,43 +138,11 @@ def x2_deterministic_inclusion(spark, sf_dir):
     return load(spark, sf_dir, D).select("doc_id", (F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967295.0 < 0.3).alias("included"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[ \\t]+', ' ', 'g') AS compact FROM documents")
-def x3_compact_text(spark, sf_dir):
-    return load(spark, sf_dir, D).select("doc_id", F.regexp_replace(F.regexp_replace(F.substring("text", 1, 200), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), r"[ \t]+", " ").alias("compact"))
-
-
-@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(lower(l), '^\\s*(system|assistant|user):') AND NOT regexp_matches(l, '^```')), chr(10)) AS clean FROM conversations")
-def x4_sanitise(spark, sf_dir):
-    lines = F.filter(F.split("text", "\n"), lambda l: ~F.lower(l).rlike(r"^\s*(system|assistant|user):") & ~l.rlike(r"^```"))  # noqa: E741
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(lines, "\n").alias("clean"))
-
-
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'AKIA[0-9A-Z]{16}', '[KEY]', 'g'), '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b', '[IP]', 'g'), '\\+?[0-9]{1,3}[ -]?\\(?[0-9]{3}\\)?[ -]?[0-9]{3}[ -]?[0-9]{4}', '[PHONE]', 'g') AS text FROM documents")
 def x6_scrub(spark, sf_dir):
     return load(spark, sf_dir, D).select("doc_id", S.scrubbed(F.col("text")).alias("text"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations), s AS (SELECT conv_id, turn, len(w) AS n, list_sum(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[A-Z]{2,}$') THEN 0.4 WHEN regexp_matches(x, '[a-z][A-Z]') THEN 0.3 WHEN regexp_matches(x, '[a-z][_-][a-z]') THEN 0.2 ELSE 0 END)) AS raw FROM w)
-  SELECT conv_id, turn, round(least(1, coalesce(raw, 0) / greatest(n, 1)), 6) AS novelty FROM s""")
-def x7_term_novelty(spark, sf_dir):
-    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    raw = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.when(x.rlike("^[A-Z]{2,}$"), 0.4).when(x.rlike("[a-z][A-Z]"), 0.3).when(x.rlike("[a-z][_-][a-z]"), 0.2).otherwise(0.0))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.least(F.lit(1.0), raw / F.greatest(F.size(w), F.lit(1))), 6).alias("novelty"))
-
-
-@query("SELECT event_id, round(0.4 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.25 * value / 100 + 0.25 * 0.8 + 0.1 * CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END, 6) AS surprise FROM events")
-def x8_surprise(spark, sf_dir):
-    bit = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return load(spark, sf_dir, "events").select("event_id", F.round(0.4 * bit(F.col("event_type") == "error") + 0.25 * F.col("value") / 100 + 0.25 * 0.8 + 0.1 * bit(F.col("user_id") % 2 == 0), 6).alias("surprise"))
-
-
-@query("SELECT conv_id, turn, round(least(1, CASE WHEN len(string_split(text, ' ')) >= 20 THEN 0.4 ELSE 0.2 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 0.2 ELSE 0 END), 6) AS quality FROM conversations")
-def x9_observation_quality(spark, sf_dir):
-    t = F.col("text")
-    q = F.when(F.size(F.split(t, " ")) >= 20, 0.4).otherwise(0.2) + F.when(t.rlike("[0-9]"), 0.2).otherwise(0.0) + F.when(t.contains("\n"), 0.2).otherwise(0.0)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.least(F.lit(1.0), q), 6).alias("quality"))
-
-
 @query("""WITH r AS (SELECT event_id, 0.3 * pow(0.5, date_diff('minute', ts, TIMESTAMP '2024-02-01') / 1440) + 0.4 * least(1, value / 100) + 0.3 * CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS s FROM (SELECT event_id, date_trunc('minute', ts) AS ts, value, event_type FROM events)) SELECT event_id, round(s, 6) AS relevance, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.5 THEN 'important' ELSE 'background' END AS tier FROM r""")
 def x10_relevance_tier(spark, sf_dir):
     age = F.timestamp_diff("MINUTE", F.date_trunc("minute", "ts"), F.to_timestamp(F.lit("2024-02-01"))) / 1440
@@ -269,14 +197,6 @@ def x22_reward_mean(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(r), 6).alias("mean"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 0.5 END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-  t AS (SELECT user_id, 0 AS n, CAST(0.5 AS DOUBLE) AS s FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT t.user_id, e.n, t.s + 0.1 * (x - t.s) FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1) SELECT user_id, round(arg_max(s, n), 6) AS trust FROM t GROUP BY user_id""")
-def x24_trust(spark, sf_dir):
-    x = F.when(F.col("event_type") == "click", 1.0).when(F.col("event_type") == "error", 0.0).otherwise(0.5)
-    g = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", x.alias("x")))).alias("h"))
-    return g.select("user_id", F.round(F.aggregate("h", F.lit(0.5), lambda s, e: s + 0.1 * (e["x"] - s)), 6).alias("trust"))
-
-
 TOK = "list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda w: w <> '')"
 
 
@@ -306,20 +226,6 @@ def s9_import_overwrite(spark, sf_dir):
     return files.imported(new, old, ["k"], "overwrite")
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n, sum(o_totalprice) OVER (ORDER BY o_orderdate DESC, o_orderkey) AS s FROM orders WHERE o_custkey % 50 = 0) WHERE n <= 200 AND s <= 20000000")
-def s15_retention(spark, sf_dir):
-    """Backups are the orders of every fiftieth customer: a service's list of some hundreds, kept newest first."""
-    o = load(spark, sf_dir, "orders").where("o_custkey % 50 = 0")
-    return files.retained(o, [F.desc("o_orderdate"), F.asc("o_orderkey")], "o_totalprice", 200, 20_000_000).select("o_orderkey")
-
-
-@query("SELECT time, task, latency_ms FROM (SELECT ts AS time, event_type AS task, value AS latency_ms FROM events WHERE event_type <> 'error')")
-def s4_jsonl_export(spark, sf_dir):
-    """Written as JSON lines and read again with the schema, as an importer would."""
-    e = load(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("ts").alias("time"), F.col("event_type").alias("task"), F.col("value").alias("latency_ms"))
-    return files.through_jsonl(e)
-
-
 @query("SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN benchmark b ON c.text = b.text")
 def u5_prompt_leakage(spark, sf_dir):
     return load(spark, sf_dir, "conversations").join(load(spark, sf_dir, "benchmark"), "text").select("conv_id", "turn", "item_id")
@@ -333,22 +239,6 @@ def j19_reverse_references(spark, sf_dir):
     return d.join(s, "symbol").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query("""WITH s AS (SELECT p_name AS name, p_brand AS file, p_type AS package, p_partkey AS id FROM part), r AS (SELECT l_orderkey, l_linenumber, p_name AS name, p_brand AS file, p_type AS package FROM lineitem JOIN part ON p_partkey = (l_partkey + 3) % 2000 WHERE l_linenumber = 1),
-  f AS (SELECT name, file, min(id) AS id FROM s GROUP BY ALL), k AS (SELECT name, package, min(id) AS id FROM s GROUP BY ALL), g AS (SELECT name, min(id) AS id FROM s GROUP BY 1 HAVING count(*) = 1)
-  SELECT l_orderkey, coalesce(f.id, k.id, g.id) AS target, CASE WHEN f.id IS NOT NULL THEN 1.0 WHEN k.id IS NOT NULL THEN 0.9 WHEN g.id IS NOT NULL THEN 0.5 END AS confidence FROM r LEFT JOIN f USING (name, file) LEFT JOIN k USING (name, package) LEFT JOIN g USING (name)""")
-def j14_symbol_resolution(spark, sf_dir):
-    s = load(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("package"), F.col("p_partkey").alias("id"))
-    refs = load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", ((F.col("l_partkey") + 3) % 2000).alias("id")).join(s, "id").drop("id")
-    return files.resolved(refs, s).select("l_orderkey", "target", "confidence")
-
-
-@query("""SELECT doc_id, sum(1) OVER (PARTITION BY source) AS peers, CAST(sum(t) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used FROM (SELECT doc_id, source, CAST(floor(length(text) / 4 + 0.5) AS BIGINT) AS t FROM documents) QUALIFY used <= 5000""")
-def w6_token_budget(spark, sf_dir):
-    t = load(spark, sf_dir, D).select("doc_id", "source", S.token_estimate(F.col("text")).alias("t"))
-    w = Window.partitionBy("source")
-    return t.withColumns({"peers": F.count("*").over(w), "used": F.sum("t").over(w.orderBy("doc_id"))}).where("used <= 5000").select("doc_id", "peers", "used")
-
-
 @query("""WITH e AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings), q AS (SELECT * FROM e WHERE n = 1), c AS (SELECT * FROM e WHERE n BETWEEN 2 AND 51)
   SELECT q.vec_id, arg_max(c.vec_id, (round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9), c.vec_id)) AS nearest, round(max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS sim FROM q JOIN c USING (label) GROUP BY 1""")
 def j11_recent_duplicates(spark, sf_dir):
@@ -405,13 +295,3 @@ def st7_alerts(spark, sf_dir):
   SELECT user_id, n_bad, CASE WHEN n_bad >= 6 THEN 'blocked' WHEN n_bad >= 4 THEN 'escalated' WHEN n_bad >= 2 THEN 'warned' ELSE 'none' END AS level FROM n""")
 def st8_escalation(spark, sf_dir):
     return ST.escalation(load(spark, sf_dir, "events"), ["user_id"], "click", ["error", "view"], ["ts", "event_id"])
-
-
-@query("SELECT DISTINCT user_id, event_type FROM events")
-def st2_micro_batches(spark, sf_dir):
-    """The events read as a stream of files, appended in micro-batches, and read back."""
-    schema = load(spark, sf_dir, "events").schema
-    out = fresh_path(spark)
-    source = ST.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
-    ST.append_batches(source, f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/data").select("user_id", "event_type").distinct()

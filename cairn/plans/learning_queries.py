@@ -20,12 +20,6 @@ def l1_hebbian_update(spark, sf_dir):
     return L.coactivated(e, p).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT user_id, count(*) AS edges, CASE WHEN count(*) <= 0 THEN 2.0 WHEN count(*) < 10000 THEN 1.0 WHEN count(*) < 50000 THEN 0.5 ELSE 0.25 END * CASE WHEN user_id % 2 = 0 THEN 2.0 ELSE 1.5 END AS eta_multiplier FROM events GROUP BY user_id")
-def l2_learning_rate(spark, sf_dir):
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("edges"))
-    return e.select("user_id", "edges", (S.phase_multiplier(F.col("edges")) * F.when(F.col("user_id") % 2 == 0, 2.0).otherwise(1.5)).alias("eta_multiplier"))
-
-
 @query("SELECT user_id, event_id, greatest(0, value / 100 - 0.15) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 20".replace("greatest(0, value / 100 - 0.15)", "round(greatest(0, value / 100 - 0.15), 6)"))
 def l3_negative_feedback(spark, sf_dir):
     from ..operators.rank import per_source_cap
@@ -105,11 +99,6 @@ def l13_split_clusters(spark, sf_dir):
     return L.split_oversized(load(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", 20, "vec_id")
 
 
-@query("SELECT array_to_string(list_slice(string_split(p_type, ' '), 1, 1), '/') AS prefix, count(*) AS n FROM part GROUP BY 1")
-def l14_path_prefix_groups(spark, sf_dir):
-    return load(spark, sf_dir, "part").groupBy(F.array_join(F.slice(F.split("p_type", " "), 1, 1), "/").alias("prefix")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH o AS (SELECT l_suppkey AS cluster, list_distinct(list(l_partkey)) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), n AS (SELECT l_suppkey AS cluster, list_distinct(list(l_partkey)) AS m FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1),
   s AS (SELECT n.cluster AS new, o.cluster AS old, len(list_intersect(o.m, n.m)) / len(list_distinct(list_concat(o.m, n.m))) AS score FROM o, n WHERE len(list_intersect(o.m, n.m)) > 0)
   SELECT new, old, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY score DESC, old) AS a, row_number() OVER (PARTITION BY old ORDER BY score DESC, new) AS b FROM s WHERE score >= 0.05) WHERE a = 1 AND b = 1""")
@@ -126,28 +115,6 @@ def l16_orphan_assignment(spark, sf_dir):
     return L.nearest_centroid(e, L.centroids(e, "label"), "label", 0.2).withColumn("sim", F.round("sim", 6))
 
 
-PASS_EDGES = "SELECT l_suppkey % 50 AS src, l_partkey % 200 AS dst, round(avg(l_discount) * 10, 6) + 0.1 AS weight FROM lineitem GROUP BY ALL"
-
-
-def pass_inputs(spark, sf_dir):
-    nodes = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
-    edges = load(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 200).alias("dst")).agg((F.round(F.avg("l_discount") * 10, 6) + 0.1).alias("weight"))
-    return nodes, edges
-
-
-@query(f"WITH e AS ({PASS_EDGES}), m AS (SELECT dst, sum(weight * embedding[1]) / sum(weight) AS a, sum(weight * embedding[64]) / sum(weight) AS z FROM e JOIN embeddings ON vec_id = src GROUP BY 1) SELECT vec_id AS node_id, round(CASE WHEN a IS NULL THEN CAST(embedding[1] AS DOUBLE) ELSE 0.6 * CAST(embedding[1] AS DOUBLE) + 0.4 * a END, 6) AS first, round(CASE WHEN a IS NULL THEN CAST(embedding[64] AS DOUBLE) ELSE 0.6 * CAST(embedding[64] AS DOUBLE) + 0.4 * z END, 6) AS last FROM embeddings LEFT JOIN m ON dst = vec_id")
-def l17_forward_pass(spark, sf_dir):
-    out = L.message_pass(*pass_inputs(spark, sf_dir), 0.6, 0.4, digits=12)
-    return out.select("node_id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last"))
-
-
-@query(f"WITH e AS ({PASS_EDGES}), m AS (SELECT src, sum(weight * embedding[1]) / sum(weight) AS a FROM e JOIN embeddings ON vec_id = dst GROUP BY 1) SELECT vec_id AS node_id, round(CASE WHEN a IS NULL THEN CAST(embedding[1] AS DOUBLE) ELSE 0.8 * CAST(embedding[1] AS DOUBLE) + 0.2 * a END, 6) AS first FROM embeddings LEFT JOIN m ON src = vec_id")
-def l18_backward_pass(spark, sf_dir):
-    nodes, edges = pass_inputs(spark, sf_dir)
-    out = L.message_pass(nodes, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), 0.8, 0.2, digits=12)
-    return out.select("node_id", F.round(F.col("embedding")[0], 6).alias("first"))
-
-
 @query("SELECT s_suppkey AS node_id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > TIMESTAMP '2001-12-01')")
 def l19_incremental_selection(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
@@ -155,12 +122,6 @@ def l19_incremental_selection(spark, sf_dir):
     return L.changed_since(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id")), lines, orders, "2001-12-01")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a, b, CASE WHEN sim >= 0.3 THEN 'ANALOGOUS_TO' ELSE 'CONTRASTS_WITH' END AS rel_type FROM p WHERE (sim >= 0.3 OR sim <= -0.3) AND a % 4 = b % 4")
-def l21_dynamic_edges(spark, sf_dir):
-    p = L.near_pairs(load(spark, sf_dir, "embeddings"), -2.0).where("(sim >= 0.3 or sim <= -0.3) and a % 4 = b % 4")
-    return p.select("a", "b", F.when(F.col("sim") >= 0.3, "ANALOGOUS_TO").otherwise("CONTRASTS_WITH").alias("rel_type"))
-
-
 @query(f"WITH e AS {EDGES_SQL} SELECT src, dst, rel_type, last_used < TIMESTAMP '1997-01-01' OR src IN (SELECT src FROM e WHERE evidence > 2) AS stale, round(CASE WHEN last_used < TIMESTAMP '1997-01-01' OR src IN (SELECT src FROM e WHERE evidence > 2) THEN 1 - weight / 2 ELSE weight END, 6) AS dim_semantic FROM e")
 def l23_edge_staleness(spark, sf_dir):
     e = graph_edges(spark, sf_dir)
@@ -194,13 +155,6 @@ def l27_promotion_candidates(spark, sf_dir):
     return graph_nodes(spark, sf_dir).where("confidence >= 0.8").join(done, "node_id", "left_anti").orderBy(F.desc("confidence"), "node_id").limit(20).select("node_id", "confidence")
 
 
-@query(f"SELECT role_type, n, round(share, 6) AS share FROM (SELECT role_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM {NODES_SQL} GROUP BY 1) WHERE share >= 0.15")
-def l28_oversized_categories(spark, sf_dir):
-    from ..operators.metrics import share_of_total
-
-    return share_of_total(graph_nodes(spark, sf_dir), "role_type").where("share >= 0.15").withColumn("share", F.round("share", 6))
-
-
 @query("""SELECT coalesce(c.c_custkey, s.k) AS k, CASE WHEN s.k IS NULL OR c.v >= s.v THEN c.c_acctbal ELSE s.b END AS balance FROM (SELECT c_custkey, c_acctbal, c_nationkey AS v FROM customer) c FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS b, s_nationkey AS v FROM supplier) s ON c.c_custkey = s.k""")
 def l29_versioned_update(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal", F.col("c_nationkey").alias("vc"))

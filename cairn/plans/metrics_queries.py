@@ -124,13 +124,6 @@ def a13_latest_valid_grade(spark, sf_dir):
     return M.latest(load(spark, sf_dir, "events").where("event_type <> 'error'"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
 
 
-@query("""SELECT round((count(*) FILTER (event_type <> 'view') / count(*)) * (count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type IN ('click', 'view', 'error')), 0)) * (count(DISTINCT user_id) / 2000.0), 6) AS score FROM events""")
-def a14_determinism_score(spark, sf_dir):
-    t = F.col("event_type")
-    informed, followed = F.count_if(t != "view") / F.count("*"), F.count_if(t == "click") / F.nullif(F.count_if(t.isin("click", "view", "error")), F.lit(0))
-    return load(spark, sf_dir, "events").agg(F.round(informed * followed * (F.countDistinct("user_id") / 2000.0), 6).alias("score"))
-
-
 BOUNDS = (5.0, 10.0, 20.0, 40.0, 80.0)
 
 

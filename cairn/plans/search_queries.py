@@ -299,13 +299,6 @@ def g10_effective_weight(spark, sf_dir):
     return graph_edges(spark, sf_dir).select("src", "dst", "rel_type", F.round(F.least(F.lit(1.0), F.col("weight") * F.when(mix == 0, 1.0).otherwise(mix)), 6).alias("effective"))
 
 
-@query(f"WITH {VECTOR_SQL}, e AS (SELECT l_suppkey % 50 AS src, l_partkey % 200 AS dst, round(avg(l_discount) * 10, 6) AS weight FROM lineitem GROUP BY ALL), r AS (SELECT src, dst, round(0.5 * score + 0.5 * (0.4 * weight + 0.3), 6) AS attention FROM e JOIN v ON node_id = dst) SELECT src, dst, greatest(0, least(1, attention)) AS attention FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY attention DESC, dst) AS n FROM r) WHERE n <= 10")
-def g11_query_attention(spark, sf_dir):
-    e = load(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 200).alias("dst")).agg(F.round(F.avg("l_discount") * 10, 6).alias("weight"))
-    r = e.join(scored_vectors(spark, sf_dir).withColumnRenamed("node_id", "dst"), "dst").select("src", "dst", F.round(0.5 * F.col("score") + 0.5 * (0.4 * F.col("weight") + 0.3), 6).alias("attention"))
-    return R.per_source_cap(r, "src", 10, [F.desc("attention"), F.asc("dst")]).withColumn("attention", S.clamp(F.col("attention")))
-
-
 @query(f"""WITH {VECTOR_SQL}, d AS (SELECT l_partkey AS node_id, count(*) AS degree, max(l_shipdate) AS last FROM lineitem GROUP BY 1) SELECT node_id, round(0.55 * score + 0.1 * round(exp(-0.01 * date_diff('day', last, TIMESTAMP '2003-01-01')), 9) - 0.03 * ln(1 + degree) - 0.02 * least(label, 3), 6) AS score FROM v JOIN d USING (node_id)""")
 def g12_linear_score(spark, sf_dir):
     d = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.count("*").alias("degree"), F.max("l_shipdate").alias("last"))
@@ -327,18 +320,6 @@ def g17_stale_reference_penalty(spark, sf_dir):
     return d.groupBy("src").agg(F.round(F.max(F.least(F.lit(0.3), 0.05 * (F.col("d") - 30) / 30)), 6).alias("penalty"))
 
 
-@query(f"WITH {VECTOR_SQL} SELECT node_id, CASE WHEN score >= 0.3 THEN 'strong' WHEN score >= 0.15 THEN 'moderate' ELSE 'weak' END AS strength, concat_ws(' ', 'vector', CASE WHEN label = 0 THEN 'same label' END) AS explanation FROM v")
-def g18_score_explanation(spark, sf_dir):
-    s = F.col("score")
-    return scored_vectors(spark, sf_dir).select("node_id", F.when(s >= 0.3, "strong").when(s >= 0.15, "moderate").otherwise("weak").alias("strength"), F.concat_ws(" ", F.lit("vector"), F.when(F.col("label") == 0, "same label")).alias("explanation"))
-
-
-@query("""WITH l AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT c_custkey % 40 AS a, (c_custkey * 7 + c_nationkey) % 40 AS b FROM customer) WHERE a <> b) SELECT x.a, x.b, y.b AS c FROM l x JOIN l y ON x.b = y.a JOIN l z ON z.a = x.a AND z.b = y.b""")
-def g20_triangles(spark, sf_dir):
-    e = load(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 40).alias("dst"), F.lit("x").alias("rel_type"))
-    return G.triangles(e)
-
-
 @query("""WITH f AS (SELECT l_orderkey, list_distinct(list(l_suppkey % 16)) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, round(len(list_intersect(f, [1, 3, 5, 7, 11])) / len(list_distinct(list_concat(f, [1, 3, 5, 7, 11]))), 6) AS jaccard FROM f""")
 def u4_fingerprint_jaccard(spark, sf_dir):
     f = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 16).alias("f"))
@@ -351,11 +332,6 @@ def s8_filtered_export(spark, sf_dir):
     return G.both_ends(graph_edges(spark, sf_dir), keep).select("src", "dst", "rel_type")
 
 
-@query(f"SELECT layer, count(*) AS n, count(DISTINCT role_type) AS roles FROM {NODES_SQL} GROUP BY layer")
-def s10_space_inventory(spark, sf_dir):
-    return graph_nodes(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("role_type").alias("roles"))
-
-
 @query(f"SELECT src, dst, evidence FROM {EDGES_SQL} WHERE rel_type = 'CONTRADICTS' AND (src IN (SELECT p_partkey FROM part WHERE p_size = 7) OR dst % 10 = 3) ORDER BY evidence DESC, src, dst LIMIT 5")
 def z1_contradictions(spark, sf_dir):
     near = load(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("src"))
@@ -376,10 +352,3 @@ def z3_hybrid_constraints(spark, sf_dir):
     b = R.ranked(v.where("label = 2").orderBy("node_id").limit(10).withColumn("score", F.lit(0.0))).select("node_id", F.lit(1).alias("p"), F.col("rank").alias("r"))
     first = a.unionByName(b).groupBy("node_id").agg(F.min(F.struct("p", "r")).alias("o"))
     return first.orderBy("o.p", "o.r").limit(12).select("node_id")
-
-
-@query(f"WITH n AS {NODES_SQL}, e AS {EDGES_SQL} SELECT round(avg(CASE WHEN node_id IN (SELECT src FROM e WHERE weight > 0.9) THEN 0.0 ELSE 1.0 END), 6) AS orphan_ratio, round(avg(CASE WHEN role_type = 'supplier' THEN 1.0 ELSE 0 END), 6) AS correction_rate FROM n")
-def z7_self_assessment(spark, sf_dir):
-    strong = graph_edges(spark, sf_dir).where("weight > 0.9").select(F.col("src").alias("node_id")).distinct().withColumn("x", F.lit(1))
-    n = graph_nodes(spark, sf_dir).join(strong, "node_id", "left")
-    return n.agg(F.round(F.avg(F.when(F.col("x").isNull(), 1.0).otherwise(0.0)), 6).alias("orphan_ratio"), F.round(F.avg(F.when(F.col("role_type") == "supplier", 1.0).otherwise(0.0)), 6).alias("correction_rate"))

@@ -54,26 +54,12 @@ def j5_neighbourhood_graph(spark, sf_dir):
     return G.both_ends(graph_edges(spark, sf_dir).where("rel_type = 'CO_ACTIVATED_WITH'"), near).select("src", "dst", "rel_type")
 
 
-@query()
-def j12_contradiction_candidates(spark, sf_dir):
-    """Turns that follow each other and differ in a negation word."""
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other")), ["conv_id", "turn"])
-    return p.select("conv_id", "turn", I.negation_differs(F.col("text"), F.col("other")).alias("differs"))
-
-
 @query(f"WITH n AS {NODES_SQL} SELECT node_id, list_sort(list(DISTINCT l_suppkey)) AS symbols FROM n JOIN lineitem ON l_partkey = node_id WHERE layer = 1 GROUP BY node_id")
 def j15_symbols_of_nodes(spark, sf_dir):
     s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node_id"), "l_suppkey")
     return graph_nodes(spark, sf_dir).where("layer = 1").join(s, "node_id").groupBy("node_id").agg(F.sort_array(F.collect_set("l_suppkey")).alias("symbols"))
 
 
-@query("SELECT r_name AS spec, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-def j17_spec_match(spark, sf_dir):
-    r, n, c = (load(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("spec")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {VECTOR_SQL}, a AS (SELECT node_id, row_number() OVER (ORDER BY round(score, 6) DESC, node_id) AS rank FROM v QUALIFY rank <= 20), x AS (SELECT node_id, 0 AS p, rank FROM a WHERE node_id % 9 = 0 AND rank > 5 UNION ALL SELECT node_id, 1, rank FROM a WHERE NOT (node_id % 9 = 0 AND rank > 5))
   SELECT node_id, row_number() OVER (ORDER BY p, rank) AS place FROM x ORDER BY place LIMIT 10""")
 def k6_reference_quota(spark, sf_dir):
@@ -99,16 +85,6 @@ def g6_graph_column(spark, sf_dir):
     return R.ranked(a.orderBy(F.desc("score"), "node_id").limit(80)).select("node_id", "rank")
 
 
-@query(f"""WITH {VECTOR_SQL}, {BM25_SQL}, c AS (SELECT node_id, 0.5 AS w, row_number() OVER (ORDER BY round(score, 6) DESC, node_id) AS r FROM v QUALIFY r <= 80 UNION ALL SELECT node_id, 0.2, row_number() OVER (ORDER BY round(score, 6) DESC, node_id) AS r FROM b QUALIFY r <= 80
-  UNION ALL SELECT node_id, 0.15, row_number() OVER (ORDER BY score DESC, node_id) AS r FROM (SELECT label * 10 AS node_id, count(*) AS score FROM embeddings GROUP BY 1) QUALIFY r <= 80) SELECT node_id, round(sum(w / (60 + r)), 9) AS score FROM c GROUP BY node_id ORDER BY 2 DESC, 1 LIMIT 20""")
-def g4_virtual_columns(spark, sf_dir):
-    """Three of the columns fused, each with four times the final number of rows."""
-    a, b = two_lists(spark, sf_dir, 80)
-    c = scored_vectors(spark, sf_dir).groupBy((F.col("label") * 10).cast("long").alias("node_id")).agg(F.count("*").alias("score"))
-    out = R.consensus({"vector": a, "bm25": b, "graph": R.ranked(c.orderBy(F.desc("score"), "node_id").limit(80))}, {"vector": 0.5, "bm25": 0.2, "graph": 0.15})
-    return out.select("node_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node_id").limit(20)
-
-
 @query(f"SELECT src, dst, rel_type, round(weight * CASE rel_type WHEN 'CO_ACTIVATED_WITH' THEN 0.9 WHEN 'ASSOCIATED_WITH' THEN 0.6 END, 6) AS weight FROM {EDGES_SQL} WHERE rel_type <> 'CONTRADICTS'")
 def g9_edge_attention(spark, sf_dir):
     return G.edge_attention(graph_edges(spark, sf_dir), {"CO_ACTIVATED_WITH": 0.9, "ASSOCIATED_WITH": 0.6}).select("src", "dst", "rel_type", F.round("weight", 6).alias("weight"))
@@ -128,20 +104,6 @@ def g16_code_type_boost(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", I.code_type_boost(tags, F.lit(True)).alias("boost"))
 
 
-@query(f"""WITH e AS {EDGES_SQL}, d AS (SELECT src, dst, rel_type, weight * exp(-0.0003 * date_diff('day', last_used, TIMESTAMP '2003-01-01')) AS w, evidence FROM e), k AS (SELECT * FROM d WHERE w > 0 AND NOT (w < 0.05 AND evidence < 2)) SELECT rel_type, count(*) AS edges, round(avg(w), 6) AS mean FROM k GROUP BY 1""")
-def l20_consolidation(spark, sf_dir):
-    """Phases in order; each takes and gives edges, and a phase that is skipped changes nothing."""
-    from .consolidate import run
-
-    out = run(graph_edges(spark, sf_dir), as_of="2003-01-01", skip={"refresh"})
-    return out.groupBy("rel_type").agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 6).alias("mean"))
-
-
-@query("SELECT p_brand AS code, count(*) AS n, list_sort(list(p_partkey))[1] AS first, round(avg(p_retailprice), 6) AS mean FROM part WHERE p_size > 25 GROUP BY 1")
-def l22_constraint_groups(spark, sf_dir):
-    return load(spark, sf_dir, "part").where("p_size > 25").groupBy(F.col("p_brand").alias("code")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
-
-
 @query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents")
 def x5_control_characters(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "").alias("text"))
@@ -156,17 +118,6 @@ def x13_canonical_time(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", I.canonical_date(text).alias("day"))
 
 
-@query("SELECT conv_id, 0 AS section, '' AS heading, count(*) AS turns FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 1, 'Reply', 1 FROM conversations WHERE turn = 1")
-def x17_heading_sections(spark, sf_dir):
-    """Conversations written as pages whose second turn has a heading."""
-    c = load(spark, sf_dir, "conversations")
-    counts = c.groupBy("conv_id").agg(F.count("*").alias("turns"))
-    page = c.where("turn <= 1").groupBy("conv_id").agg(F.max(F.col("turn") == 1).alias("two"))
-    text = F.concat(F.lit("intro"), F.when(F.col("two"), "\n## Reply\nbody").otherwise(""))
-    s = CH.heading_sections(page.select("conv_id", text.alias("text")), "conv_id", "text")
-    return s.join(counts, "conv_id").select("conv_id", "section", "heading", F.when(F.col("section") == 0, F.col("turns")).otherwise(1).alias("turns"))
-
-
 @query("SELECT doc_id, sum(length(replace(replace(text, chr(10), ''), ' ', ''))) AS letters FROM documents WHERE length(trim(text)) > 0 GROUP BY 1")
 def x18_packed_chunks(spark, sf_dir):
     """Chunks of 256 tokens hold every letter of the text once."""
@@ -199,18 +150,6 @@ def x26_compact_json(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("js"))
 
 
-@query("SELECT source, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
-def s7_export_digest(spark, sf_dir):
-    """A digest of each source's rows in order: compared with the exporter's to verify a copy."""
-    d = load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("h"))
-    return d.select("source", "n", F.sha2(F.array_join(F.transform("h", lambda x: x["h"]), ""), 256).alias("digest"))
-
-
-@query("SELECT event_type AS task, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
-def s6_split_statistics(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-
-
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' OR (event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05')")
 def st4_retention(spark, sf_dir):
     """Each class of rows keeps its own number of days before the newest."""
@@ -222,19 +161,3 @@ def st4_retention(spark, sf_dir):
 def st9_bounded_windows(spark, sf_dir):
     last = R.per_source_cap(load(spark, sf_dir, "events"), "user_id", 20, [F.desc("ts"), F.desc("event_id")])
     return last.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-
-
-@query(f"WITH e AS {EDGES_SQL}, s AS (SELECT avg(weight) AS w, count(*) AS n, avg(CASE WHEN weight < 0.3 THEN 1.0 ELSE 0 END) AS low FROM e) SELECT rule FROM (SELECT unnest([CASE WHEN low > 0.3 THEN 'below_threshold' END, CASE WHEN w < 0.2 AND n > 100 THEN 'weak_edges' END, CASE WHEN n > 50 THEN 'learning' END]) AS rule FROM s) WHERE rule IS NOT NULL")
-def z8_reflection_rules(spark, sf_dir):
-    s = graph_edges(spark, sf_dir).agg(F.avg("weight").alias("w"), F.count("*").alias("n"), F.avg(F.when(F.col("weight") < 0.3, 1.0).otherwise(0.0)).alias("low"))
-    rules = F.array(F.when(F.col("low") > 0.3, "below_threshold"), F.when((F.col("w") < 0.2) & (F.col("n") > 100), "weak_edges"), F.when(F.col("n") > 50, "learning"))
-    return s.select(F.explode(rules).alias("rule")).where("rule is not null")
-
-
-@query("SELECT label, count(*) AS n, round(avg(score), 6) AS mean FROM (SELECT label, CAST(embedding[1] AS DOUBLE) * 1.1 AS score FROM embeddings) GROUP BY 1")
-def ud2_reasoning_module(spark, sf_dir):
-    """A registered plug-in rescores candidates."""
-    from .plugins import REASONING
-
-    e = load(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("score"))
-    return REASONING["booster"](e, factor=1.1).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))

@@ -4,18 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import fresh_path
 
 
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    df.write.mode("append").partitionBy(*partition_by).option("timestampNTZFormat", STAMP).json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, source: str | None = "source_file") -> DataFrame:
+    """Rows of JSON lines; lines that don't parse are left out, and each row names its file."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("timestampNTZFormat", STAMP).json(path)
+    return rows.withColumn(source, F.input_file_name()) if source else rows
+
+
 def through_jsonl(df: DataFrame) -> DataFrame:
-    """df written as JSON lines and read again with its schema; lines that don't parse are left out."""
-    spark = df.sparkSession
-    path = fresh_path(spark)
-    df.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
-    return spark.read.schema(df.schema).option("mode", "DROPMALFORMED").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    """df written as JSON lines and read again with its schema."""
+    path = fresh_path(df.sparkSession)
+    write_jsonl(df, path)
+    return read_jsonl(df.sparkSession, path, df.schema, None)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of each data file, of at most 2 GB each."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def export_table(df: DataFrame, path: str, columns: Sequence[str], task: str, private: Column) -> tuple[DataFrame, DataFrame]:
+    """Writes columns of df as JSON lines. → (counts: task, n, n_private for each task, as a dry run would count them; files: path, bytes, sha256)."""
+    counts = df.groupBy(F.col(task).alias("task")).agg(F.count("*").alias("n"), F.count_if(private).alias("n_private"))
+    write_jsonl(df.select(*columns), path)
+    return counts, file_hashes(df.sparkSession, path)
+
+
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """manifest(path, sha256) → (path, ok): whether the file is still there with that hash."""
+    now = file_hashes(spark, path).select("path", F.col("sha256").alias("_now"))
+    return manifest.join(now, "path", "left").select("path", F.coalesce(F.col("sha256") == F.col("_now"), F.lit(False)).alias("ok"))
+
+
+def write_batch(df: DataFrame, path: str, time: str = "time") -> None:
+    """Appends rows to a table partitioned by day."""
+    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
 
 
 def imported(new: DataFrame, old: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:
@@ -30,34 +67,46 @@ def imported(new: DataFrame, old: DataFrame, keys: Sequence[str], mode: str) ->
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
-def retained(df: DataFrame, order: Sequence[Column], size: str, most: int, most_size: float) -> DataFrame:
-    """The newest `most` rows as far as their sizes together fit."""
-    newest = df.orderBy(*order).limit(most)
-    return newest.withColumn("_s", F.sum(size).over(Window.orderBy(*order))).where(F.col("_s") <= most_size).drop("_s")
+def retained(df: DataFrame, order: Sequence[Column], size: str, most: int, most_size: float, fresh: Column | None = None, pinned: Column | None = None) -> DataFrame:
+    """The newest `most` rows that are fresh, as far as their sizes together fit; pinned rows stay besides."""
+    stays = df.where(pinned) if pinned is not None else None
+    rest = df.where(~pinned) if pinned is not None else df
+    newest = rest.where(fresh) if fresh is not None else rest
+    newest = newest.orderBy(*order).limit(most).withColumn("_s", F.sum(size).over(Window.orderBy(*order))).where(F.col("_s") <= most_size).drop("_s")  # `most` rows
+    return newest.unionByName(stays) if stays is not None else newest
 
 
 def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs(name, file, package) with target and confidence: same file 1.0, same package 0.9, the only one of its name 0.5, else null."""
+    """refs(name, file, package[, import_path]) with target and confidence, the first that fits: the least id of that name in the same file 1.0, in the same package 0.9, the only one of its name 0.5; of a file whose path ends with the import 0.7; else null. symbols(id, name, file, package)."""
     low = lambda *keys: symbols.groupBy(*keys).agg(F.min("id").alias("_" + keys[-1]))
     only = symbols.groupBy("name").agg(F.min("id").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     out = refs.join(low("name", "file"), ["name", "file"], "left").join(low("name", "package"), ["name", "package"], "left").join(only, "name", "left")
-    score = F.when(F.col("_file").isNotNull(), 1.0).when(F.col("_package").isNotNull(), 0.9).when(F.col("_only").isNotNull(), 0.5)
-    return out.withColumns({"target": F.coalesce("_file", "_package", "_only"), "confidence": score}).drop("_file", "_package", "_only")
-
-
-def knn_blocks(points: DataFrame, queries: DataFrame, k: int, least: float, queries_per_block: int = 512) -> DataFrame:
-    """(q, node, sim): the k nearest other points of each query with cosine at least `least`.
-
-    Queries form blocks; each point meets each block once, keeps its task's best k by query, and the k best of all tasks
-    are merged. The work is points times queries; what is shuffled is k rows for each query and task at most.
+    target, score = ["_file", "_package", "_only"], F.when(F.col("_file").isNotNull(), 1.0).when(F.col("_package").isNotNull(), 0.9).when(F.col("_only").isNotNull(), 0.5)
+    if "import_path" in refs.columns:
+        # both meet by their last segment, so that only files of that name are held against the whole path
+        last = lambda c: F.element_at(F.split(c, "/"), -1)
+        wanted = refs.select("import_path").distinct().withColumn("_clean", F.regexp_replace("import_path", r"^['\"]|['\"]$|^\.\.?/", ""))
+        files = symbols.groupBy("file").agg(F.min("id").alias("_id"))
+        met = wanted.join(files, last(F.col("_clean")) == last(F.col("file"))).where((F.col("file") == F.col("_clean")) | F.col("file").endswith(F.concat(F.lit("/"), F.col("_clean"))))
+        out = out.join(met.groupBy("import_path").agg(F.min("_id").alias("_import")), "import_path", "left")
+        target, score = [*target, "_import"], score.when(F.col("_import").isNotNull(), 0.7)
+    return out.withColumns({"target": F.coalesce(*target), "confidence": score}).drop(*target)
+
+
+def knn_blocks(points: DataFrame, queries: DataFrame, k: int, least: float, queries_per_block: int = 512, points_per_part: int = 50_000, digits: int = 6, apart: bool = True) -> DataFrame:
+    """(q, node, sim): the k nearest points of each query with cosine at least `least`; apart: but the point of the query's own id.
+
+    Queries form blocks, points parts of about points_per_part; each part meets each block once and keeps the best k by
+    query, and the k best of all parts are merged. The work is points times queries; what is shuffled is points times
+    blocks, and k rows for each query and part at most.
     """
     import numpy as np
     import pyarrow as pa
 
-    n = max(1, -(-queries.count() // queries_per_block))
+    n, n_parts = max(1, -(-queries.count() // queries_per_block)), max(1, -(-points.count() // points_per_part))
     blocks = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), F.struct("vec_id", "embedding").alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    placed = points.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).repartition("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(16)))
-    met = placed.join(blocks, "block").groupBy("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(16)).alias("part"))
+    placed = points.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).repartition("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_parts)))
+    met = placed.join(blocks, "block").groupBy("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_parts)).alias("part"))
 
     def nearest(table: pa.Table) -> pa.Table:
         qs = table.column("qs")[0].as_py()
@@ -67,10 +116,11 @@ def knn_blocks(points: DataFrame, queries: DataFrame, k: int, least: float, quer
         sims = np.round(unit(q) @ unit(p).T, 9)
         rows = []
         for i, x in enumerate(qs):
-            own = np.lexsort((ids, -sims[i]))[: k + 1]
-            rows += [(x["vec_id"], int(ids[j]), float(sims[i, j])) for j in own if ids[j] != x["vec_id"]]
+            near = np.flatnonzero(sims[i] >= least - 1e-9)
+            own = near[np.lexsort((ids[near], -sims[i][near]))[: k + 1]]
+            rows += [(x["vec_id"], int(ids[j]), float(sims[i, j])) for j in own if not apart or ids[j] != x["vec_id"]]
         return pa.table({"q": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()), "sim": pa.array([r[2] for r in rows], pa.float64())})
 
     found = met.applyInArrow(nearest, "q long, node long, sim double")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-    return found.withColumn("_k", best).where(F.col("_k") <= k).where(F.col("sim") >= least).select("q", "node", F.round("sim", 6).alias("sim"))
+    return found.withColumn("_k", best).where(F.col("_k") <= k).where(F.col("sim") >= least).select("q", "node", F.round("sim", digits).alias("sim"))

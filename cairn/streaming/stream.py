@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def file_stream(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "parquet") -> DataFrame:
-    """New files of a folder, `files` to a batch: the bound that keeps a slow reader from falling over."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).load(path)
+def file_stream(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "parquet", endings: Sequence[str] = ()) -> DataFrame:
+    """New files of a folder with one of the endings, `files` to a batch: the bound that keeps a slow reader from falling over."""
+    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files)
+    return (stream.option("pathGlobFilter", "*.{" + ",".join(endings) + "}") if endings else stream).load(path)
 
 
 def continuous_rollup(events: DataFrame, keys: Sequence[str], width: str = "1 hour", late: str = "3 hours", time: str = "ts", value: str = "value") -> DataFrame:
