@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+STYLE = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area dialog".split())
@@ -59,34 +60,62 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def tree(source: str) -> Node:
-    """The document's tree. Missing end tags, and the row that a cell needs, are implied; a stray end tag is ignored, but that of p or br."""
-    root = Node("html", {})
-    stack = [root]
+class Open:
+    """The open tags, and where in the stack each kind stands, so that no look-up walks the stack."""
 
-    def close(tags, beyond) -> None:
-        """Ends the outermost open tag among `tags` that stands within the nearest of `beyond`, and all in it."""
-        last = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                last = i
-            elif stack[i].tag in beyond:
-                break
-        if last:
-            del stack[last:]
-
-    def push(tag: str, attrs: dict[str, str]) -> None:
+    def __init__(self, root: Node) -> None:
+        self.stack, self.where = [root], {root.tag: [0]}
+
+    def __contains__(self, tag: str) -> bool:
+        return bool(self.where.get(tag))
+
+    def last(self, tags) -> int:
+        """The place of the innermost open tag among tags; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        self.stack[-1].children.append(node)
         if tag not in VOID:
-            stack.append(node)
+            self.where.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
+
+    def pop(self) -> None:
+        self.where[self.stack.pop().tag].pop()
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.pop()
+
+    def close(self, tags, beyond) -> None:
+        """Ends the outermost open tag among `tags` that stands within the nearest of `beyond`, and all in it."""
+        bound, found = self.last(beyond), []
+        for t in tags:
+            places = self.where.get(t)
+            if places:
+                k = bisect_right(places, bound)
+                if k < len(places):
+                    found.append(places[k])
+        if found:
+            self.cut(min(found))
+
+    def end(self, tag: str, beyond) -> None:
+        """Ends the innermost open tag of that kind, unless one of `beyond` stands within it."""
+        at = self.last((tag,))
+        if at and at > self.last(beyond):
+            self.cut(at)
+
 
+def tree(source: str) -> Node:
+    """The document's tree. Missing end tags, and the row that a cell needs, are implied; a stray end tag is ignored, but that of p or br."""
+    root = Node("html", {})
+    open_ = Open(root)
     at, n = 0, len(source)
     while at < n:
         found = TOKEN.search(source, at)
         text = source[at : found.start() if found else n]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            open_.stack[-1].children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -95,53 +124,52 @@ def tree(source: str) -> Node:
         tag = found[2].lower()
         if found[1]:
             if tag == "br":
-                push("br", {})
-            elif tag == "p" and not any(s.tag == "p" for s in stack):
-                push("p", {})
-                stack.pop()
+                open_.push("br", {})
+            elif tag == "p" and "p" not in open_:
+                open_.push("p", {})
+                open_.pop()
             elif tag not in ("html", "body"):
-                beyond = {"table"} if tag in TABLE_PARTS else set() if tag == "table" else SCOPE - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in beyond:
-                        break
+                open_.end(tag, ("table",) if tag in TABLE_PARTS else () if tag == "table" else SCOPE - {tag})
             continue
         if tag in ("html", "body"):
-            stack[0].attrs.update({k: v for k, v in attributes(found[3]).items() if k not in stack[0].attrs})
+            root.attrs.update({k: v for k, v in attributes(found[3]).items() if k not in root.attrs})
             if tag == "body":
-                close({"head"}, set())
+                open_.close({"head"}, ())
             continue
         if tag in CLOSES_P:
-            close({"p"}, SCOPE)
+            open_.close(("p",), SCOPE)
         if tag in ENDS:
-            close(*ENDS[tag])
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                push("tr", {})
+            open_.close(*ENDS[tag])
+            if tag in ("td", "th") and open_.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                open_.push("tr", {})
         attrs = attributes(found[3]) if found[3].strip(" /\n\t") else {}
-        foreign = tag if tag in UNDRAWN else next((s.tag for s in reversed(stack) if s.tag in UNDRAWN), "")
+        inner = open_.last(UNDRAWN)
+        foreign = tag if tag in UNDRAWN else open_.stack[inner].tag if inner else ""
         if foreign and tag in UNDRAWN[foreign]:
             attrs["hidden"] = ""
         elif foreign == "svg" and tag == "text":
             attrs[LINE] = ""
-        push(tag, attrs)
-        if foreign and found[3].endswith("/"):
-            stack.pop()
+        open_.push(tag, attrs)
+        if foreign and tag not in VOID and found[3].endswith("/"):
+            open_.pop()
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             raw = source[at : end.start() if end else n]
             if raw:
-                stack[-1].children.append(html.unescape(re.sub(r"\A\r?\n", "", raw)) if tag == "textarea" else raw)
-            stack.pop()
+                open_.stack[-1].children.append(html.unescape(re.sub(r"\A\r?\n", "", raw)) if tag == "textarea" else raw)
+            open_.pop()
             at = end.end() if end else n
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN and not (node.tag == "dialog" and "open" in node.attrs):
-        return False
-    return "hidden" not in node.attrs and not NO_DISPLAY.search(node.attrs.get("style", ""))
+def visible(node: Node, shown: bool) -> bool | None:
+    """None if the element and all in it are left out; else whether its own text shows. A visible child of a hidden parent shows."""
+    if node.tag in HIDDEN and not (node.tag == "dialog" and "open" in node.attrs) or "hidden" in node.attrs:
+        return None
+    style = {k.lower(): v.lower() for k, v in STYLE.findall(node.attrs.get("style", ""))}
+    if style.get("display") == "none":
+        return None
+    return {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), shown)
 
 
 class Flow:
@@ -191,18 +219,63 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Cells as columns: each cell's lines padded to its column's width, two spaces between."""
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            widths += [0] * (i + 1 - len(widths))
-            widths[i] = max(widths[i], max(map(len, cell), default=0))
-    out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip(" "))
-    return out
+def span_of(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
+class Table:
+    """Cells on a grid; a cell stands at the first column that no cell of the rows above reaches into."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[list[str], int]]] = []
+        self.held: list[int] = []  # by column, rows below the present that a cell above still covers
+        self.covered: list[bool] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.covered, self.held = [h > 0 for h in self.held], [max(0, h - 1) for h in self.held]
+        self.at = 0
+
+    def skip(self) -> None:
+        while self.at < len(self.covered) and self.covered[self.at]:
+            self.rows[-1].append(([], 1))
+            self.at += 1
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        """rows: 0 for all that follow."""
+        if not self.rows:
+            self.row()
+        self.skip()
+        self.rows[-1].append((lines, columns))
+        end = self.at + columns
+        self.held += [0] * (end - len(self.held))
+        self.held[self.at : end] = [(rows - 1) if rows else 10**6] * columns
+        self.at = end
+
+    def lines(self) -> list[str]:
+        """Each cell's lines padded to its columns' width, two spaces between columns."""
+        widths: list[int] = []
+        for wide in (False, True):
+            for row in self.rows:
+                at = 0
+                for lines, span in row:
+                    widths += [0] * (at + span - len(widths))
+                    most = max(map(len, lines), default=0)
+                    if span == 1:
+                        widths[at] = max(widths[at], most)
+                    elif wide:
+                        widths[at + span - 1] += max(0, most - sum(widths[at : at + span]) - 2 * (span - 1))
+                    at += span
+        out = []
+        for row in self.rows:
+            for k in range(max((len(lines) for lines, _ in row), default=0)):
+                at, parts = 0, []
+                for lines, span in row:
+                    parts.append((lines[k] if k < len(lines) else "").ljust(sum(widths[at : at + span]) + 2 * (span - 1)))
+                    at += span
+                out.append("  ".join(parts).rstrip(" "))
+        return out
 
 
 def rendered(source: str | None) -> str:
@@ -210,17 +283,20 @@ def rendered(source: str | None) -> str:
     if not source:
         return ""
     flows, tables, lists = [Flow()], [], []
-    todo: list[tuple[object, bool, bool]] = [(tree(source), False, False)]
+    todo: list[tuple[object, bool, bool, bool]] = [(tree(source), False, False, True)]
     while todo:
-        node, leaving, pre = todo.pop()
+        node, leaving, pre, shown = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, pre)
+            if shown:
+                flow.text(node, pre)
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            own = visible(node, shown)
+            if own is None:
                 continue
+            shown = own
             if tag == "br":
                 flow.line(keep=True)
                 continue
@@ -234,33 +310,33 @@ def rendered(source: str | None) -> str:
                 if lists and lists[-1][0] == "ol":
                     marker, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
                 flow.indents.append(" " * len(marker))
-                flow.marker = marker
+                flow.marker = marker if shown else ""
             elif tag in ("blockquote", "dd"):
                 flow.indents.append("  ")
             elif tag == "hr":
-                flow.parts.append("---")
+                if shown:
+                    flow.parts.append("---")
                 flow.block(True)
                 continue
             elif tag == "table":
-                tables.append([])
+                tables.append(Table())
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
             elif tag in ("td", "th", "caption"):
                 flows.append(Flow())
-            elif tag == "q":
+            elif tag == "q" and shown:
                 flow.text('"', False)
-            elif tag == "optgroup" and node.attrs.get("label"):
+            elif tag == "optgroup" and shown and node.attrs.get("label"):
                 flow.text(node.attrs["label"], False)
                 flow.block(False)
-            todo.append((node, True, pre))
+            todo.append((node, True, pre, shown))
             inside = pre or tag in ("pre", "listing", "plaintext", "xmp", "textarea")
-            todo += [(c, False, inside) for c in reversed(node.children)]
+            todo += [(c, False, inside, shown) for c in reversed(node.children)]
             continue
         if tag in ("td", "th", "caption"):
             cell = flows.pop().done()
-            if tag != "caption" and tables and tables[-1]:
-                span = node.attrs.get("colspan", "1")
-                tables[-1][-1] += [cell, *[[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0)]
+            if tag != "caption" and tables:
+                tables[-1].cell(cell, max(1, span_of(node, "colspan", 1000)), span_of(node, "rowspan", 65_534))
             else:
                 flows[-1].block(False)
                 for line in cell:
@@ -269,7 +345,7 @@ def rendered(source: str | None) -> str:
             continue
         if tag == "table" and tables:
             flow.line()
-            for line in aligned(tables.pop()):
+            for line in tables.pop().lines():
                 flow.parts.append(line)
                 flow.line(keep=True)
         elif tag in ("ul", "ol", "menu"):
@@ -281,7 +357,7 @@ def rendered(source: str | None) -> str:
         elif tag in ("blockquote", "dd"):
             flow.line()
             flow.indents.pop()
-        elif tag == "q":
+        elif tag == "q" and shown:
             flow.text('"', False)
         if LINE in node.attrs or tag in BLOCKS and tag not in TABLE_PARTS:
             flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
@@ -289,7 +365,7 @@ def rendered(source: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row for each row of pages: page_id, text, n_lines. Null and empty pages have an empty text and no lines."""
+    """One row for each row of pages: page_id, text, n_lines. Null and empty pages have an empty text and no lines; repeated rows are rendered each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
