@@ -1,9 +1,13 @@
 """Near copies by similarity: texts link if the Jaccard similarity of their sets of five-word runs is 0.8 or more.
 
-Candidates share a band of minimum hashes: of pairs at similarity s, 1 - (1 - s^7)^32 are expected to share one of the 32
-bands, 0.9994 at s = 0.8 and more above. Each pair that links is then confirmed on the whole sets. A bucket's texts are
-first held against its least one, and only those that are still in different components against one another: a large
-group that links to its least text costs about its size, one that does not up to its square.
+Candidates come from two sides. SimHash fingerprints of the runs that differ in two bits or fewer are found by anchor
+points, as everywhere in this subpackage; but texts at 0.8 differ in about ten of 64 bits, which no such threshold
+reaches. So texts are candidates as well if they share a band of minimum hashes: of pairs at similarity s,
+1 - (1 - s^7)^32 are expected to share one of the 32 bands, 0.9994 at s = 0.8 and more above. Pairs whose minimum hashes
+agree in under 0.6 of the 224 places are left out (at 0.8, one pair in 10^7 agrees in so few), and each other pair is
+confirmed on the whole sets. A bucket's texts are first held against its least one, and only those that are still in
+different components against one another: a large group that links to its least text costs about its size, one that does
+not up to its square in rows of a few bytes, of which those that agree reach the texts.
 """
 
 from __future__ import annotations
@@ -13,12 +17,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
-from .simhash import _by, shingle_hashes
+from .simhash import links, majority, shingle_hashes
 
 BANDS, ROWS = 32, 7
 
@@ -31,19 +35,23 @@ def multipliers(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     return a | np.uint32(1), b
 
 
-def bands(hashes: list[int]) -> tuple[np.ndarray, int]:
-    """(a key for each band, number of distinct hashes). Texts without words share all keys."""
-    h = np.unique(np.array(hashes, np.uint64))
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The minimum hashes of a set of distinct hashes; all ones for an empty set."""
     a, b = multipliers()
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for first in range(0, len(h), 1024):
         part = (h[first : first + 1024] >> np.uint64(32)).astype(np.uint32)
         least = np.minimum(least, (part * a + b).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band. Texts without words share all keys."""
     key = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
         key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64), len(h)
+    return key.view(np.int64)
 
 
 def alike(a: set[int], b: set[int], least: float) -> bool:
@@ -58,15 +66,38 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(named: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, n, bands)"""
+    """(key, doc_id, n, fp, bands, sketch): n distinct runs, SimHash of all runs, keys of the bands, a byte of each minimum hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bands(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()]
-            keys = pa.array([k for k, _ in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), keys], ["key", "doc_id", "n", "bands"])
+            n, fps, keys, sketches = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                h = np.array(shingle_hashes(t, width), "<u8")
+                fps.append(majority(h))
+                distinct = np.unique(h)
+                least = least_hashes(distinct)
+                n.append(len(distinct))
+                keys.append(bands(least))
+                sketches.append(least.astype(np.uint8).tobytes())
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), flat)
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "n", "fp", "bands", "sketch"])
+
+    return named.mapInArrow(run, "key long, doc_id long, n long, fp long, bands array<long>, sketch binary")
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in that share of places."""
 
-    return named.mapInArrow(run, "key long, doc_id long, n long, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
+            keep = (x == y).mean(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, named: DataFrame, width: int, least: float) -> DataFrame:
@@ -88,38 +119,46 @@ def confirmed(pairs: DataFrame, named: DataFrame, width: int, least: float) -> D
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0.8, slack: float = 0.2) -> DataFrame:
     """signed: stored signatures → (a, b) of keys: links that join all near copies among the candidates."""
-    distinct = signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    spread = stored(distinct).select("key", "n", F.explode("bands").alias("bucket"))
+    distinct = stored(signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch"))))
+    sketches = distinct.select("key", "sketch")
+    # by fingerprint: texts that share one, against the least of them; and the least of fingerprints that link
+    heads = stored(distinct.groupBy("fp").agg(F.min("key").alias("head")))
+    same = distinct.join(heads, "fp").where("head <> key").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near_fp = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # by band
+    spread = distinct.select("key", "n", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("bucket", "head")
     member = stored(spread.join(full, "bucket"))
     # of sets whose sizes differ by more none are alike
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)
     sizes = member.where("key = head").select(F.col("key").alias("head"), F.col("n").alias("m")).distinct()
-    stars = stored(member.where("key <> head").join(sizes, "head").where(near).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    first = stored(confirmed(stars, named, width, least))
-    rooted = member.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
-    rooted = stored(rooted)
+    starred = member.where("key <> head").join(sizes, "head").where(near).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    stars = stored(starred.union(same).union(near_fp).distinct())
+    first = stored(confirmed(stored(agreeing(stars, sketches, least - slack)), named, width, least))
+    rooted = stored(member.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     left = stored(rooted.join(split, "bucket"))
     a, b = left.toDF("bucket", "a", "n", "ra"), left.toDF("bucket", "b", "m", "rb")
-    rest = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
-    return first.union(stored(confirmed(stored(rest.join(stars, ["a", "b"], "left_anti")), named, width, least)))
+    rest = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return first.union(stored(confirmed(stored(agreeing(rest, sketches, least - slack)), named, width, least)))
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that stand for their group of near copies: the one with the smallest id.
 
-    Null and empty texts are copies of one another. Of rows that share that id one stays. Rows without an id stay, as
-    nothing tells them apart.
+    Null and empty texts are copies of one another. Where texts of one id stand for different groups each stays; of rows
+    with the same id and text one stays, the first by a hash of all columns. Rows without an id stay, as nothing tells
+    them apart. An empty table gives no rows.
     """
     named = texts(docs, id_col, text_col)
     signed = stored(signatures(named, width))
     roots = components(copies(signed, named, width, least))
     ids = signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     member = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("s")).groupBy(F.col("s.doc_id").alias("_id")).agg(F.min("s.key").alias("_key"))
+    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_key"))
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = docs.join(stays, (F.col(id_col).cast("long") == F.col("_id")) & (key == F.col("_key"))).withColumn("_n", F.row_number().over(_by("_id")))
-    return found.where("_n = 1").drop("_id", "_key", "_n").unionByName(docs.where(F.col(id_col).isNull()))
+    found = docs.join(stays, (F.col(id_col).cast("long") == F.col("_id")) & (key == F.col("_key")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+    return found.withColumn("_n", nth).where("_n = 1").drop("_id", "_key", "_n").unionByName(docs.where(F.col(id_col).isNull()))

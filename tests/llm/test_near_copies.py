@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_operators import texts_of
 
@@ -53,9 +54,11 @@ def test_recall_of_candidates(spark, edited):
     """Of the pairs at 0.8 or more, 99.9 % share a band; all links are at 0.8 or more."""
     rows = texts_of(edited)
     want = brute_pairs(rows)
-    keys = {i: set(near_copies.bands(near_copies.shingle_hashes(t, 5))[0].tolist()) for i, t in rows}
+    least = {i: near_copies.least_hashes(np.unique(np.array(near_copies.shingle_hashes(t, 5), np.uint64))) for i, t in rows}
+    keys = {i: set(near_copies.bands(x).tolist()) for i, x in least.items()}
     assert len(want) > 200
     assert sum(bool(keys[a] & keys[b]) for a, b in want) >= 0.999 * len(want)
+    assert all((least[a].astype(np.uint8) == least[b].astype(np.uint8)).mean() >= 0.65 for a, b in want)
 
 
 def test_stage_against_brute_force(spark, edited):
@@ -73,3 +76,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect() if r.doc_id) == [(False, i) for i in (1, 4, 7, 8, 9, 10, 11)]
     assert kept.where("doc_id is null").count() == 2
     assert stored(near_copies.one_of_near_copies(no_docs)).count() == 0
+
+
+def test_ties(spark):
+    """Rows that share an id, in any order: each text's group keeps one, and of equal rows one stays."""
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = [(1, a, "s"), (7, a, "s"), (7, b, "s"), (7, b, "t"), (7, b, "s"), (9, None, "s"), (8, "", "s")]
+    for order in (rows, rows[::-1]):
+        for n in (1, 3):
+            kept = near_copies.one_of_near_copies(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n))
+            got = sorted((r.doc_id, r.text) for r in kept.collect())
+            assert got == [(1, a), (7, b), (8, "")]
+    picked = {near_copies.one_of_near_copies(spark.createDataFrame(o, "doc_id long, text string, source string")).where("doc_id = 7").first().source for o in (rows, rows[::-1])}
+    assert len(picked) == 1

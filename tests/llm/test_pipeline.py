@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import brute_components, brute_fingerprint, brute_rules, texts_of
+from test_near_copies import brute_stays
+from test_operators import brute_rules, texts_of
 
 from cairn.llm import piece_codec, secret_scan
 from cairn.llm.common import stored
@@ -18,8 +19,7 @@ def test_stages(spark, docs, sf):
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
     assert base_ok & good <= {i for i, _ in texts_of(kept)}
     single = stored(stage[names[1]](spark, kept, sf))
-    roots = brute_components({i: brute_fingerprint(t) for i, t in texts_of(kept)})
-    assert sorted(i for i, _ in texts_of(single)) == sorted(set(roots.values()))
+    assert sorted(i for i, _ in texts_of(single)) == brute_stays(texts_of(kept))
     clean = stored(stage[names[2]](spark, single, sf))
     s = secret_scan.Scanner()
     assert dict(texts_of(clean)) == {i: secret_scan.redacted(t, s.spans(t)) for i, t in texts_of(single)}
