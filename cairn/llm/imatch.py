@@ -21,7 +21,7 @@ SPLIT = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Lexicon:
-    """idf = ln(documents / documents with the term); scales: m of each scale; digits: hexadecimal ones of a subset's hash."""
+    """idf = ln(documents / documents with the term); scales: m of each scale; digits: hexadecimal ones of a subset's hash; max_broadcast: rows of a lexicon, or of bounds, up to which they are broadcast, else joined by shuffle; bucket: rows put in sequence together; cells: quantiles of ids from which buckets are cut."""
 
     idf_low: float = 1.5
     idf_high: float = 8.0
@@ -31,7 +31,7 @@ class Lexicon:
     digits: int = 4
     max_broadcast: int = 3_000_000
     bucket: int = 1000
-    max_buckets: int = 200_000
+    cells: int = 4096
 
 
 def terms(text: Column) -> Column:
@@ -86,26 +86,54 @@ def likeness(a: Column, b: Column, rules: Lexicon) -> Column:
     return once(codes, shares)
 
 
+def cell_of(bounds: list[int]) -> Column:
+    """Where doc_id stands among sorted bounds, the last being the largest id: 2k between the k-th and the one before, 2k + 1 on the k-th, -1 for null. Bounds are looked up in groups of 64."""
+    groups = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    longs = lambda x: F.array(*(F.lit(int(v)).cast("bigint") for v in x))
+    below = lambda x: F.size(F.filter(x, lambda b: b < F.col("doc_id")))
+    table = F.array(*map(longs, groups))
+
+    def inner(j: Column) -> Column:
+        return once(F.element_at(table, j + 1), lambda g: once(below(g), lambda i: (j * 64 + i) * 2 + F.when(F.element_at(g, i + 1) == F.col("doc_id"), 1).otherwise(0)))
+
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(once(below(longs([g[-1] for g in groups])), inner)).cast("long")
+
+
 def in_sequence(docs: DataFrame, rules: Lexicon) -> DataFrame:
     """docs(doc_id, text) → with bucket, nth, guest, next_text: each document with the next in descending doc_id, after the last the first.
 
-    Ranges of ids are buckets; the first document of a bucket is also a guest at the end of the bucket before it, so
-    that one shuffle by bucket brings neighbours together. Rows with one id follow each other by text; null ids are last.
+    Buckets are parts of cells, which quantiles of the ids bound, so that neither an outlying id nor one that many rows
+    share fills one: rows of a single id, and those without, are parted by the hash of their text. The first document of
+    a bucket is also a guest at the end of the bucket before it, so that one shuffle by bucket brings neighbours
+    together. Rows with one id follow each other by hash and text; null ids are last.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = max(1, min(rules.max_buckets, -(-n // rules.bucket)))
-    width = ((high or 0) - (low or 0) + 1) / buckets
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    own = docs.withColumn("bucket", bucket)
-    order = Window.orderBy("bucket")  # over one row a bucket, max_buckets + 1 at most
-    tops = own.groupBy("bucket").agg(F.max("doc_id").alias("top")).withColumn("host", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(Window.partitionBy())))
-    placed = own.join(F.broadcast(tops.withColumnRenamed("bucket", "_b")), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
-    stays = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guest"))
-    visits = F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
-    placed = placed.withColumn("p", F.explode(F.when(F.col("host").isNull(), F.array(stays)).otherwise(F.array(stays, visits))))
-    placed = placed.select(F.col("p.at").alias("bucket"), F.col("p.guest").alias("guest"), "doc_id", "text")
-    line = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    return placed.select("*", F.row_number().over(line).alias("nth"), F.lead("text").over(line).alias("next_text"))
+    spark = docs.sparkSession
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    n = docs.count()
+    share = [k / max(1, min(rules.cells, n // rules.bucket)) for k in range(1, max(1, min(rules.cells, n // rules.bucket)))]
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, share)) if share else F.array(F.lit(1.0)), F.lit(20_000)).alias("q"), F.max("doc_id").alias("top")).first()  # `cells` numbers
+    bounds = sorted({*(found.q or []), found.top}) if found.top is not None else [0]
+    placed = docs.withColumn("cell", cell_of(bounds))
+    cells, base = [], 0
+    for r in sorted(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect(), key=lambda r: r.cell):  # two a bound at most
+        parts = -(-r.n // rules.bucket)
+        cells.append((r.cell, base, parts, r.low, None if r.low == r.high else float(r.high - r.low + 1)))
+        base += parts
+    table = F.broadcast(spark.createDataFrame(cells, "cell long, base long, parts long, low long, width double"))
+    # a hash goes up where buckets go down
+    by_hash = F.col("parts") - 1 - F.floor(F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 33) / F.lit(float(2**31)) * F.col("parts"))
+    part = F.when(F.col("width").isNull(), by_hash).otherwise(F.least(F.col("parts") - 1, F.floor((F.col("doc_id") - F.col("low")) / F.col("width") * F.col("parts"))))
+    own = placed.join(table, "cell").withColumn("bucket", (F.col("base") + part).cast("long")).select("bucket", "doc_id", "hash", "text")
+    order = Window.orderBy("bucket")  # over a row a bucket
+    first = F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.bitwise_not("hash").alias("h"))).alias("first")
+    tops = own.groupBy("bucket").agg(first).select(F.col("bucket").alias("_b"), F.col("first.i").alias("_i"), F.bitwise_not("first.h").alias("_h"), F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("host"))
+    tops = F.broadcast(tops) if base <= rules.max_broadcast else tops
+    visits = own.join(tops, (F.col("bucket") == F.col("_b")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_i")) & (F.col("hash") == F.col("_h")), "left")
+    stays, visit = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
+    placed = visits.withColumn("p", F.explode(F.when(F.col("host").isNull(), F.array(stays)).otherwise(F.array(stays, visit))))
+    placed = placed.select(F.col("p.at").alias("bucket"), F.col("p.guest").alias("guest"), "doc_id", "hash", "text")
+    line = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "hash", "text")
+    return placed.select("bucket", "guest", "doc_id", "text", F.row_number().over(line).alias("nth"), F.lead("text").over(line).alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, rules: Lexicon = Lexicon(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +141,8 @@ def fingerprints(docs: DataFrame, rules: Lexicon = Lexicon(), id_col: str = "doc
 
     Edited: the last third of the code points, rounded down, is replaced by as many from the front of the next document
     (all, if it is shorter). A null text is empty. Equal texts have equal fingerprints and a likeness of 1; a text without
-    terms of the lexicon is like its equals only. Lexicon and sequence are taken over all rows.
+    terms of the lexicon is like its equals only. Lexicon and sequence are taken over all rows. Repeated rows are each
+    fingerprinted; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     band = stored(lexicon(docs, rules))

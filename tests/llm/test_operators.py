@@ -251,24 +251,78 @@ def test_redaction_keeps_rows(odd_docs):
 # --- 8
 
 
-@pytest.mark.parametrize("which", ["docs", "odd_docs"])
-def test_imatch(request, which):
-    df = request.getfixturevalue(which)
-    rows = sorted(texts_of(df), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
-    got = imatch.fingerprints(df, imatch.Lexicon(bucket=7)).collect()
-    want = []
+def spark_hash(values, last):
+    """Spark's xxhash64 of an array of longs and an int: each one's XXH64 is seeded by the one before, the first by 42."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), h)
+    h = xxhash.xxh64_intdigest((last % 2**32).to_bytes(4, "little"), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def long_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_imatch(rows, rules):
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), row by row."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), long_hash(r[1]), r[1].encode()))
+    terms = lambda t: {long_hash(w) for w in re.split(r"[\x20\x09-\x0D]+", lower(t)) if w}
+    df = Counter(h for _, t in rows for h in terms(t))
+    band = {h for h, k in df.items() if k >= rules.least_documents and rules.idf_low <= math.log(len(rows) / k) <= rules.idf_high}
+
+    def signed(t):
+        own = sorted(terms(t) & band)
+        out = []
+        for m in rules.scales:
+            for k in range(rules.per_scale):
+                subset = [h for h in own if h % m == k]
+                out.append(spark_hash(subset, m) % 16**rules.digits if subset else -1)
+        rest = 42
+        for h in sorted(terms(t)):
+            rest = xxhash.xxh64_intdigest((h % 2**64).to_bytes(8, "little"), rest)
+        return out, ("".join("-" * rules.digits if v < 0 else f"{v:0{rules.digits}X}" for v in out) if own else f"none:{rest:X}")
+
+    def like(a, b):
+        if a[1] == b[1]:
+            return 1.0
+        if a[1].startswith("none:") or b[1].startswith("none:"):
+            return 0.0
+        share = lambda x, y, least: (lambda f: sum(p == q for p, q in f) / len(f) if len(f) >= least else 0.0)([(p, q) for p, q in zip(x, y, strict=True) if p >= 0 or q >= 0])
+        n = rules.per_scale
+        return max([share(a[0], b[0], 1), *(share(a[0][i * n : i * n + n], b[0][i * n : i * n + n], 4) for i in range(len(rules.scales)))])
+
+    out = []
     for k, (i, t) in enumerate(rows):
-        n = len(t) // 3
-        after = rows[(k + 1) % len(rows)][1]
-        want.append((i, len(t), hashlib.sha256(((t[: len(t) - n] + after[:n]) if n else t).encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
-    by_id = {r.doc_id: r.fingerprint for r in got if r.doc_id is not None}
-    same = defaultdict(set)
-    for i, t in rows:
-        if i is not None:
-            same[t].add(by_id[i])
-    assert all(len(v) == 1 for v in same.values())
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        after, n = rows[(k + 1) % len(rows)][1], len(t) // 3
+        edited = t[: len(t) - n] + after[:n] if n else t
+        a, e, b = signed(t), signed(edited), signed(after)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a[1], e[1], round(like(a, e), 6), round(like(a, b), 6)))
+    return out
+
+
+@pytest.mark.parametrize(("which", "cells"), [("docs", 4096), ("docs", 3), ("odd_docs", 4096)])
+def test_imatch(request, which, cells):
+    df = request.getfixturevalue(which)
+    rules = imatch.Lexicon(bucket=7, cells=cells, idf_low=0.5 if which == "odd_docs" else 1.5)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 6), round(r.near_next, 6)) for r in imatch.fingerprints(df, rules).collect()]
+    assert sorted(got, key=repr) == sorted(brute_imatch(texts_of(df), rules), key=repr)
+
+
+def test_imatch_sequence_has_no_full_bucket(spark):
+    """Outlying ids, one id for a third of the rows and null ids leave buckets of bounded size, and every row its next."""
+    ids = [*range(400), 10**15, -(10**15), *[77_777] * 300, *[None] * 300]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = imatch.in_sequence(df, imatch.Lexicon(bucket=20)).where("not guest").collect()
+    assert len(rows) == len(ids)
+    assert max(Counter(r.bucket for r in rows).values()) <= 60
+    order = sorted(((i, f"text {k}") for k, i in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), long_hash(r[1])))
+    assert {r.text: r.next_text for r in rows} == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
+def test_imatch_empty_table(no_docs):
+    assert imatch.fingerprints(no_docs).collect() == []
 
 
 def test_imatch_tells_edits_from_others(docs):
@@ -411,3 +465,22 @@ def test_permutation():
 
 def test_empty_mix(no_docs):
     assert mixing.mix_sources(no_docs).taken().count() == 0
+
+
+def test_empty_tables(spark, no_docs):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_text(pages).collect() == [] and repetition.quality_rules(no_docs).collect() == [] and secret_scan.scan_secrets(no_docs).collect() == []
+    assert repetition.kept_documents(no_docs).collect() == [] and url_filter.filter_urls(pages).collect() == [] and piece_codec.encode_pieces(no_docs).collect() == []
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "http://a.com/fr/x", "<p>x"), (1, "http://a.com/fr/x", "<p>x"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(repr, html_text.extract_text(pages).collect())) == sorted(["Row(page_id=1, text='x', n_lines=1)"] * 2 + ["Row(page_id=None, text='', n_lines=0)"] * 2)
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == 4 and {(r.page_id, r.verdict) for r in got} == {(1, "allow"), (None, "allow")}
+
+
+def test_decoding_beside_a_text_column(docs):
+    encoded = piece_codec.encode_pieces(docs).join(docs.select("doc_id", F.lit("old").alias("text")), "doc_id")
+    assert sorted((r.doc_id, r.text) for r in piece_codec.decode_pieces(encoded).collect()) == sorted(texts_of(docs))
