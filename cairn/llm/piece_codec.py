@@ -140,7 +140,7 @@ def loaded(path: str) -> Pieces:
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, most: int = 4_000_000) -> DataFrame:
-    """One row for each row of docs: doc_id, piece_ids, n_pieces. Null and empty texts have no pieces.
+    """One row for each row of docs: doc_id, piece_ids, n_pieces. Null and empty texts have no pieces; repeated rows are encoded each.
 
     model: path of a SentencePiece file, the same on every executor; most: characters whose words share one trie.
     """
@@ -158,7 +158,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with the column text that piece_ids stand for: exactly the encoded text. Null ids have a null text."""
+    """encoded with the column text that piece_ids stand for: exactly the encoded text. Null ids have a null text; a column text that encoded has gives way."""
+    encoded = encoded.drop("text")
     at = encoded.columns.index("piece_ids")
     schema = encoded.select("*", F.lit("").alias("text")).schema
     schema["text"].nullable = True

@@ -70,7 +70,53 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_sentencepiece, op4_simhash, op5_quality_rules, op6_url_filters, op7_secret_scans, op8_fingerprints, op9_quality_classifier, op10_mixing, pipeline)}
+# The columns of these queries that SQL can express, each from its operator.
 
-#: The operators' learned or pseudorandom columns have no SQL; tests hold those queries against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+def base1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base5_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op6_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", ruled.alias("ruled"))
+
+
+def base8_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def base10_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", (F.col("taken") <= 3 * F.col("size")).alias("bounded"))
+
+
+OPERATORS = (op1_lm_scoring, op2_html_extraction, op3_sentencepiece, op4_simhash, op5_quality_rules, op6_url_filters, op7_secret_scans, op8_fingerprints, op9_quality_classifier, op10_mixing, pipeline)
+BASES = (base1_token_counts, base5_text_counts, base6_url_rules, base8_edited_texts, base10_sizes)
+QUERIES: dict[str, Query] = {f.__name__: f for f in (*OPERATORS, *BASES)}
+
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: A byte, then eight steps of a bit each.
+CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END), 4294967295::BIGINT)"
+
+#: The operators' learned, pseudorandom or hashed columns have no SQL; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "base1_token_counts": f"""WITH d AS (SELECT doc_id, {CRC32} % 5 = 1 AS held_out, {WORDS.format(LOWER.format("text"))} AS w FROM documents), t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+      n AS (SELECT (SELECT coalesce(sum(c), 0) FROM c) + count(*) FILTER (NOT held_out) AS n, (SELECT count(*) FROM c) + CASE WHEN count(*) FILTER (NOT held_out) > 0 THEN 1 ELSE 0 END AS v, count(*) FILTER (NOT held_out) AS docs FROM d),
+      s AS (SELECT doc_id, count(c) AS known, sum(log10(coalesce(c, 0) + 0.5)) AS logs FROM t LEFT JOIN c USING (word) GROUP BY 1)
+      SELECT d.doc_id, held_out, len(w) + 1 AS n_tokens, coalesce(known, 0) + CASE WHEN docs > 0 THEN 1 ELSE 0 END AS n_known, CAST(n AS BIGINT) AS train_tokens, round(coalesce(logs, 0) + log10(docs + 0.5) - (len(w) + 1) * log10(n + 0.5 * (v + 1)), 3) AS base_score FROM d CROSS JOIN n LEFT JOIN s ON s.doc_id = d.doc_id""",
+    "base5_text_counts": f"""WITH d AS (SELECT doc_id, text, coalesce({WORDS.format("text")}, []) AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM d, range(1, 200000) r(i) WHERE i + 4 <= len(w)),
+      k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g), p AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM k, range(0, 5) o(j) WHERE n > 1 GROUP BY 1), x AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(list_filter(l, lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(l, lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p USING (doc_id))
+      SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x""",
+    "base6_url_rules": f"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {LOWER.format("regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')")} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+      r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, rh, rp)),
+      m AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp) AS k FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+      SELECT h.page_id, host, path, rule, verdict AS ruled FROM h LEFT JOIN m ON m.page_id = h.page_id AND k = 1""",
+    "base8_edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS a FROM documents) SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(a, 1, length(t) // 3)) AS edited_sha256 FROM d""",
+    "base10_sizes": f"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size, true AS bounded FROM (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents)""",
+}

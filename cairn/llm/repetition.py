@@ -141,7 +141,7 @@ def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), i
 
 
 def kept_documents(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that the rules keep."""
+    """The rows of docs, with all columns, that the rules keep. Null and empty texts go; repeated rows are judged each; an empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
