@@ -15,8 +15,12 @@ def local_folder() -> str:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; below a local folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder()
+    """A new path below spark.checkpoint.dir; below a local folder only where that is unset and Spark runs in one process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = local_folder()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
