@@ -132,13 +132,9 @@ def cut_bytes(text: Column, most: int, suffix: str = "") -> Column:
     if most <= 0:
         return text
 
-    def of(front: Column) -> Column:
-        # a front cut within a character ends in a replacement character
-        whole = F.regexp_replace(F.decode(front, "utf-8"), "�+$", "")
-        return F.concat(whole, F.lit(suffix))
-
     raw = F.encode(text, "utf-8")
-    return F.when(F.octet_length(text) <= most, text).otherwise(of(F.substring(raw, 1, most)))
+    whole = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(min(4, most + 1))))  # a character has four bytes at most
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit(suffix)))
 
 
 def sanitised(text: Column, most_bytes: int = 0, most_repeats: int = 5) -> Column:
