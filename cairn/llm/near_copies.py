@@ -4,10 +4,11 @@ Candidates come from two sides. SimHash fingerprints of the runs that differ in
 points, as everywhere in this subpackage; but texts at 0.8 differ in about ten of 64 bits, which no such threshold
 reaches. So texts are candidates as well if they share a band of minimum hashes: of pairs at similarity s,
 1 - (1 - s^7)^32 are expected to share one of the 32 bands, 0.9994 at s = 0.8 and more above. Pairs whose minimum hashes
-agree in under 0.6 of the 224 places are left out (at 0.8, one pair in 10^7 agrees in so few), and each other pair is
-confirmed on the whole sets. A bucket's texts are first held against its least one, and only those that are still in
-different components against one another: a large group that links to its least text costs about its size, one that does
-not up to its square in rows of a few bytes, of which those that agree reach the texts.
+agree in under 0.68 of the 224 places are left out (at 0.8, some three pairs in 10^6 agree in so few), and each other pair is
+confirmed on the whole sets. A bucket's texts are first held against its least one, then in some rounds those of other
+components against one that is picked in each bucket and round. Those that are still in different components are held
+against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: so a
+large group of near copies that do not link costs no square of its size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -102,24 +103,37 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 def confirmed(pairs: DataFrame, named: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are alike, on their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
     whole = stored(named.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, set()
+        known: dict[int, set[int]] = {}  # sets of texts met of late, of `most` runs in all
+
+        def runs(key: int, text: str) -> set[int]:
+            nonlocal size
+            found = known.get(key)
+            if found is None:
+                if size > most:
+                    known.clear()
+                    size = 0
+                found = known[key] = set(shingle_hashes(text, width))
+                size += len(found)
+            return found
+
+        size, most = 0, 500_000
         for batch in batches:
             keep = []
-            for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, seen = a, set(shingle_hashes(left, width))
-                keep.append(alike(seen, set(shingle_hashes(right, width)), least))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)
+                keep += [alike(runs(a, left), runs(b, right), least) for a, b, left, right in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(whole.toDF("a", "left"), "a").join(whole.toDF("b", "right"), "b")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0.8, slack: float = 0.2) -> DataFrame:
+def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0.8, slack: float = 0.12, rounds: int = 3) -> DataFrame:
     """signed: stored signatures → (a, b) of keys: links that join all near copies among the candidates."""
     distinct = stored(signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch"))))
     sketches = distinct.select("key", "sketch")
@@ -136,13 +150,58 @@ def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0
     sizes = member.where("key = head").select(F.col("key").alias("head"), F.col("n").alias("m")).distinct()
     starred = member.where("key <> head").join(sizes, "head").where(near).select(F.col("head").alias("a"), F.col("key").alias("b"))
     stars = stored(starred.union(same).union(near_fp).distinct())
-    first = stored(confirmed(stored(agreeing(stars, sketches, least - slack)), named, width, least))
-    rooted = stored(member.join(components(first).withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    left = stored(rooted.join(split, "bucket"))
-    a, b = left.toDF("bucket", "a", "n", "ra"), left.toDF("bucket", "b", "m", "rb")
-    rest = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return first.union(stored(confirmed(stored(agreeing(rest, sketches, least - slack)), named, width, least)))
+    confirm = lambda pairs: stored(confirmed(stored(agreeing(pairs, sketches, least - slack)), named, width, least))
+    degree = member.groupBy("key").agg(F.count("*").alias("degree"))
+    member = stored(member.join(degree, "key"))
+    tested, found = stars, confirm(stars)
+    for turn in range(rounds + 1):
+        rooted = stored(member.join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        left = stored(rooted.join(split, "bucket"))
+        member = left.drop("root")
+        if turn < rounds:
+            # the first time the text that stands in the most full buckets, as the source of a group of copies does
+            order = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
+            pairs = left.join(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra"), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
+        else:
+            pairs = possible(left, own_runs(left, named, width), least)
+        fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested, found = tested.union(fresh), found.union(confirm(fresh))
+    return found
+
+
+def own_runs(left: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """(key, u): how many runs of each text of left(key, …) none of its other texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                h = np.unique(np.array(shingle_hashes(text, width), np.uint64)).view(np.int64)
+                for first in range(0, len(h), 10_000):
+                    part = h[first : first + 10_000]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(part), np.int32))), pa.array(part)], ["key", "run"])
+
+    keys = left.select("key").distinct()
+    whole = named.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    alone = whole.mapInArrow(run, "key long, run long").groupBy("run").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
+    return keys.join(alone.groupBy("key").agg(F.count("*").alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 50) -> DataFrame:
+    """left(bucket, key, n, root), own(key, u) → (a, b): pairs of one bucket and different roots that can be alike, given the runs that each has alone.
+
+    With shares p and q of such runs, |A and B| is at most (1 - p) |A| and |A or B| at least |A| + q |B|, so that two texts
+    are alike only if (1 - p) / (1 + q) reaches `least` for the one of fewer runs, and then q is under (1 - p) / least - 1.
+    A text meets the levels of q below that bound, and no pairs beyond it arise; a pair arises in the least bucket that
+    both share.
+    """
+    own = own.join(left.groupBy("key").agg(F.collect_set("bucket").alias("buckets")), "key")  # `BANDS` at most
+    rows = stored(left.join(own, "key").select("bucket", "buckets", "key", "n", "root", "u", F.floor(F.col("u") / F.greatest("n", F.lit(1)) * levels).cast("int").alias("level")))
+    top = F.floor(((1 - F.col("u") / F.greatest("n", F.lit(1))) / least - 1) * levels).cast("int")
+    a = rows.withColumn("top", top).where("top >= 0").select("bucket", F.col("buckets").alias("own"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("u").alias("ua"), F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    b = rows.select("bucket", "buckets", "level", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"))
+    both, either = F.least(F.col("m") - F.col("ua"), F.col("n") - F.col("ub")), F.greatest(F.col("m") + F.col("ub"), F.col("n") + F.col("ua"))
+    return a.join(b, ["bucket", "level"]).where((F.col("ra") != F.col("root")) & (both >= F.lit(least) * either - F.lit(1e-9)) & (F.col("bucket") == F.array_min(F.array_intersect("own", "buckets")))).select("a", "b")
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
