@@ -35,12 +35,17 @@ def packed(df: DataFrame, id_col: str, text: str, most_tokens: int) -> DataFrame
     paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
     atoms = F.flatten(F.transform(paragraphs, lambda p: F.when(size(p) > most_tokens, F.transform(F.split(p, "\n"), lambda l: F.struct(l.alias("t"), F.lit("\n").alias("j")))).otherwise(F.array(F.struct(p.alias("t"), F.lit("\n\n").alias("j"))))))  # noqa: E741
 
-    def step(acc: Column, atom: Column) -> Column:
-        last = F.element_at(acc, -1)
-        whole = F.concat(last, atom["j"], atom["t"])
-        return F.when(F.size(acc) == 0, F.array(atom["t"])).when(size(whole) > most_tokens, F.concat(acc, F.array(atom["t"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(whole)))
+    kind = "struct<done:array<string>,last:string>"  # only a full chunk is put to the others
 
-    cut = df.select(id_col, F.aggregate(atoms, F.array().cast("array<string>"), step).alias("c"))
+    def step(acc: Column, atom: Column) -> Column:
+        whole = F.concat(acc["last"], atom["j"], atom["t"])
+        first, full = acc["last"] == "", size(whole) > most_tokens
+        done = F.when(first | ~full, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"])))
+        return F.struct(done.alias("done"), F.when(first | full, atom["t"]).otherwise(whole).alias("last")).cast(kind)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last")).cast(kind)
+    end = lambda acc: F.when(acc["last"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"])))
+    cut = df.select(id_col, F.aggregate(atoms, start, step, end).alias("c"))
     return cut.select(id_col, F.posexplode("c").alias("chunk", "content"))
 
 

@@ -123,9 +123,9 @@ def symbol_specificity(kind: Column, name: Column, value: Column, exported: Colu
     return F.least(F.lit(1.0), total)
 
 
-def canonical_date(text: Column, scan: int = 500) -> Column:
-    """The first valid date of, in turn: a changelog heading, a version line, a metadata field, any ISO date, within the first `scan` characters."""
-    head = F.substring(text, 1, scan)
+def canonical_date(text: Column, scan: int | None = 500) -> Column:
+    """The first valid date of, in turn: a changelog heading, a version line, a metadata field, any ISO date, within the first `scan` characters, or the whole text for None."""
+    head = text if scan is None else F.substring(text, 1, scan)
     patterns = (r"(?m)^#+\s*\[[^\]]+\]\s*-\s*(\d{4}-\d{2}-\d{2})", r"(?i)version\s+[\d.]+\s*\((\d{4}-\d{2}-\d{2})\)", r"(?im)^\s*(?:date|published|updated|created)\s*:\s*(\d{4}-\d{2}-\d{2})", r"\b(\d{4}-\d{2}-\d{2})\b")
     return F.coalesce(*(F.try_to_timestamp(F.nullif(F.regexp_extract(head, p, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date") for p in patterns))
 
