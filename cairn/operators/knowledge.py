@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.intent import negation_differs
 from ..functions.scalars import cosine
-from ..sources.files import knn_blocks
 from .graph import activation, edge_attention
 from .learn import centroids
+from .vectors import knn_blocks
 
 
 def contradiction_candidates(points: DataFrame, queries: DataFrame, texts: DataFrame, least: float = 0.8, most: int = 5) -> DataFrame:

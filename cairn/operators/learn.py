@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, dot, edge_decay, hebbian, jaccard
-from ..sources.files import knn_blocks
+from ..functions.scalars import cosine, edge_decay, hebbian
 from ..sources.scratch import stored
+from .vectors import cross_pairs, kmeans, knn_blocks, pivot_pairs, vector_means
+
+__all__ = ["kmeans", "knn_blocks", "vector_means"]
 
 
 def coactivated(edges: DataFrame, pairs: DataFrame, eta: float = 0.02, mu: float = 0.01) -> DataFrame:
@@ -44,11 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, recall: float = 0.95, block: int = 1024, seed: int = 3) -> DataFrame:
+def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, recall: float = 0.95, block: int = 4096, seed: int = 3) -> DataFrame:
     """(a, b, sim) with a < b and cosine at least `least`. Vectors of another length than the first are near none.
 
-    planes = 0 is exact: every pair is compared, in blocks, and the work grows with the square of the points. planes > 0
-    compares points that share a side of `planes` random planes in one of as many tables as give that recall at `least`,
+    planes = 0 is exact: blocks of about `block` points that lie near the same pivots meet, but for those that the pivots
+    tell apart (vectors.pivot_pairs). planes > 0 compares points that share a side of `planes` random planes in one of as many tables as give that recall at `least`,
     more above it; each pair is then checked. Points of one key are compared in blocks of about `block`, whatever their number.
     """
     import math
@@ -59,25 +61,24 @@ def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector:
     p = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     width = len((points.select(vector).where(F.col(vector).isNotNull()).first() or [[]])[0])
     p = p.where(F.size("v") == width)
-    if planes:
-        share = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** planes
-        tables = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - share)))) if share < 1 else 1
-        sides = np.random.default_rng(seed).standard_normal((width, tables * planes))
-
-        def keys(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = batch.column(1).flatten().to_numpy().reshape(-1, width)
-                    bits = (x @ sides > 0).reshape(len(x), tables, planes) @ (1 << np.arange(planes, dtype=np.int64))
-                    key = bits + (np.arange(tables, dtype=np.int64) << planes)
-                    at = np.repeat(np.arange(len(x)), tables)
-                    for i in range(0, len(at), 10_000):
-                        part = pa.array(at[i : i + 10_000])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(key.ravel()[i : i + 10_000])], ["id", "v", "key"])
-
-        keyed = p.mapInArrow(keys, f"id {dict(p.dtypes)['id']}, v array<double>, key long")
-    else:
-        keyed = p.withColumn("key", F.lit(0).cast("long"))
+    if not planes:
+        return pivot_pairs(p, least, block)
+    share = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** planes
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - share)))) if share < 1 else 1
+    sides = np.random.default_rng(seed).standard_normal((width, tables * planes))
+
+    def keys(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy().reshape(-1, width)
+                bits = (x @ sides > 0).reshape(len(x), tables, planes) @ (1 << np.arange(planes, dtype=np.int64))
+                key = bits + (np.arange(tables, dtype=np.int64) << planes)
+                at = np.repeat(np.arange(len(x)), tables)
+                for i in range(0, len(at), 10_000):
+                    part = pa.array(at[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(key.ravel()[i : i + 10_000])], ["id", "v", "key"])
+
+    keyed = p.mapInArrow(keys, f"id {dict(p.dtypes)['id']}, v array<double>, key long")
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).alias("n"))
     placed = keyed.join(sizes, "key").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
     cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least(F.col("k"), j).alias("i"), F.greatest(F.col("k"), j).alias("j"))))
@@ -97,7 +98,18 @@ def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector:
 
     kind = dict(p.dtypes)["id"]
     found = placed.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
-    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")).where(F.col("sim") >= least) if planes else found.where(F.col("sim") >= least)
+    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")).where(F.col("sim") >= least)
+
+
+def conflicts(nodes: DataFrame, linked: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """nodes(id, kind, embedding), linked(a, b) → (a, b, sim), a < b: nodes of opposing kinds with cosine at least `least` that no link joins yet, in either direction; the `most` nearest if given."""
+    for_it, against = nodes.where(F.col("kind").isin("must", "should")), nodes.where(F.col("kind").isin("must_not", "should_not"))
+    side = lambda df: df.select(F.col("id").alias("vec_id"), "embedding")
+    met = cross_pairs(side(for_it), side(against), least)
+    pairs = met.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b"), "sim")
+    known = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fresh = pairs.join(known, ["a", "b"], "left_anti")
+    return fresh.orderBy(F.desc("sim"), "a", "b").limit(most) if most is not None else fresh
 
 
 def dbscan(points: DataFrame, pairs: DataFrame, least_neighbours: int, id_col: str = "vec_id") -> DataFrame:
@@ -113,9 +125,14 @@ def dbscan(points: DataFrame, pairs: DataFrame, least_neighbours: int, id_col: s
 
 def centroids(points: DataFrame, group: str, vector: str = "embedding", digits: int = 9) -> DataFrame:
     """(group, size, centroid): the mean vector of each group."""
-    flat = points.select(group, F.posexplode(F.col(vector)).alias("pos", "x"))
-    mean = flat.groupBy(group, "pos").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("m"), F.count("*").alias("size"))
-    return mean.groupBy(group).agg(F.max("size").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
+    return vector_means(points, [group], vector, name="centroid", digits=digits)
+
+
+def merged_means(old: DataFrame, new: DataFrame, key: str, digits: int = 9) -> DataFrame:
+    """old(key, size, centroid) after the rows that new(key, size, centroid) is the mean of: (size c + size' c') / (size + size')."""
+    both = old.select(key, "size", "centroid").unionByName(new.select(key, "size", "centroid"))
+    mean = vector_means(both, [key], "centroid", weight="size", digits=digits).drop("size")
+    return both.groupBy(key).agg(F.sum("size").alias("size")).join(mean, key).withColumnRenamed("mean", "centroid")
 
 
 def nearest_centroid(points: DataFrame, centers: DataFrame, group: str, least: float, id_col: str = "vec_id", vector: str = "embedding", most_broadcast: int = 2000) -> DataFrame:
@@ -130,51 +147,60 @@ def nearest_centroid(points: DataFrame, centers: DataFrame, group: str, least: f
     return best.select("id", (-F.col("b.neg")).alias(group), F.col("b.sim").alias("sim")).where(F.col("sim") >= least)
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, cluster): cosine k-means from the farthest-point start at the least id. k centres pass through the driver, points don't."""
-    spark = points.sparkSession
-    unit = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    first = unit.orderBy("id").first()
-    centers = [list(first.v)]
-    for _ in range(k - 1):
-        far = F.greatest(*(cosine(F.col("v"), F.array(*map(F.lit, c))) for c in centers)) if len(centers) > 1 else cosine(F.col("v"), F.array(*map(F.lit, centers[0])))
-        centers.append(list(unit.orderBy(F.round(far, 9), "id").first().v))
-    assigned, before = None, None
-    for _ in range(rounds):
-        table = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "cluster int, centroid array<double>")
-        assigned = nearest_centroid(unit, table, "cluster", -2.0, "id", "v").select("id", "cluster")
-        sums = unit.join(assigned, "id").select("cluster", "v")
-        mean = centroids(sums, "cluster", "v").collect()  # k rows
-        fresh = {r.cluster: list(r.centroid) for r in mean}
-        centers = [fresh.get(i, c) for i, c in enumerate(centers)]
-        if centers == before:
-            break
-        before = [list(c) for c in centers]
-    return assigned
-
-
 def message_pass(nodes: DataFrame, edges: DataFrame, alpha: float, beta: float, vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """nodes(node_id, vector), edges(src, dst, weight) → (node_id, vector): alpha own + beta * weighted mean of what points at it; own where nothing does."""
-    sent = edges.join(nodes.select(F.col("node_id").alias("src"), F.posexplode(F.col(vector)).alias("pos", "x")), "src")
-    mean = sent.groupBy(F.col("dst").alias("node_id"), "pos").agg((F.sum(F.col("weight") * F.col("x").cast("double")) / F.sum("weight")).alias("m"))
-    own = nodes.select("node_id", F.posexplode(F.col(vector)).alias("pos", "x"))
-    new = F.when(F.col("m").isNull(), F.col("x").cast("double")).otherwise(alpha * F.col("x").cast("double") + beta * F.col("m"))
-    out = own.join(mean, ["node_id", "pos"], "left").select("node_id", "pos", F.round(new, digits).alias("x"))
-    return out.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(vector))
+    """nodes(node_id, vector), edges(src, dst, weight), weights of at least 0 → (node_id, vector): alpha own + beta * weighted mean of what points at it; own where nothing does."""
+    sent = edges.join(nodes.select(F.col("node_id").alias("src"), F.col(vector).alias("sent")), "src")
+    mean = vector_means(sent, ["dst"], "sent", weight="weight").select(F.col("dst").alias("node_id"), "mean")
+    own = F.col(vector).cast("array<double>")
+    moved = F.zip_with(own, "mean", lambda x, m: F.round(alpha * x + beta * m, digits))
+    kept = F.transform(own, lambda x: F.round(x, digits))
+    return nodes.join(mean, "node_id", "left").select("node_id", F.when(F.col("mean").isNull(), kept).otherwise(moved).alias(vector))
 
 
-def identity_matches(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """old(cluster, members), new(cluster, members) → (new, old, score): pairs of mutual first choice by Jaccard of members.
+def claims(edges: DataFrame) -> DataFrame:
+    """edges(new, old, turn, preference) → (new, old): each `new`, in the order of `turn`, claims its most preferred `old` that is still free.
 
-    Only clusters that share a member are compared. A mutual first choice is claimed once by construction.
+    Turns differ between the new, preferences between the edges of a new; lower ones come first. In each round every new that
+    holds none asks its next old, and an old keeps the earliest of those that ask and goes back to none of the others: as all
+    old prefer the earlier, what is kept when no one has anyone left to ask is what the claims in order give.
+    """
+    left, held = stored(edges.select("new", "old", "turn", "preference")), None
+    while True:
+        free = left if held is None else left.join(held.select("new"), "new", "left_anti")
+        asks = free.groupBy("new").agg(F.min(F.struct("preference", "old", "turn")).alias("a")).select("new", "a.old", "a.turn")
+        both = asks.withColumn("fresh", F.lit(True)) if held is None else asks.withColumn("fresh", F.lit(True)).unionByName(held.withColumn("fresh", F.lit(False)))
+        kept = stored(both.groupBy("old").agg(F.min(F.struct("turn", "new")).alias("k"), F.max("fresh").alias("fresh")).select("old", "k.turn", "k.new", "fresh"))
+        if not kept.agg(F.max("fresh")).first()[0]:
+            return kept.select("new", "old")
+        # an old never takes a later one than it holds
+        bar = kept.select("old", F.col("turn").alias("bar"))
+        held = kept.select("new", "old", "turn")
+        left = stored(left.join(bar, "old", "left").where(F.col("bar").isNull() | (F.col("turn") <= F.col("bar"))).drop("bar"))
+
+
+def identity_matches(old: DataFrame, new: DataFrame, least: float, least_cosine: float | None = None, order: str = "cluster") -> DataFrame:
+    """old(cluster, members[, centroid]), new(cluster, members[, centroid]) → (new, old, score, by): the old cluster that each new one goes on from.
+
+    The new ones claim in turn, by `order` and cluster: of the old that are still free the one with the highest Jaccard of
+    members, of at least `least`, and if there is none the one with the highest cosine of centroids, of at least
+    `least_cosine`. Ties go to the smaller old id. `by` is members or centroid. Only clusters that share a member are compared
+    by members. Clusters are longs.
     """
-    x = old.select(F.col("cluster").alias("old"), F.col("members").alias("mo"), F.explode("members").alias("m"))
-    y = new.select(F.col("cluster").alias("new"), F.col("members").alias("mn"), F.explode("members").alias("m"))
-    pairs = x.join(y, "m").groupBy("old", "new").agg(F.first("mo").alias("mo"), F.first("mn").alias("mn"))
-    s = pairs.select("old", "new", jaccard(F.col("mo"), F.col("mn")).alias("score")).where(F.col("score") >= least)
-    a = F.row_number().over(Window.partitionBy("new").orderBy(F.desc("score"), "old"))
-    b = F.row_number().over(Window.partitionBy("old").orderBy(F.desc("score"), "new"))
-    return s.withColumns({"_a": a, "_b": b}).where("_a = 1 and _b = 1").select("new", "old", "score")
+    size = lambda df, n: df.select(F.col("cluster").alias(n), F.size(F.array_distinct("members")).alias(f"size_{n}"))
+    x = old.select(F.col("cluster").alias("old"), F.explode(F.array_distinct("members")).alias("m"))
+    y = new.select(F.col("cluster").alias("new"), F.explode(F.array_distinct("members")).alias("m"))
+    hits = x.join(y, "m").groupBy("old", "new").agg(F.count("*").alias("h")).join(size(old, "old"), "old").join(size(new, "new"), "new")
+    score = F.col("h") / (F.col("size_old") + F.col("size_new") - F.col("h"))
+    pairs = hits.select("new", "old", score.alias("score"), F.lit("members").alias("by")).where(F.col("score") >= least)
+    if least_cosine is not None:
+        side = lambda df: df.select(F.col("cluster").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+        near = cross_pairs(side(old), side(new), least_cosine).select(F.col("q").alias("new"), F.col("node").alias("old"), F.col("sim").alias("score"), F.lit("centroid").alias("by"))
+        pairs = pairs.unionByName(near)
+    pairs = stored(pairs)
+    turns = new.select(F.col("cluster").alias("new"), F.struct(F.col(order), F.col("cluster").alias("c")).alias("turn"))
+    ranked = pairs.select("new", "old", F.struct(F.col("by") == "centroid", -F.col("score"), F.col("old")).alias("preference")).join(turns, "new")
+    claimed = claims(ranked).join(pairs, ["new", "old"])
+    return claimed.groupBy("new", "old").agg(F.max(F.struct(F.col("by") == "members", "score", "by")).alias("s")).select("new", "old", "s.score", "s.by")
 
 
 def split_oversized(members: DataFrame, group: str, most: int, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rewards as RW
 from ..functions import scalars as S
 from ..operators import curate as C
+from ..operators import vectors as V
 from ..sources import files
 from ..sources.scratch import fresh_path
 from ..sources.tables import load
@@ -255,7 +256,15 @@ def j10_nearest_existing(spark, sf_dir):
     """Queries are the rows whose id is divisible by 20, against all rows."""
     e = load(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0")
-    return files.knn_blocks(e, q, 5, 0.2)
+    return V.knn_blocks(e, q, 5, 0.2)
+
+
+@query("""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS node, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+  SELECT q, node, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, node) AS k FROM p) WHERE k <= 10""")
+def k1_index_search(spark, sf_dir):
+    """The ten nearest of each query by the inverted file, in its exact form; queries as in j10."""
+    e = load(spark, sf_dir, "embeddings")
+    return V.VectorIndex.build(e).search(e.where("vec_id % 20 = 0"), 10)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM events GROUP BY ALL")

@@ -474,8 +474,13 @@ def g11_query_attention(spark, sf_dir):
     return R.per_source_cap(r, "src", 10, [F.desc("attention"), F.asc("dst")]).withColumn("attention", S.clamp(F.col("attention")))
 
 
-@query(f"""WITH RECURSIVE {PAIRS_SQL}, l AS (SELECT a, b FROM p WHERE sim >= 0.35), t AS (SELECT x.a, x.b, y.b AS c FROM l x JOIN l y ON x.b = y.a JOIN l z ON z.a = x.a AND z.b = y.b), s AS (SELECT a AS u, b AS v FROM t UNION SELECT b, c FROM t UNION SELECT a, c FROM t), u AS (SELECT u, v FROM s UNION SELECT v, u FROM s),
-  r AS (SELECT u AS node, u AS root FROM u UNION SELECT u.v, r.root FROM r JOIN u ON u.u = r.node), m AS (SELECT node, min(root) AS cluster FROM r GROUP BY 1) SELECT a, b, c, cluster FROM t JOIN m ON node = a""")
+#: Triangles that share an edge, then clusters that share two nodes, twice: no cluster of these tables merges a third time.
+MERGED_SQL = """s{n} AS (SELECT x.k AS x, y.k AS y FROM (SELECT DISTINCT k, unnest([a, b, c]) AS node FROM c{m}) x JOIN (SELECT DISTINCT k, unnest([a, b, c]) AS node FROM c{m}) y USING (node) WHERE x.k <> y.k GROUP BY ALL HAVING count(*) >= 2),
+  r{n} AS (SELECT DISTINCT k AS node, k AS root FROM c{m} UNION SELECT s{n}.y, r{n}.root FROM r{n} JOIN s{n} ON s{n}.x = r{n}.node), c{n} AS (SELECT a, b, c, root AS k FROM c{m} JOIN (SELECT node, min(root) AS root FROM r{n} GROUP BY 1) ON node = k)"""
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, l AS (SELECT a, b FROM p WHERE sim >= 0.35), t AS (SELECT x.a, x.b, y.b AS c FROM l x JOIN l y ON x.b = y.a JOIN l z ON z.a = x.a AND z.b = y.b), c0 AS (SELECT a, b, c, {{'a': a, 'b': b, 'c': c}} AS k FROM t), {MERGED_SQL.format(n=1, m=0)}, {MERGED_SQL.format(n=2, m=1)}, {MERGED_SQL.format(n=3, m=2)}
+  SELECT a, b, c, k.a || '-' || k.b || '-' || k.c AS cluster FROM c3""")
 def g20_triangles(spark, sf_dir):
     """Triangles of vectors that are near one another, and their clusters."""
     e = L.near_pairs(load(spark, sf_dir, "embeddings"), 0.35).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("NEAR").alias("rel_type"))

@@ -75,6 +75,19 @@ def j9_near_pairs(spark, sf_dir):
     return L.near_pairs(load(spark, sf_dir, "embeddings"), 0.35).withColumn("sim", F.round("sim", 6))
 
 
+KINDS = ("must", "should", "must_not", "should_not")
+
+
+@query(f"""WITH {PAIRS_SQL}, k AS (SELECT vec_id, label % 4 AS kind FROM embeddings), l AS (SELECT DISTINCT user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events)
+  SELECT a, b, round(sim, 6) AS sim FROM p JOIN k x ON x.vec_id = a JOIN k y ON y.vec_id = b WHERE sim >= 0.25 AND (x.kind < 2) <> (y.kind < 2) AND NOT EXISTS (SELECT 1 FROM l WHERE (u = a AND v = b) OR (u = b AND v = a))""")
+def j9_conflicts(spark, sf_dir):
+    """Constraints with kinds by label; a user's events link it to the constraint in their props."""
+    e, kinds = load(spark, sf_dir, "embeddings"), F.array(*map(F.lit, KINDS))
+    nodes = e.select(F.col("vec_id").alias("id"), F.element_at(kinds, (F.col("label") % 4 + 1).cast("int")).alias("kind"), "embedding")
+    linked = load(spark, sf_dir, "events").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
+    return L.conflicts(nodes, linked, 0.25).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"""WITH RECURSIVE {PAIRS_SQL}, n AS (SELECT a, b FROM p WHERE sim >= 0.3), l AS (SELECT a, b FROM n UNION ALL SELECT b, a FROM n), core AS (SELECT a AS c FROM l GROUP BY a HAVING count(*) >= 3),
   cl AS (SELECT a, b FROM l WHERE a IN (SELECT c FROM core) AND b IN (SELECT c FROM core)), r AS (SELECT c AS node, c AS root FROM core UNION SELECT cl.b, r.root FROM r JOIN cl ON cl.a = r.node), own AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
   near AS (SELECT l.a AS node, min(root) AS root FROM l JOIN own ON own.node = l.b GROUP BY 1) SELECT vec_id AS id, coalesce(own.root, near.root, -1) AS cluster FROM embeddings LEFT JOIN own ON own.node = vec_id LEFT JOIN near ON near.node = vec_id""")
@@ -88,7 +101,7 @@ def l11_kmeans(spark, sf_dir):
     return L.kmeans(load(spark, sf_dir, "embeddings"), 4, 5)
 
 
-@query("SELECT label, count(*) AS size, list_transform(range(1, 65), lambda i: 0) AS zero FROM embeddings GROUP BY label".replace(", list_transform(range(1, 65), lambda i: 0) AS zero", ", round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS last"))
+@query("SELECT label, count(*) AS size, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS last FROM embeddings GROUP BY label")
 def l12_centroids(spark, sf_dir):
     c = L.centroids(load(spark, sf_dir, "embeddings"), "label")
     return c.select("label", "size", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.element_at("centroid", -1), 6).alias("last"))
@@ -99,13 +112,24 @@ def l13_split_clusters(spark, sf_dir):
     return L.split_oversized(load(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", 20, "vec_id")
 
 
-@query("""WITH o AS (SELECT l_suppkey AS cluster, list_distinct(list(l_partkey)) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), n AS (SELECT l_suppkey AS cluster, list_distinct(list(l_partkey)) AS m FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1),
-  s AS (SELECT n.cluster AS new, o.cluster AS old, len(list_intersect(o.m, n.m)) / len(list_distinct(list_concat(o.m, n.m))) AS score FROM o, n WHERE len(list_intersect(o.m, n.m)) > 0)
-  SELECT new, old, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY score DESC, old) AS a, row_number() OVER (PARTITION BY old ORDER BY score DESC, new) AS b FROM s WHERE score >= 0.05) WHERE a = 1 AND b = 1""")
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS c, l_partkey AS m, l_linenumber AS n, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100] AS v FROM lineitem), o AS (SELECT DISTINCT c, m FROM l WHERE n <= 4), w AS (SELECT DISTINCT c, m FROM l WHERE n >= 3),
+  so AS (SELECT c, count(*) AS n FROM o GROUP BY 1), sw AS (SELECT c, count(*) AS n FROM w GROUP BY 1), h AS (SELECT w.c AS new, o.c AS old, count(*) AS h FROM o JOIN w USING (m) GROUP BY ALL), j AS (SELECT new, old, h / (so.n + sw.n - h) AS score, 0 AS tier FROM h JOIN so ON so.c = old JOIN sw ON sw.c = new WHERE h / (so.n + sw.n - h) >= 0.05),
+  m AS (SELECT c, n <= 4 AS is_old, n >= 3 AS is_new, i, v[i] AS x FROM l, range(1, 5) r(i)), vo AS (SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, round(avg(x), 6) AS x FROM m WHERE is_old GROUP BY ALL) GROUP BY 1), vw AS (SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, round(avg(x), 6) AS x FROM m WHERE is_new GROUP BY ALL) GROUP BY 1),
+  f AS (SELECT vw.c AS new, vo.c AS old, round(list_cosine_similarity(vo.v, vw.v), 9) AS score, 1 AS tier FROM vo, vw WHERE round(list_cosine_similarity(vo.v, vw.v), 9) >= 0.998), e AS (SELECT * FROM j UNION ALL SELECT * FROM f),
+  q AS (SELECT new, list({'old': old, 'tier': tier, 'score': score} ORDER BY tier, score DESC, old) AS prefs FROM e GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY new) AS t FROM q),
+  r AS (SELECT CAST(0 AS BIGINT) AS t, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS new, CAST(NULL AS STRUCT("old" BIGINT, tier INTEGER, score DOUBLE)) AS best UNION ALL
+    SELECT t, CASE WHEN best IS NULL THEN claimed ELSE list_append(claimed, best.old) END, new, best FROM (SELECT t.t, r.claimed, t.new, list_filter(t.prefs, lambda p: NOT list_contains(r.claimed, p.old))[1] AS best FROM r JOIN t ON t.t = r.t + 1))
+  SELECT new, best.old AS old, round(best.score, 6) AS score, CASE best.tier WHEN 0 THEN 'members' ELSE 'centroid' END AS "by" FROM r WHERE best IS NOT NULL""")
 def l15_identity_match(spark, sf_dir):
+    """Suppliers as clusters of parts, by the first and the last lines of orders; centroids are means of four figures."""
     l = load(spark, sf_dir, "lineitem")  # noqa: E741
-    sets = lambda cond: l.where(cond).groupBy(F.col("l_suppkey").alias("cluster")).agg(F.collect_set("l_partkey").alias("members"))
-    return L.identity_matches(sets("l_linenumber <= 4"), sets("l_linenumber >= 3"), 0.05).withColumn("score", F.round("score", 6))
+    figures = F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100)
+
+    def clusters(cond):
+        rows = l.where(cond).select(F.col("l_suppkey").alias("cluster"), "l_partkey", figures.alias("v"))
+        return rows.groupBy("cluster").agg(F.collect_set("l_partkey").alias("members")).join(L.vector_means(rows, ["cluster"], "v", name="centroid", digits=6).drop("size"), "cluster")
+
+    return L.identity_matches(clusters("l_linenumber <= 4"), clusters("l_linenumber >= 3"), 0.05, 0.998).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH f AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), c AS (SELECT label, list(round(m, 9) ORDER BY i) AS centroid FROM f GROUP BY 1),

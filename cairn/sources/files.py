@@ -91,36 +91,3 @@ def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
         out = out.join(met.groupBy("import_path").agg(F.min("_id").alias("_import")), "import_path", "left")
         target, score = [*target, "_import"], score.when(F.col("_import").isNotNull(), 0.7)
     return out.withColumns({"target": F.coalesce(*target), "confidence": score}).drop(*target)
-
-
-def knn_blocks(points: DataFrame, queries: DataFrame, k: int, least: float, queries_per_block: int = 512, points_per_part: int = 50_000, digits: int = 6, apart: bool = True) -> DataFrame:
-    """(q, node, sim): the k nearest points of each query with cosine at least `least`; apart: but the point of the query's own id.
-
-    Queries form blocks, points parts of about points_per_part; each part meets each block once and keeps the best k by
-    query, and the k best of all parts are merged. The work is points times queries; what is shuffled is points times
-    blocks, and k rows for each query and part at most.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    n, n_parts = max(1, -(-queries.count() // queries_per_block)), max(1, -(-points.count() // points_per_part))
-    blocks = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), F.struct("vec_id", "embedding").alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    placed = points.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).repartition("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_parts)))
-    met = placed.join(blocks, "block").groupBy("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_parts)).alias("part"))
-
-    def nearest(table: pa.Table) -> pa.Table:
-        qs = table.column("qs")[0].as_py()
-        ids, p = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), float)
-        q = np.array([x["embedding"] for x in qs], float)
-        unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
-        sims = np.round(unit(q) @ unit(p).T, 9)
-        rows = []
-        for i, x in enumerate(qs):
-            near = np.flatnonzero(sims[i] >= least - 1e-9)
-            own = near[np.lexsort((ids[near], -sims[i][near]))[: k + 1]]
-            rows += [(x["vec_id"], int(ids[j]), float(sims[i, j])) for j in own if not apart or ids[j] != x["vec_id"]]
-        return pa.table({"q": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()), "sim": pa.array([r[2] for r in rows], pa.float64())})
-
-    found = met.applyInArrow(nearest, "q long, node long, sim double")
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-    return found.withColumn("_k", best).where(F.col("_k") <= k).where(F.col("sim") >= least).select("q", "node", F.round("sim", digits).alias("sim"))
