@@ -12,6 +12,7 @@ from ..operators import vectors as V
 from ..sources import files
 from ..sources.scratch import fresh_path
 from ..sources.tables import load
+from ..streaming import state
 from ..streaming import stream as ST
 from .registry import Registry
 
@@ -294,8 +295,9 @@ def st6_replay(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT *, value > 15 AS o FROM events), e AS (SELECT *, sum(CASE WHEN o AND coalesce(lo, false) THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM (SELECT *, lag(o) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS lo FROM o)),
-  r AS (SELECT *, min(ts) OVER (PARTITION BY event_type, run) AS since FROM e WHERE o), f AS (SELECT event_type, run, min(ts) AS "at" FROM r WHERE ts - since >= INTERVAL '1200 seconds' GROUP BY ALL), b AS (SELECT *, lag("at") OVER (PARTITION BY event_type ORDER BY "at") AS before FROM f)
-  SELECT event_type, "at" FROM b WHERE before IS NULL OR "at" - before >= INTERVAL '3600 seconds'""")
+  r AS (SELECT *, min(ts) OVER (PARTITION BY event_type, run) AS since FROM e WHERE o), f AS (SELECT event_type, min(ts) AS "at" FROM r WHERE ts - since >= INTERVAL '1200 seconds' GROUP BY event_type, run),
+  s AS (SELECT event_type, list_reduce(list_concat([{'at': CAST(NULL AS TIMESTAMP), 'sent': CAST([] AS TIMESTAMP[])}], list({'at': "at", 'sent': CAST([] AS TIMESTAMP[])} ORDER BY "at")), lambda x, y: CASE WHEN x.at IS NULL OR y.at - x.at > INTERVAL '3600 seconds' THEN {'at': y.at, 'sent': list_append(x.sent, y.at)} ELSE x END) AS s FROM f GROUP BY 1)
+  SELECT event_type, unnest(s.sent) AS "at" FROM s""")
 def st7_alerts(spark, sf_dir):
     return ST.breaches(load(spark, sf_dir, "events"), "event_type", 15.0, 1200, 3600)
 
@@ -304,3 +306,44 @@ def st7_alerts(spark, sf_dir):
   SELECT user_id, n_bad, CASE WHEN n_bad >= 6 THEN 'blocked' WHEN n_bad >= 4 THEN 'escalated' WHEN n_bad >= 2 THEN 'warned' ELSE 'none' END AS level FROM n""")
 def st8_escalation(spark, sf_dir):
     return ST.escalation(load(spark, sf_dir, "events"), ["user_id"], "click", ["error", "view"], ["ts", "event_id"])
+
+
+#: Outcomes of a user, from events.
+OUTCOME_SQL = "CASE event_type WHEN 'click' THEN 'followed' WHEN 'error' THEN 'ignored' WHEN 'view' THEN 'contradicted' ELSE 'surface' END"
+
+
+def outcomes(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "followed").when(F.col("event_type") == "error", "ignored").when(F.col("event_type") == "view", "contradicted").otherwise("surface")
+    return load(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), "value")
+
+
+@query(f"""WITH o AS (SELECT user_id, epoch_us(ts) / 1e6 AS ts, event_id, {OUTCOME_SQL} AS kind FROM events), s AS (SELECT user_id, list_reduce(list_concat([{{'t': 0.0::DOUBLE, 'kind': '', 'level': '', 'n': 0, 'at': 0.0::DOUBLE}}], list({{'t': ts, 'kind': kind, 'level': '', 'n': 0, 'at': 0.0::DOUBLE}} ORDER BY ts, event_id)),
+  lambda x, y: {{'t': y.t, 'kind': y.kind, 'n': CASE WHEN y.kind = 'followed' THEN 0 WHEN y.kind = 'surface' THEN x.n ELSE x.n + 1 END, 'at': CASE WHEN x.level = '' OR y.kind = 'surface' THEN y.t ELSE x.at END, 'level': CASE WHEN y.kind = 'followed' THEN 'resolved' WHEN y.kind = 'surface' THEN CASE WHEN x.level = '' OR y.t - x.at > 86400 THEN 'surfaced' ELSE x.level END
+    WHEN x.n + 1 >= 6 THEN 'blocked' WHEN x.n + 1 >= 4 THEN 'escalated' WHEN x.n + 1 >= 2 THEN 'warned' WHEN x.level = '' THEN 'surfaced' ELSE x.level END}}) AS s FROM o GROUP BY 1) SELECT user_id, s.level AS level, s.n AS ignored FROM s""")
+def st8_levels(spark, sf_dir):
+    """The level of each user after all outcomes, with decay after a day, by the machine that streams run."""
+    rows = state.tracked(outcomes(spark, sf_dir), state.Escalation(decay=86400), ["user_id"])
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("level", "ignored"), "at").alias("s")).select("user_id", "s.level", "s.ignored")
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600 THEN 0 ELSE 1 END AS n FROM e)),
+  o AS (SELECT user_id, s, count(*) FILTER (event_type IN ('error', 'view', 'click')) AS observed, bool_or(event_type = 'purchase') AS resumed, count(*) AS n, round(max(t) - min(t), 3) AS seconds FROM g GROUP BY ALL)
+  SELECT user_id, s AS nth, observed, resumed, seconds, round(least(1, 0.2 + CASE WHEN resumed THEN 0.4 ELSE 0 END + CASE WHEN observed >= 10 THEN 0.4 WHEN observed >= 5 THEN 0.3 WHEN observed >= 3 THEN 0.2 WHEN observed >= 1 THEN 0.1 ELSE 0 END), 6) AS health FROM o""")
+def st5_session_health(spark, sf_dir):
+    """Sessions of a user, ended six hours after the last event; a purchase resumes, clicks, views and errors are observations."""
+    kind = F.when(F.col("event_type") == "purchase", "resume").when(F.col("event_type").isin("error", "view", "click"), "observe").otherwise("activity")
+    rows = state.tracked(load(spark, sf_dir, "events").withColumn("kind", kind), state.Sessions(21600), ["user_id"])
+    last = rows.groupBy("user_id", "first").agg(F.max_by(F.struct("observed", "resumed", "health"), F.struct("at", "observed")).alias("s"), F.round(F.max("at") - F.col("first"), 3).alias("seconds"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("first"))
+    return last.select("user_id", nth.alias("nth"), "s.observed", "s.resumed", "seconds", F.round("s.health", 6).alias("health"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, value / 20 AS score, CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS heuristic FROM events WHERE event_type <> 'error'), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e WHERE score IS NOT NULL AND heuristic IS NOT NULL)
+  SELECT user_id, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(heuristic), 6) AS mean_heuristic, round(stddev_pop(score), 6) AS spread, CASE WHEN count(*) < 10 THEN 0 ELSE round(avg(score) - avg(heuristic), 6) END AS bias, count(*) >= 10 AND abs(avg(score) - avg(heuristic)) > 0.2 AS alert, count(*) < 10 AS insufficient FROM k WHERE k <= 20 GROUP BY 1""")
+def st9_calibration(spark, sf_dir):
+    """Each user's last 20 pairs of a score and a heuristic; errors are ignored outcomes."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") / 20).alias("score"), (F.get_json_object("props", "$.k").cast("int") / 100).alias("heuristic"), F.when(F.col("event_type") == "error", "ignored").otherwise("").alias("outcome"))
+    rows = state.tracked(e, state.Calibration(20, 10, 0.2), ["user_id"])
+    cols = ["n", "mean_score", "mean_heuristic", "spread", "bias", "alert", "insufficient"]
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct(*cols), "at").alias("s")).select("user_id", "s.*")
+    return last.withColumns({c: F.round(c, 6) for c in cols[1:5]})

@@ -35,19 +35,42 @@ def append_batches(events: DataFrame, path: str, checkpoint: str, partition: str
     return (w.partitionBy(partition) if partition else w).start()
 
 
-def breaches(events: DataFrame, key: str, threshold: float, hold: int, cooldown: int, time: str = "ts", value: str = "value") -> DataFrame:
-    """Alerts of a key: value above the threshold for `hold` seconds on end, then none for `cooldown` seconds.
+def breaches(events: DataFrame, key: str, threshold: float, hold: int, cooldown: int, time: str = "ts", value: str = "value", bucket: int = 3600, id_col: str = "event_id") -> DataFrame:
+    """(key, at): alerts of a key, as state.Alerts sends them for one rule: the first row after `hold` seconds above the threshold on end, once for each run of such rows, and none up to `cooldown` seconds after the last that was sent.
 
-    Rows of one run of breaches carry its start; the alert is the run's first row past the hold, and a run is quiet if
-    the run before it alerted less than `cooldown` ago.
+    A run begins after the last row that is not above: found within buckets of `bucket` seconds, and before them in the
+    buckets' last ones, so that no task has all rows of a key. Of a run one row is left, and these alone meet by key.
     """
-    w = Window.partitionBy(key).orderBy(time, "event_id")
-    e = events.withColumn("over", F.col(value) > threshold)
-    e = e.withColumn("run", F.sum(F.when(F.col("over") & F.coalesce(F.lag("over").over(w), F.lit(False)), 0).otherwise(1)).over(w)).where("over")
-    first = F.min(time).over(Window.partitionBy(key, "run"))
-    fired = e.withColumn("since", first).where(F.timestamp_diff("SECOND", F.col("since"), F.col(time)) >= hold).groupBy(key, "run").agg(F.min(time).alias("at"))
-    before = F.lag("at").over(Window.partitionBy(key).orderBy("at"))
-    return fired.withColumn("before", before).where(F.col("before").isNull() | (F.timestamp_diff("SECOND", F.col("before"), F.col("at")) >= cooldown)).select(key, "at")
+    at = F.struct(F.col(time).alias("t"), F.col(id_col).alias("i"))
+    e = events.where(F.col(time).isNotNull()).select(key, time, id_col, (F.col(value) > threshold).alias("over"), F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / bucket).alias("bucket"))
+    e = e.withColumn("over", F.coalesce("over", F.lit(False)))
+    low = F.when(~F.col("over"), at)
+    ends = e.groupBy(key, "bucket").agg(F.max(low).alias("low"))
+    before = F.max("low").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(key, "bucket", before.alias("carried"))
+    inner = F.max(low).over(Window.partitionBy(key, "bucket").orderBy(time, id_col))
+    over = e.withColumn("inner", inner).where("over").join(carried, [key, "bucket"]).withColumn("cleared", F.coalesce("inner", "carried")).select(key, time, "cleared")
+    runs = over.groupBy(key, "cleared").agg(F.min(time).alias("since")).select(F.col(key).alias("k"), F.col("cleared").alias("c"), "since")
+    held = over.join(runs, F.col(key).eqNullSafe(F.col("k")) & F.col("cleared").eqNullSafe(F.col("c"))).where(F.timestamp_diff("MICROSECOND", F.col("since"), F.col(time)) >= hold * 1_000_000)
+    fired = held.groupBy(key, "cleared").agg(F.min(time).alias("at")).select(key, "at")
+    return spaced(fired, key, cooldown)
+
+
+def spaced(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """rows(key, at) → those that are taken in order of time, each more than `least` seconds after the one taken before it."""
+    import numpy as np
+    import pyarrow as pa
+
+    def take(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        seconds, keep, last = table.column("at").cast(pa.timestamp("us")).to_numpy().astype("datetime64[us]").astype(np.int64), [], None
+        for i, t in enumerate(seconds.tolist()):
+            if last is None or t - last > least * 1_000_000:
+                keep.append(i)
+                last = t
+        return table.take(keep)
+
+    return rows.groupBy(key).applyInArrow(take, rows.schema)
 
 
 def sessions(events: DataFrame, key: str, gap: str, time: str = "ts") -> DataFrame:
