@@ -67,22 +67,37 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def without_replacement(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of each kind are among n drawn at random from counts. From a thousand million on, where the generator ends, a kind's number is its normal approximation."""
+    """How many of each kind are among n drawn at random from counts."""
     out, left = np.zeros(len(counts), np.int64), int(counts.sum())
     for k in np.flatnonzero(counts):
         if not n:
             break
         c = int(counts[k])
-        rest = left - c
-        if left < 10**9:
-            x = int(rng.hypergeometric(c, rest, n))
-        else:
-            spread = (n / left * c / left * rest * (left - n) / max(1, left - 1)) ** 0.5
-            x = min(c, n, max(0, n - rest, round(n / left * c + spread * rng.standard_normal())))
-        out[k], n, left = x, n - x, rest
+        x = hypergeometric(rng, c, left - c, n)
+        out[k], n, left = x, n - x, left - c
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most: int = 10**9) -> int:
+    """How many of n drawn without replacement are good: numpy's draw below `most` in all, where it ends, and above it by inversion.
+
+    Inversion takes the probabilities within 12 standard deviations of the mode, from the ratios of neighbours; what lies
+    beyond is less than a double can tell from none.
+    """
+    total = good + bad
+    if total < most:
+        return int(rng.hypergeometric(good, bad, n))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 20 + int(12 * (n / total * good / total * bad * (total - n) / total) ** 0.5)
+    x = np.arange(max(0, n - bad, mode - reach), min(good, n, mode + reach) + 1)
+    if len(x) == 1:
+        return int(x[0])
+    f = x[:-1].astype(float)
+    logs = np.append(0.0, np.cumsum(np.log((good - f) * (n - f)) - np.log((f + 1) * (bad - n + f + 1))))
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return int(x[min(len(x) - 1, np.searchsorted(chances, rng.random() * chances[-1], side="right"))])
+
+
 def draws(slots: np.ndarray, per_shard: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each shard of [first, last): (shard, slots of each source in it, slots of each source in the shards before)."""
     n_shards = -(-int(slots.sum()) // per_shard)
@@ -137,7 +152,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(plan.seed)).alias("mark")))
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(plan.max_sources + 1).collect()
     if len(found) > plan.max_sources:
         raise ValueError(f"more than {plan.max_sources} sources")
@@ -151,15 +166,14 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     sources = spark.createDataFrame(table, "sid int, source string, source_size long, target double, n_blocks long, n_slots long, n_buckets long")
 
     # a document's place: what its source's buckets before it hold, and the documents before it in its bucket
-    mixed = F.xxhash64("doc_id", F.lit(plan.seed))
     placed = rows.join(F.broadcast(sources.select("sid", F.col("source").alias("_s"), "n_buckets")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumn("h", F.shiftrightunsigned(mixed, 33)).withColumn("bucket", F.shiftright(F.col("h") * F.col("n_buckets"), 31))
+    placed = placed.withColumn("h", F.shiftrightunsigned("mark", 33)).withColumn("bucket", F.shiftright(F.col("h") * F.col("n_buckets"), 31))
     # prefix sums in two steps, so that no window holds all buckets of a source
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("thousand", F.floor(F.col("bucket") / 1000))
     ahead = lambda *by: F.sum("words").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("words")
     tops = sums.groupBy("sid", "thousand").agg(F.sum("words").alias("words")).select("sid", "thousand", ahead("sid", "thousand").alias("top"))
     before = sums.withColumn("base", ahead("sid", "thousand", "bucket")).join(tops, ["sid", "thousand"]).select("sid", "bucket", (F.col("base") + F.col("top")).alias("base"))
-    inner = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
+    inner = Window.partitionBy("sid", "bucket").orderBy("mark", "doc_id", "size")
     placed = placed.withColumns({"nth": F.row_number().over(inner), "inside": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     sized = stored(placed.join(before, ["sid", "bucket"]).select("sid", "bucket", "nth", "doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("at")))
 
@@ -196,8 +210,10 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "d
 
     Rows that share an id share their number; rows without words are in no block and go.
     """
-    ratio = mix_sources(docs, plan, id_col, text_col, source_col).taken().groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("_ratio"))
+    ratio = mix_sources(docs, plan, id_col, text_col, source_col).taken().groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(plan.seed + 1)), 11) / F.lit(float(2**53))
-    copies = ratio.select(F.col("doc_id").alias("_id"), F.floor(F.col("_ratio") + chance).cast("int").alias("_n")).where("_n > 0")
-    out = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = ratio.select("doc_id", F.floor(F.col("ratio") + chance).cast("int").alias("n")).where("n > 0")
+    # columns of docs travel inside one, so that no name of theirs meets one used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"))
+    out = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

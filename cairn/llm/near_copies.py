@@ -13,6 +13,7 @@ large group of near copies that do not link costs no square of its size, and no
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored, text_runs
 from .graph import components
 from .simhash import links, majority, shingle_hashes
 
@@ -60,32 +61,28 @@ def alike(a: set[int], b: set[int], least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc_id, text); key is a hash of the text, so that exact copies are one."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-
-
-def signatures(named: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, n, fp, bands, sketch): n distinct runs, SimHash of all runs, keys of the bands, a byte of each minimum hash."""
+def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(text_id, doc_id, n, fp, bands, sketch): SHA-256 of the text, n distinct runs, SimHash of all runs, keys of the bands, a byte of each minimum hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fps, keys, sketches = [], [], [], []
-            for t in batch.column(2).to_pylist():
-                h = np.array(shingle_hashes(t, width), "<u8")
-                fps.append(majority(h))
-                distinct = np.unique(h)
-                least = least_hashes(distinct)
-                n.append(len(distinct))
-                keys.append(bands(least))
-                sketches.append(least.astype(np.uint8).tobytes())
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), flat)
-            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), lists, pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "n", "fp", "bands", "sketch"])
-
-    return named.mapInArrow(run, "key long, doc_id long, n long, fp long, bands array<long>, sketch binary")
+            for first, last, texts in text_runs(batch.column(1), 4_000_000):
+                n, fps, keys, sketches, names = [], [], [], [], []
+                for t in texts:
+                    names.append(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest())
+                    h = np.array(shingle_hashes(t, width), "<u8")
+                    fps.append(majority(h))
+                    distinct = np.unique(h)
+                    least = least_hashes(distinct)
+                    n.append(len(distinct))
+                    keys.append(bands(least))
+                    sketches.append(least.astype(np.uint8).tobytes())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))
+                cols = [pa.array(names, pa.binary()), batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), lists, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["text_id", "doc_id", "n", "fp", "bands", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "text_id binary, doc_id long, n long, fp long, bands array<long>, sketch binary")
 
 
 def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -101,41 +98,38 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, named: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike, on their whole sets."""
-    wanted = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
-    whole = stored(named.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_task: int = 256) -> DataFrame:
+    """The pairs (a, b) whose texts are alike, on their whole sets. whole(key, text): a row a text.
+
+    A text meets those that it is paired with in groups of about per_task, so that it travels once for each group.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("groups"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group"))
+    heads = sizes.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group")).join(whole, "key").select(F.col("key").alias("a"), "group", F.lit(None).cast("long").alias("b"), "text")
+    members = dealt.join(whole.toDF("b", "text"), "b").select("a", "group", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set[int]] = {}  # sets of texts met of late, of `most` runs in all
-
-        def runs(key: int, text: str) -> set[int]:
-            nonlocal size
-            found = known.get(key)
-            if found is None:
-                if size > most:
-                    known.clear()
-                    size = 0
-                found = known[key] = set(shingle_hashes(text, width))
-                size += len(found)
-            return found
-
-        size, most = 0, 500_000
+        own: set[int] = set()
         for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)
-                keep += [alike(runs(a, left), runs(b, right), least) for a, b, left, right in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b, keep = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for first, last, texts in text_runs(batch.column(3), 4_000_000):
+                for k, text in zip(range(first, last), texts, strict=True):
+                    runs = set(shingle_hashes(text, width))
+                    if b[k] is None:
+                        own = runs
+                    elif alike(own, runs, least):
+                        keep.append((a[k], b[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
+
+    met = heads.unionByName(members).repartition("a", "group").sortWithinPartitions("a", "group", F.asc_nulls_first("b"))
+    return met.mapInArrow(run, "a long, b long")
 
-    both = pairs.join(whole.toDF("a", "left"), "a").join(whole.toDF("b", "right"), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
+def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, rounds: int = 3) -> DataFrame:
+    """distinct: stored signatures with a key, one a text; texts(text_id, text) → (a, b) of keys: links that join all near copies among the candidates.
 
-def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0.8, slack: float = 0.12, rounds: int = 3) -> DataFrame:
-    """signed: stored signatures → (a, b) of keys: links that join all near copies among the candidates."""
-    distinct = stored(signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch"))))
+    slack: how much less than `least` of the sketch may agree in a pair that is looked at; None: every candidate pair is.
+    """
     sketches = distinct.select("key", "sketch")
     # by fingerprint: texts that share one, against the least of them; and the least of fingerprints that link
     heads = stored(distinct.groupBy("fp").agg(F.min("key").alias("head")))
@@ -143,34 +137,46 @@ def copies(signed: DataFrame, named: DataFrame, width: int = 5, least: float = 0
     near_fp = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # by band
     spread = distinct.select("key", "n", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("bucket", "head")
-    member = stored(spread.join(full, "bucket"))
+    full = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("h"), F.max("key").alias("last")).where("h.key < last")
+    member = member_table = stored(spread.join(full, "bucket").select("bucket", "key", "n", F.col("h.key").alias("head"), F.col("h.n").alias("head_n")))
     # of sets whose sizes differ by more none are alike
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)
-    sizes = member.where("key = head").select(F.col("key").alias("head"), F.col("n").alias("m")).distinct()
-    starred = member.where("key <> head").join(sizes, "head").where(near).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    starred = member.where("key <> head").withColumnRenamed("head_n", "m").where(near).select(F.col("head").alias("a"), F.col("key").alias("b"))
     stars = stored(starred.union(same).union(near_fp).distinct())
-    confirm = lambda pairs: stored(confirmed(stored(agreeing(pairs, sketches, least - slack)), named, width, least))
+    # the texts of all candidates, once
+    wanted = member.select("key").union(stars.select("a")).union(stars.select("b")).distinct()
+    named = distinct.select("key", "text_id").join(wanted, "key", "left_semi")
+    whole = stored(texts.join(named, "text_id").select("key", "text"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        if slack is None:
+            return stored(confirmed(pairs, whole, width, least))
+        sifted = stored(agreeing(pairs, sketches, least - slack))
+        out = stored(confirmed(sifted, whole, width, least))
+        dropped(sifted)
+        return out
+
     degree = member.groupBy("key").agg(F.count("*").alias("degree"))
-    member = stored(member.join(degree, "key"))
-    tested, found = stars, confirm(stars)
+    member = member.select("bucket", "key", "n").join(degree, "key")
+    tested, found, tables = stars, confirm(stars), [member_table]
     for turn in range(rounds + 1):
         rooted = stored(member.join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
         split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         left = stored(rooted.join(split, "bucket"))
-        member = left.drop("root")
+        dropped(rooted, *tables)
+        member, tables = left.drop("root"), [left]
         if turn < rounds:
             # the first time the text that stands in the most full buckets, as the source of a group of copies does
             order = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
             pairs = left.join(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra"), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
         else:
-            pairs = possible(left, own_runs(left, named, width), least)
+            pairs = possible(left, own_runs(left, whole, width), least)
         fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         tested, found = tested.union(fresh), found.union(confirm(fresh))
     return found
 
 
-def own_runs(left: DataFrame, named: DataFrame, width: int) -> DataFrame:
+def own_runs(left: DataFrame, whole: DataFrame, width: int) -> DataFrame:
     """(key, u): how many runs of each text of left(key, …) none of its other texts has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +188,7 @@ def own_runs(left: DataFrame, named: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(part), np.int32))), pa.array(part)], ["key", "run"])
 
     keys = left.select("key").distinct()
-    whole = named.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    alone = whole.mapInArrow(run, "key long, run long").groupBy("run").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
+    alone = whole.join(keys, "key", "left_semi").mapInArrow(run, "key long, run long").groupBy("run").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
     return keys.join(alone.groupBy("key").agg(F.count("*").alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(0)).alias("u"))
 
 
@@ -204,20 +209,24 @@ def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 50) ->
     return a.join(b, ["bucket", "level"]).where((F.col("ra") != F.col("root")) & (both >= F.lit(least) * either - F.lit(1e-9)) & (F.col("bucket") == F.array_min(F.array_intersect("own", "buckets")))).select("a", "b")
 
 
-def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that stand for their group of near copies: the one with the smallest id.
 
-    Null and empty texts are copies of one another. Where texts of one id stand for different groups each stays; of rows
-    with the same id and text one stays, the first by a hash of all columns. Rows without an id stay, as nothing tells
-    them apart. An empty table gives no rows.
+    Null and empty texts are copies of one another; texts are the same if their SHA-256 is. Where texts of one id stand for
+    different groups each stays; of rows with the same id and text one stays, the first by a hash of all columns. Rows
+    without an id stay, as nothing tells them apart. An empty table gives no rows. slack: as in copies.
     """
-    named = texts(docs, id_col, text_col)
-    signed = stored(signatures(named, width))
-    roots = components(copies(signed, named, width, least))
-    ids = signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    member = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_key"))
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = docs.join(stays, (F.col(id_col).cast("long") == F.col("_id")) & (key == F.col("_key")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
-    return found.withColumn("_n", nth).where("_n = 1").drop("_id", "_key", "_n").unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # columns of docs travel inside one, so that no name of theirs meets one used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_id"), text.alias("text"))
+    signed = stored(signatures(docs, width, id_col, text_col))
+    ids = stored(signed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch"))).withColumn("key", F.monotonically_increasing_id()))
+    dropped(signed)
+    least_row = F.row_number().over(Window.partitionBy("text_id").orderBy(F.asc_nulls_last("doc_id")))
+    texts = rows.select("text_id", "text", "doc_id").withColumn("nth", least_row).where("nth = 1").select("text_id", "text")
+    roots = components(copies(ids.drop("doc_id"), texts, width, least, slack))
+    member = ids.where("doc_id is not null").select("key", "text_id", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("text_id", "doc_id", F.coalesce("root", "key").alias("root"))
+    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("s")).select("s.doc_id", "s.text_id")
+    named = rows.where("doc_id is not null").drop("text")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_id").orderBy(F.xxhash64("row")))
+    return named.withColumn("nth", nth).where("nth = 1").join(stays, ["doc_id", "text_id"]).select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_operators import texts_of
 
-from cairn.llm import near_copies
+from cairn.llm import mixing, near_copies
 from cairn.llm.common import stored
 
 
@@ -89,3 +89,32 @@ def test_ties(spark):
             assert got == [(1, a), (7, b), (8, "")]
     picked = {near_copies.one_of_near_copies(spark.createDataFrame(o, "doc_id long, text string, source string")).where("doc_id = 7").first().source for o in (rows, rows[::-1])}
     assert len(picked) == 1
+
+
+CLASHES = ["_n", "_id", "_key", "_k", "row", "key", "n", "id", "copy", "nth", "text_id", "root", "ratio", "doc_ID2"]
+
+
+def test_clashing_columns(spark):
+    """Columns with any name come through both stages as they were."""
+    rows = [(i, f"t{i % 7} " * 3 + " ".join(f"w{i % 7 * 50 + j}" for j in range(40)), "ab"[i % 2], *[100 * i + c for c in range(len(CLASHES))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in CLASHES))
+    by_id = {r[0]: tuple(r) for r in df.collect()}
+    kept = near_copies.one_of_near_copies(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [by_id[i] for i in range(7)]
+    mixed = mixing.mixed_documents(df)
+    got = [tuple(r) for r in mixed.collect()]
+    assert mixed.columns == df.columns and got and all(r == by_id[r[0]] for r in got)
+
+
+def test_all_pairs_without_a_sketch(spark, edited):
+    sifted, every = (sorted(r.doc_id for r in near_copies.one_of_near_copies(edited, slack=s).select("doc_id").collect()) for s in (0.12, None))
+    assert sifted == every == brute_stays(texts_of(edited))
+
+
+def test_members_meet_their_head_in_groups(spark):
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(base[:i] + ["x"] + base[i:]) if i else " ".join(base)) for i in range(60)] + [(100, "other words in a text")]
+    whole = spark.createDataFrame(rows, "key long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(0, 100)], "a long, b long")
+    got = {(r.a, r.b) for r in near_copies.confirmed(pairs, whole, 5, 0.8, per_task=7).collect()}
+    assert got == {(a, b) for a, b in brute_pairs(rows) if a == 0} | {(0, b) for b, a in brute_pairs(rows) if a == 0} and len(got) == 59
