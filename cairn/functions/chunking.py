@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def heading_sections(df: DataFrame, id_col: str, text: str, least_words: int = 0) -> DataFrame:
-    """(id, section, heading, content): the text cut at lines that are headings of level 2 or more; the section before the first has no heading.
+def folded_sections(text: Column, level: int = 2, least_words: int = 0) -> Column:
+    """Array of (heading, content): the text cut at lines that are headings of `level` or deeper; what stands before the first has no heading.
 
-    section: its place among all parts, from 0. Sections of under `least_words` words join the one before them.
+    A section of under `least_words` words joins the next one, both headings with a slash between them; the last stays.
     """
-    parts = F.split(F.col(text), r"(?m)(?=^#{2,6}\s)")  # each part but the first begins with its heading's line
-    rows = df.select(id_col, F.posexplode(parts).alias("section", "part"))
-    if_heading = F.col("part").rlike(r"^#{2,6}\s")
-    rows = rows.select(
-        id_col, "section",
-        F.when(if_heading, F.trim(F.regexp_extract("part", r"^#{2,6}\s+([^\n]*)", 1))).otherwise("").alias("heading"),
-        F.trim(F.when(if_heading, F.regexp_replace("part", r"^#{2,6}\s+[^\n]*\n?", "")).otherwise(F.col("part"))).alias("content"),
+    mark = r"#{%d,6}" % level
+    parts = F.split(text, rf"(?m)(?=^{mark}\s)")  # each part but the first begins with its heading's line
+    named = lambda p: p.rlike(rf"^{mark}\s")
+    section = lambda p: F.struct(
+        F.when(named(p), F.trim(F.regexp_extract(p, rf"^{mark}\s+([^\n]*)", 1))).otherwise("").alias("heading"),
+        F.regexp_replace(F.when(named(p), F.regexp_replace(p, rf"^{mark}\s+[^\n]*\n?", "")).otherwise(p), r"^\s+|\s+\z", "").alias("content"),
     )
-    rows = rows.where("heading <> '' or content <> ''")
+    cut = F.filter(F.transform(parts, section), lambda s: (s["heading"] != "") | (s["content"] != ""))
     if not least_words:
-        return rows
-    n = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
-    w = Window.partitionBy(id_col).orderBy("section")
-    group = F.sum(F.when((n >= least_words) | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w)
-    grouped = rows.withColumn("_g", F.lit(0)).withColumn("_g", group)
-    return grouped.groupBy(id_col, "_g").agg(F.min("section").alias("section"), F.min_by("heading", "section").alias("heading"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "content"))), lambda s: s["content"]), "\n\n").alias("content")).drop("_g")
+        return cut
+    kind = "struct<done:array<struct<heading:string,content:string>>,last:struct<heading:string,content:string>>"
+    both = lambda x, y, between: F.when(x == "", y).when(y == "", x).otherwise(F.concat(x, F.lit(between), y))
+    short = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) < least_words
+
+    def step(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        joined = F.struct(both(last["heading"], s["heading"], " / ").alias("heading"), both(last["content"], s["content"], "\n\n").alias("content"))
+        grows = last.isNotNull() & short(last["content"])
+        done = F.when(last.isNull() | grows, acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(grows, joined).otherwise(s).alias("last")).cast(kind)
+
+    start = F.struct(F.array().alias("done"), F.lit(None).alias("last")).cast(kind)
+    return F.aggregate(cut, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+
+
+def heading_sections(df: DataFrame, id_col: str, text: str, least_words: int = 0, level: int = 2) -> DataFrame:
+    """(id, section, heading, content), as folded_sections cuts the text; section: its place, from 0."""
+    cut = df.select(id_col, F.posexplode(folded_sections(F.col(text), level, least_words)).alias("section", "s"))
+    return cut.select(id_col, "section", "s.heading", "s.content")
 
 
 def packed(df: DataFrame, id_col: str, text: str, most_tokens: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import has_personal_data, shingles, words
 from ..sources.scratch import stored
+from .rank import nth_by_hash
 
 
 def gated(df: DataFrame, before: Sequence[tuple[str, Column]], key: Column, order: Sequence[Column], after: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -123,11 +124,19 @@ def golden_rows(df: DataFrame, source: str, row_id: str, size: int, top: int) ->
     order = Window.orderBy(F.desc("_n"), source)
     over = F.lit(size) - F.sum("_q").over(Window.partitionBy())
     q = q.select(source, F.when(F.row_number().over(order) == 1, F.greatest(F.lit(1), F.col("_q") + over)).otherwise(F.col("_q")).alias("_q"))
-    from .rank import nth_by_hash
-
     return nth_by_hash(df.join(F.broadcast(q), source), [source], F.sha2(F.col(row_id).cast("string"), 256)).where(F.col("nth") <= F.col("_q")).drop("nth", "peers", "_q")
 
 
+def golden_split(df: DataFrame, source: str, row_id: str, prompt: str, rephrased: Column, size: int, top: int) -> DataFrame:
+    """df with `split`, golden or train, and the prompt of golden rows rephrased. A golden row's former prompt is in no training row: rows with it are dropped from training, as the holdout would leak."""
+    gold = golden_rows(df, source, row_id, size, top).select(row_id).withColumn("_gold", F.lit(True))
+    marked = df.join(gold, row_id, "left").withColumn("_gold", F.coalesce("_gold", F.lit(False)))
+    held = marked.where("_gold").select(prompt).distinct()
+    train = marked.where("not _gold").join(held, prompt, "left_anti").select(*df.columns, F.lit("train").alias("split"))
+    golden = marked.where("_gold").withColumn(prompt, rephrased).select(*df.columns, F.lit("golden").alias("split"))
+    return train.unionByName(golden)
+
+
 # Outcome of a guidance → its quality.
 OUTCOMES = {"followed": 1.0, "partially_followed": 0.7, "ignored": 0.3, "contradicted": 0.0}
 
@@ -178,15 +187,6 @@ def decayed_trust(outcomes: DataFrame, key: Sequence[str], value: str, newest_fi
     return rows.groupBy(*key).agg((start * F.pow(left, F.count("*")) + step * F.sum(F.col("_x") * F.pow(left, F.col("_k")))).alias("trust"))
 
 
-def set_overlap(members: DataFrame, group: str, item: str) -> DataFrame:
-    """members(group, item), distinct → (a, b, jaccard) for groups a < b that share an item."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("n"))
-    x, y = members.select(F.col(group).alias("a"), item), members.select(F.col(group).alias("b"), item)
-    hits = x.join(y, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("h"))
-    both = hits.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    return both.select("a", "b", (F.col("h") / (F.col("na") + F.col("nb") - F.col("h"))).alias("jaccard"))
-
-
 def quality_gates(docs: DataFrame) -> DataFrame:
     """Curation of documents: privacy, length and language before, duplicate text, then length again after."""
     before = [("privacy", has_personal_data(F.col("text"))), ("too_short", F.length(F.trim("text")) <= 10), ("no_language", F.coalesce(F.col("lang"), F.lit("")) == "")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intent import negation_differs
@@ -28,6 +28,69 @@ def embedding_novelty(points: DataFrame, queries: DataFrame, k: int = 50, floor:
     return queries.select("vec_id").join(mean, "vec_id", "left").select("vec_id", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("m"))), F.lit(unknown)).alias("novelty"))
 
 
+def contradiction_scores(candidates: DataFrame) -> DataFrame:
+    """contradiction_candidates → (vec_id, contradiction): the highest cosine of a contradicting node, at most 1."""
+    return candidates.groupBy(F.col("q").alias("vec_id")).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("sim"))).alias("contradiction"))
+
+
+def correction_label(content: Column) -> Column:
+    """The first sentence or line, cut to 120 characters."""
+    first = F.regexp_extract(content, r"(?s)^(.[^.\n]*)", 1)
+    return F.trim(F.substring(first, 1, 120))
+
+
+def correction_nodes(observations: DataFrame, nodes: DataFrame, linked: DataFrame, rejected: Column, least: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """Corrections made nodes of their own, in order of id: (outcome for each observation, links).
+
+    observations(id, name, content, embedding): corrections that may be promoted; nodes(id, name, role_type, embedding): what
+    is there; linked(id): observations that a correction node implements already, which are left out. `rejected` is the gate
+    on the content. A correction that has the name of a correction node, or of an earlier one of these, reinforces it. Else
+    it is skipped if a constraint or correction with cosine of at least `least` is there; else it makes a node. Outcomes:
+    (id, label, outcome, node): rejected, updated, skipped, created; node is the id of the correction, its first observation's
+    for a created one; links(id, node) of all updated and created.
+    """
+    fresh = observations.join(linked.select("id").distinct(), "id", "left_anti")
+    label = F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.when(correction_label(F.col("content")) != "", correction_label(F.col("content"))), F.lit("correction"))
+    o = fresh.withColumns({"label": label, "rejected": F.coalesce(rejected, F.lit(False))})
+    there = nodes.where("role_type = 'correction'").groupBy(F.col("name").alias("label")).agg(F.min("id").alias("known"))
+    side = lambda df: df.select(F.col("id").alias("vec_id"), "embedding")
+    near = knn_blocks(side(nodes.where("role_type in ('constraint', 'correction')")), side(o.where("not rejected")), 1, least, apart=False).select(F.col("q").alias("id"), F.lit(True).alias("near"))
+    o = o.join(there, "label", "left").join(near, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    # the first of a label that is neither rejected nor near makes its node; those before it with that label are skipped, those after it reinforce it
+    makes = o.where("not rejected and known is null and not near").groupBy("label").agg(F.min("id").alias("maker"))
+    o = o.join(makes, "label", "left")
+    outcome = F.when(F.col("rejected"), "rejected").when(F.col("known").isNotNull(), "updated").when(F.col("maker").isNull() | (F.col("id") < F.col("maker")), "skipped").when(F.col("id") == F.col("maker"), "created").otherwise("updated")
+    done = o.select("id", "label", outcome.alias("outcome"), F.coalesce("known", "maker").alias("node"))
+    done = done.withColumn("node", F.when(F.col("outcome").isin("created", "updated"), F.col("node")))
+    return done, done.where("node is not null").select("id", "node")
+
+
+def versioned_update(current: DataFrame, updates: DataFrame, key: str, values: list[str], retries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """current(key, version, values…), updates(key, expected, turn, values…) → (table after, report).
+
+    An update takes effect if the row still has the version that it expects, and adds 1 to it; of several the first by turn.
+    All others are conflicts: they read the version anew and try again, one of a key taking effect in each attempt, by turn,
+    until `retries` are used up. Turns differ within a key. report: (key, turn, outcome, attempts, expected, version): applied
+    with the new version, conflict with the version that stood at the end, missing for a key that is not there. Of a hot
+    key only retries + 1 updates reach the task that has the key.
+    """
+    u = updates.join(current.select(key, F.col("version").alias("_version")), key, "left")
+    fits = F.col("expected") == F.col("_version")
+    known = u.where("_version is not null").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    # turn by turn after the first that fits
+    first = known.where("_fits").groupBy(key).agg(F.min("turn").alias("_first"))
+    ordered = known.join(first, key, "left").withColumn("_late", F.coalesce(F.col("turn") != F.col("_first"), F.lit(True)))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_late", "turn"))
+    attempt = F.col("_nth") + F.when(F.col("_first").isNull(), 1).otherwise(0)
+    tried = ordered.withColumn("_nth", nth).where(F.col("_nth") <= retries + 1).withColumn("attempts", attempt).where(F.col("attempts") <= retries + 1)
+    applied = tried.select(key, "turn", F.lit("applied").alias("outcome"), "attempts", "expected", (F.col("_version") + F.col("_nth")).alias("version"), *values)
+    last = applied.groupBy(key).agg(F.max("version").alias("_now"), F.max_by(F.struct(*values), "version").alias("_new"))
+    after = current.join(last, key, "left").select(key, F.coalesce("_now", "version").alias("version"), *(F.when(F.col("_now").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in values))
+    rest = u.join(applied.select(key, "turn"), [key, "turn"], "left_anti").join(last.select(key, "_now"), key, "left")
+    missed = rest.select(key, "turn", F.when(F.col("_version").isNull(), "missing").otherwise("conflict").alias("outcome"), F.when(F.col("_version").isNull(), 1).otherwise(retries + 1).alias("attempts"), "expected", F.coalesce("_now", "_version").alias("version"))
+    return after, applied.drop(*values).unionByName(missed)
+
+
 def tagged_nodes(observations: DataFrame, prefix: str = "constraint:") -> DataFrame:
     """observations(id, tags, confidence, embedding) → a node for each tag of the prefix: (code, n, first, confidence, centroid). An observation counts once for each such tag that it has."""
     tag = F.explode(F.array_distinct(F.filter("tags", lambda t: t.startswith(prefix))))

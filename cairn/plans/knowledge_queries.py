@@ -141,14 +141,17 @@ def j12_contradiction_candidates(spark, sf_dir):
 CORRECTS_SQL = "regexp_matches(text, '(?i)(" + "|".join(O.CORRECTIONS).replace("'", "''") + ")')"
 
 
-@query(f"""WITH n AS ({NEAR_SQL}), k AS (SELECT q, greatest(0, least(1, 1 - avg(sim))) AS m FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, node) AS r FROM n) WHERE r <= 50 AND sim >= 0.15 GROUP BY q)
-  SELECT doc_id, round(least(1, 0.4 * CASE WHEN {CORRECTS_SQL} THEN 0.9 ELSE 0 END + 0.25 * novelty + 0.25 * coalesce(m, 0.8)), 5) AS surprise FROM {NOVELTY_SQL.replace("@t", "documents")} JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) ON vec_id = doc_id LEFT JOIN k ON q = doc_id""")
+@query(f"""WITH n AS ({NEAR_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, node) AS r FROM n), k AS (SELECT q, greatest(0, least(1, 1 - avg(sim))) AS m FROM o WHERE r <= 50 AND sim >= 0.15 GROUP BY q),
+  c AS (SELECT q, max(round(sim, 6)) AS c FROM o JOIN documents x ON x.doc_id = q JOIN documents y ON y.doc_id = node WHERE r <= 20 AND sim >= 0.15 AND {DIFFERS_SQL} GROUP BY q)
+  SELECT doc_id, round(least(1, 0.4 * CASE WHEN {CORRECTS_SQL} THEN 0.9 ELSE 0 END + 0.25 * novelty + 0.25 * coalesce(m, 0.8) + 0.1 * coalesce(c, 0)), 5) AS surprise FROM {NOVELTY_SQL.replace("@t", "documents")} JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) ON vec_id = doc_id LEFT JOIN k ON k.q = doc_id LEFT JOIN c ON c.q = doc_id""")
 def x8_surprise(spark, sf_dir):
     e, q = vectors(spark, sf_dir)
+    d = load(spark, sf_dir, "documents")
     near = K.embedding_novelty(e, q, 50, 0.15).withColumnRenamed("vec_id", "doc_id")
+    against = K.contradiction_scores(K.contradiction_candidates(e, q, d.select(F.col("doc_id").alias("vec_id"), "text"), 0.15, 20)).withColumnRenamed("vec_id", "doc_id")
     text = F.col("text")
-    total = O.surprise(O.correction(text), O.term_novelty(text), F.col("novelty"), F.lit(0.0))
-    return load(spark, sf_dir, "documents").join(near, "doc_id").select("doc_id", F.round(total, 5).alias("surprise"))
+    total = O.surprise(O.correction(text), O.term_novelty(text), F.col("novelty"), F.coalesce("contradiction", F.lit(0.0)))
+    return d.join(near, "doc_id").join(against, "doc_id", "left").select("doc_id", F.round(total, 5).alias("surprise"))
 
 
 IDENT_SQL = """CASE WHEN strlen(i) < 2 THEN false ELSE regexp_matches(i, '\\p{Ll}\\p{Lu}|^.+\\p{Lu}\\p{Ll}') OR (contains(i, '_') AND regexp_matches(i, '\\p{Lu}|\\p{Ll}')) OR (contains(i, '.') AND regexp_matches(i, '\\p{Ll}') AND strlen(i) > 5) END"""
@@ -266,7 +269,7 @@ def c16_golden_holdout(spark, sf_dir):
     return C.golden_rows(load(spark, sf_dir, "documents"), "source", "doc_id", 90, 8).select("doc_id", "source")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 END WHEN 'view' THEN greatest(0, least(1, value / 20)) WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 70 OR event_id % 3 = 1 THEN 1.0 ELSE 0.0 END END WHEN 'purchase' THEN greatest(0, least(1, value / 10 - 0.5)) END AS quality FROM events""")
+@query("""SELECT event_id, round(CASE event_type WHEN 'click' THEN CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 END WHEN 'view' THEN greatest(0, least(1, value / 20)) WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 70 OR event_id % 3 = 1 THEN 1.0 ELSE 0.0 END END WHEN 'purchase' THEN greatest(0, least(1, value / 10 - 0.5)) END, 6) AS quality FROM events""")
 def c17_quality_annotation(spark, sf_dir):
     """Events as records of four tasks; an error's outcome is broken JSON, JSON without, or with, a confidence."""
     t = F.col("event_type")
@@ -277,9 +280,6 @@ def c17_quality_annotation(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.round(C.task_quality(task, outcome, F.col("value") / 20, F.col("value") / 10 - 0.5), 6).alias("quality"))
 
 
-query.sql["c17_quality_annotation"] = query.sql["c17_quality_annotation"].replace("SELECT event_id, CASE event_type", "SELECT event_id, round(CASE event_type", 1).replace("END AS quality", "END, 6) AS quality")
-
-
 @query("""WITH o AS (SELECT user_id AS g FROM events GROUP BY 1 HAVING bool_or(event_type = 'click') AND bool_or(event_type IN ('error', 'view'))), i AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, c_name) AS k FROM customer)
   SELECT g AS guidance_id, min(c_name) FILTER (k = 1) AS chosen, min(c_name) FILTER (k = 2) AS rejected FROM o JOIN i ON c_nationkey = g GROUP BY g HAVING count(*) FILTER (k <= 2) = 2 AND NOT bool_or(k = 1 AND c_acctbal < 0)""")
 def j16_outcome_pairs(spark, sf_dir):
@@ -322,13 +322,6 @@ def j14_symbol_resolution(spark, sf_dir):
     return files.resolved(refs, p).select("l_orderkey", "l_linenumber", "target", "confidence")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS i FROM lineitem WHERE l_quantity > 45), z AS (SELECT e, count(*) AS n FROM s GROUP BY 1), h AS (SELECT x.e AS a, y.e AS b, count(*) AS h FROM s x JOIN s y USING (i) WHERE x.e < y.e GROUP BY ALL) SELECT a, b, round(h / (p.n + q.n - h), 6) AS jaccard FROM h JOIN z p ON p.e = a JOIN z q ON q.e = b""")
-def c19_expert_overlap(spark, sf_dir):
-    """Experts and the items routed to them; only experts that share an item meet."""
-    s = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("i")).distinct()
-    return C.set_overlap(s, "e", "i").withColumn("jaccard", F.round("jaccard", 6))
-
-
 @query("""WITH w AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n, sum(o_totalprice) OVER (ORDER BY o_orderdate DESC, o_orderkey) AS s FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '1995-06-01') SELECT o_orderkey FROM w WHERE n <= 2000 AND s <= 300000000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'""")
 def s15_retention(spark, sf_dir):
     """Orders as backups with a size: the newest 2,000 of an age, as far as their sizes fit; pinned ones besides."""
@@ -378,18 +371,8 @@ def s10_space_inventory(spark, sf_dir):
     return counts.join(types, "layer")
 
 
-@query("SELECT conv_id, turn + 1 AS section, role AS heading, trim(text) AS content FROM conversations")
-def x17_heading_sections(spark, sf_dir):
-    """Conversations written as pages: a lead, and a section with a heading for each turn."""
-    part = F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n"), "text").alias("p"))
-    pages = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("ps"))
-    text = F.concat(F.lit("\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n"))
-    s = CH.heading_sections(pages.select("conv_id", text.alias("text")), "conv_id", "text")
-    return s.where("heading <> ''").select("conv_id", F.col("section").cast("long").alias("section"), "heading", F.regexp_replace("content", "\n+$", "").alias("content"))
-
-
-@query("""SELECT conv_id, turn + 1 AS section, 2 AS level, CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END AS title, CASE role WHEN 'user' THEN 'What does ''user'' mean in ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?' WHEN 'assistant' THEN 'using assistant, according to ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?'
-  ELSE 'What are the options of ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?' END AS prompt, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM conversations WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 20""".replace("turn + 1 AS section", "turn AS section"))
+@query("""SELECT conv_id, turn AS section, 2 AS level, CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END AS title, CASE role WHEN 'user' THEN 'What does ''user'' mean in ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?' WHEN 'assistant' THEN 'using assistant, according to ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?'
+  ELSE 'What are the options of ' || CASE WHEN conv_id % 2 = 0 THEN 'Guide' ELSE 'Conversation ' || conv_id END || '?' END AS prompt, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM conversations WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 20""")
 def s14_markdown_questions(spark, sf_dir):
     """Conversations as markdown pages, half of them with a title at the top, cut into questions and answers."""
     heading = F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "Using assistant").otherwise("Options")
@@ -404,7 +387,7 @@ def s14_markdown_questions(spark, sf_dir):
 # --- whole tables, and large keys in several tasks
 
 
-@query("SELECT source, count(*) AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM (SELECT source, doc_id // 10000 AS b, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS d, count(*) AS k FROM documents GROUP BY ALL) GROUP BY 1".replace("count(*) AS n", "sum(k) AS n"))
+@query("SELECT source, sum(k) AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM (SELECT source, doc_id // 10000 AS b, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS d, count(*) AS k FROM documents GROUP BY ALL) GROUP BY 1")
 def s7_export_digest(spark, sf_dir):
     """A digest of each source's rows in order of id, over digests of ranges of 10,000 ids: compared with the exporter's to verify a copy."""
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(c, "d"))), lambda x: x["d"]), "")

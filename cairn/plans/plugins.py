@@ -67,6 +67,17 @@ def cooler(candidates: DataFrame, days: str = "days", half_life: float = 30.0) -
     return candidates.withColumn("score", F.col("score") * F.pow(F.lit(0.5), F.col(days) / half_life))
 
 
+@REASONING.add("reflection")
+def reflection(candidates: DataFrame, edges: DataFrame | None = None, share: float = 0.3, least: float = 0.5, most: int = 2000) -> DataFrame:
+    """What reflecting on the candidates adds: each passes `share` of its score times the edge's weight on to its neighbours among them, if its score is `least` or more; a candidate takes the most that any neighbour passes on. edges(src, dst, weight), in both directions; the `most` best candidates pass on."""
+    if edges is None:
+        return candidates
+    sources = candidates.where(F.col("score") >= least).orderBy(F.desc("score"), "node_id").limit(most).select("node_id", F.col("score").alias("_from"))
+    links = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
+    passed = links.join(F.broadcast(sources), F.col("src") == F.col("node_id")).groupBy(F.col("dst").alias("node_id")).agg(F.max(share * F.col("_from") * F.col("weight")).alias("_add"))
+    return candidates.join(passed, "node_id", "left").withColumn("score", F.col("score") + F.coalesce("_add", F.lit(0.0))).drop("_add")
+
+
 @dataclass(frozen=True)
 class Ingestion:
     """endings: of files that the module takes; read: (spark, paths) → observations(source, number, text)."""

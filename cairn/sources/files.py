@@ -44,6 +44,35 @@ def export_table(df: DataFrame, path: str, columns: Sequence[str], task: str, pr
     return counts, file_hashes(df.sparkSession, path)
 
 
+def export_with_manifest(df: DataFrame, path: str, columns: Sequence[str], task: str, private: Column) -> DataFrame:
+    """export_table in two phases: data below path/data by Spark's committer, which shows a task's files only when the job has ended; then path/manifest with their hashes. An export without a manifest did not end and counts as none."""
+    _, hashes = export_table(df, f"{path}/data", columns, task, private)
+    hashes.write.mode("error").parquet(f"{path}/manifest")
+    return df.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def rescrubbed(spark: SparkSession, path: str, out: str, schema: StructType, scrub: dict[str, object]) -> DataFrame:
+    """An export's JSON lines scrubbed again → (file, n_rows, violations, column, row): a row for each file, with a violating row's column and text.
+
+    scrub: column → function of a column that a clean text passes unchanged. Files with hits are written anew, scrubbed, below
+    `out`, named by their file; clean ones are not touched, and of all rows only those of files with hits are read twice.
+    """
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("timestampNTZFormat", STAMP).option("recursiveFileLookup", "true").json(path).withColumn("_file", F.input_file_name())
+    hits = {c: F.coalesce(f(F.col(c)) != F.col(c), F.lit(False)) for c, f in scrub.items()}
+    n = sum((h.cast("int") for h in hits.values()), F.lit(0))
+    where = F.coalesce(*(F.when(h, F.lit(c)) for c, h in hits.items()))
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in schema.fieldNames())))
+    first = F.min(F.when(n > 0, F.struct(line.alias("line"), where.alias("column"))))
+    report = rows.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("n_rows"), F.sum(n).alias("violations"), first.alias("f"))
+    stored_report = f"{out}/report"
+    report.select("file", "n_rows", "violations", "f.column", F.col("f.line").alias("row")).write.parquet(stored_report)
+    done = spark.read.parquet(stored_report)
+    dirty = rows.join(done.where("violations > 0").select(F.col("file").alias("_file")), "_file", "left_semi")
+    clean = dirty.select(F.element_at(F.split("_file", "/"), -1).alias("name"), *(scrub[c](F.col(c)).alias(c) if c in scrub else F.col(c) for c in schema.fieldNames()))
+    clean.write.partitionBy("name").option("timestampNTZFormat", STAMP).json(f"{out}/data")
+    return done
+
+
 def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """manifest(path, sha256) → (path, ok): whether the file is still there with that hash."""
     now = file_hashes(spark, path).select("path", F.col("sha256").alias("_now"))
