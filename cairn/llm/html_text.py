@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
+from .common import text_runs
+
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+DECLARATION = re.compile(r"<[!?]")
+OUTSIDE = re.compile(r"[^>\"']+")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 STYLE = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -106,23 +110,89 @@ class Open:
             self.cut(at)
 
 
+class Tokens:
+    """Tags of a source in order, comments and declarations as tags without a name. A tag ends at the first > outside of quotes; without one its < is text.
+
+    Scans that found no end are kept as ranges outside of quotes: a later scan that comes into one has none either, so that
+    each place is read a few times at most.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.starts: list[int] = []  # of ranges without an end, in order; lasts: where each ends
+        self.lasts: list[int] = []
+        self.failed, self.last = 0, source.rfind(">")  # behind the name of the last tag that had no end: one that begins in the name has none either
+
+    def dead(self, at: int) -> bool:
+        k = bisect_right(self.starts, at) - 1
+        return k >= 0 and at < self.lasts[k]
+
+    def end(self, at: int) -> int:
+        """The place of the tag's >, from behind its name on; -1 if there is none."""
+        source, n, ranges = self.source, len(self.source), []
+        while at < n:
+            if self.dead(at):
+                break
+            found = OUTSIDE.match(source, at)
+            last = found.end() if found else at
+            # a range that was read before may begin within this one
+            ranges.append((at, max(last, at + 1)))
+            at = last
+            if at >= n:
+                break
+            if source[at] == ">":
+                return at
+            close = source.find(source[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for start, last in ranges:
+            k = bisect_right(self.starts, start)
+            self.starts.insert(k, start)
+            self.lasts.insert(k, last)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first at or after a place."""
+        source, n = self.source, len(self.source)
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                close = source.find("-->", at + 4)
+                return at, close + 3 if close >= 0 else n, "", "", ""
+            if source[at + 1 : at + 2] in ("!", "?"):
+                close = source.find(">", at)
+                return at, close + 1 if close >= 0 else n, "", "", ""
+            if at > self.last:
+                found = DECLARATION.search(source, at)
+                if not found:
+                    return None
+                at = found.start()
+                continue
+            if (at >= self.failed or source[at + 1] == "/") and (found := NAME.match(source, at)):
+                if (close := self.end(found.end())) >= 0:
+                    return at, close + 1, found[1], found[2], source[found.end() : close]
+                self.failed = found.end()
+            at += 1
+        return None
+
+
 def tree(source: str) -> Node:
     """The document's tree. Missing end tags, and the row that a cell needs, are implied; a stray end tag is ignored, but that of p or br."""
     root = Node("html", {})
     open_ = Open(root)
-    at, n = 0, len(source)
+    at, n, tokens = 0, len(source), Tokens(source)
     while at < n:
-        found = TOKEN.search(source, at)
-        text = source[at : found.start() if found else n]
+        found = tokens.next(at)
+        text = source[at : found[0] if found else n]
         if text:
             open_.stack[-1].children.append(html.unescape(text))
         if not found:
             break
-        at = found.end()
-        if not found[2]:
+        _, at, slash, name, inside = found
+        if not name:
             continue
-        tag = found[2].lower()
-        if found[1]:
+        tag = name.lower()
+        if slash:
             if tag == "br":
                 open_.push("br", {})
             elif tag == "p" and "p" not in open_:
@@ -132,7 +202,7 @@ def tree(source: str) -> Node:
                 open_.end(tag, ("table",) if tag in TABLE_PARTS else () if tag == "table" else SCOPE - {tag})
             continue
         if tag in ("html", "body"):
-            root.attrs.update({k: v for k, v in attributes(found[3]).items() if k not in root.attrs})
+            root.attrs.update({k: v for k, v in attributes(inside).items() if k not in root.attrs})
             if tag == "body":
                 open_.close({"head"}, ())
             continue
@@ -142,7 +212,7 @@ def tree(source: str) -> Node:
             open_.close(*ENDS[tag])
             if tag in ("td", "th") and open_.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 open_.push("tr", {})
-        attrs = attributes(found[3]) if found[3].strip(" /\n\t") else {}
+        attrs = attributes(inside) if inside.strip(" /\n\t") else {}
         inner = open_.last(UNDRAWN)
         foreign = tag if tag in UNDRAWN else open_.stack[inner].tag if inner else ""
         if foreign and tag in UNDRAWN[foreign]:
@@ -150,15 +220,16 @@ def tree(source: str) -> Node:
         elif foreign == "svg" and tag == "text":
             attrs[LINE] = ""
         open_.push(tag, attrs)
-        if foreign and tag not in VOID and found[3].endswith("/"):
+        if foreign and tag not in VOID and inside.endswith("/"):
             open_.pop()
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-            raw = source[at : end.start() if end else n]
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
+            close = source.find(">", end.end()) if end else -1
+            raw = source[at : end.start() if close >= 0 else n]
             if raw:
                 open_.stack[-1].children.append(html.unescape(re.sub(r"\A\r?\n", "", raw)) if tag == "textarea" else raw)
             open_.pop()
-            at = end.end() if end else n
+            at = close + 1 if close >= 0 else n
     return root
 
 
@@ -254,10 +325,24 @@ class Table:
         self.at = end
 
     def lines(self) -> list[str]:
-        """Each cell's lines padded to its columns' width, two spaces between columns."""
+        """Each cell's lines padded to its columns' width, two spaces between columns; columns that no cell tells apart are one."""
+        edges = set()
+        for row in self.rows:
+            at = 0
+            for _, span in row:
+                at += span
+                edges.add(at)
+        place = {edge: k for k, edge in enumerate(sorted(edges | {0}))}
+        rows = []
+        for row in self.rows:
+            at = 0
+            rows.append([])
+            for lines, span in row:
+                rows[-1].append((lines, place[at + span] - place[at]))
+                at += span
         widths: list[int] = []
         for wide in (False, True):
-            for row in self.rows:
+            for row in rows:
                 at = 0
                 for lines, span in row:
                     widths += [0] * (at + span - len(widths))
@@ -268,7 +353,7 @@ class Table:
                         widths[at + span - 1] += max(0, most - sum(widths[at : at + span]) - 2 * (span - 1))
                     at += span
         out = []
-        for row in self.rows:
+        for row in rows:
             for k in range(max((len(lines) for lines, _ in row), default=0)):
                 at, parts = 0, []
                 for lines, span in row:
@@ -365,11 +450,12 @@ def rendered(source: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row for each row of pages: page_id, text, n_lines. Null and empty pages have an empty text and no lines; repeated rows are rendered each."""
+    """One row for each row of pages: page_id, text, n_lines. Null and empty pages have an empty text and no lines; repeated rows are rendered each, and an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [rendered(h) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], ["page_id", "text", "n_lines"])
+            for first, last, sources in text_runs(batch.column(1), 4_000_000):
+                texts = [rendered(h) for h in sources]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], ["page_id", "text", "n_lines"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string, n_lines long")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import lower, texts_of
 
-from cairn.llm import conversation_repair, decontamination, hard_negatives
+from cairn.llm import conversation_repair, decontamination, hard_negatives, html_text
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -265,3 +265,19 @@ def test_damage(spark):
     rows = list(random_talk(6, 30, 10))
     got = conversation_repair.damaged(spark.createDataFrame(rows, TALK)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_damage([r[:4] for r in rows])))
+
+
+# --- 2, time
+
+
+@pytest.mark.parametrize("source", ["<a " * 200_000, "<a " * 100_000 + '">', "<a '" * 50_000 + ">", "<a b='\"' " * 50_000, "<table><td colspan=1000>" * 5000 + "x", "</script " * 100_000, "<script>" + "</script " * 100_000, "<!--" * 100_000, "<b" * 100_000, "<b" * 100_000 + ' ">'])
+def test_odd_pages_take_linear_time(source):
+    began = time.time()
+    html_text.rendered(source)
+    assert time.time() - began < 4
+
+
+def test_tags_end_outside_quotes():
+    assert html_text.rendered("<a title='x > y'>z</a> <b q=\">\">w") == "z w"
+    assert html_text.rendered("1 <a 'b> 2 <i>c</i>") == "1 <a 'b> 2 c"
+    assert html_text.rendered("<table><tr><td colspan=500>ab<td>c<tr><td colspan=500>d<td>e</table>") == "ab  c\nd   e"
