@@ -125,7 +125,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_
     return met.mapInArrow(run, "a long, b long")
 
 
-def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, rounds: int = 3) -> DataFrame:
+def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, rounds: int = 1) -> DataFrame:
     """distinct: stored signatures with a key, one a text; texts(text_id, text) → (a, b) of keys: links that join all near copies among the candidates.
 
     slack: how much less than `least` of the sketch may agree in a pair that is looked at; None: every candidate pair is.
