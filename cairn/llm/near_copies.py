@@ -5,9 +5,8 @@ points, as everywhere in this subpackage; but texts at 0.8 differ in about ten o
 reaches. So texts are candidates as well if they share a band of minimum hashes: of pairs at similarity s,
 1 - (1 - s^7)^32 are expected to share one of the 32 bands, 0.9994 at s = 0.8 and more above. Pairs whose minimum hashes
 agree in under 0.68 of the 224 places are left out (at 0.8, some three pairs in 10^6 agree in so few), and each other pair is
-confirmed on the whole sets. A bucket's texts are first held against its least one, then in some rounds those of other
-components against one that is picked in each bucket and round. Those that are still in different components are held
-against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: so a
+confirmed on the whole sets. A bucket's texts are first held against its least one, then those of other components
+against the one that stands in the most buckets. Those that are still in different components are held against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: so a
 large group of near copies that do not link costs no square of its size, and no link is lost.
 """
 
@@ -126,7 +125,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_
 
 
 def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, rounds: int = 1) -> DataFrame:
-    """distinct: stored signatures with a key, one a text; texts(text_id, text) → (a, b) of keys: links that join all near copies among the candidates.
+    """distinct: stored signatures with a key, one a text; texts(text_id, text) → (key, root), stored: texts that link to others, and the least key that they are joined with.
 
     slack: how much less than `least` of the sketch may agree in a pair that is looked at; None: every candidate pair is.
     """
@@ -158,9 +157,10 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
 
     degree = member.groupBy("key").agg(F.count("*").alias("degree"))
     member = member.select("bucket", "key", "n").join(degree, "key")
-    tested, found, tables = stars, confirm(stars), [member_table]
+    tested, tables = stars, [member_table]
+    roots = stored(components(confirm(stars)).toDF("key", "root"))
     for turn in range(rounds + 1):
-        rooted = stored(member.join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        rooted = stored(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
         split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         left = stored(rooted.join(split, "bucket"))
         dropped(rooted, *tables)
@@ -172,8 +172,22 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
         else:
             pairs = possible(left, own_runs(left, whole, width), least)
         fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested, found = tested.union(fresh), found.union(confirm(fresh))
-    return found
+        tested, roots = tested.union(fresh), joined(roots, confirm(fresh))
+    dropped(heads, whole, *tables)
+    return roots
+
+
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots(key, root), stored, after links(a, b) more: their ends' roots are joined, and what had one of these has the least of them now."""
+    if found.isEmpty():
+        return roots
+    end = lambda c: F.coalesce("root", c)
+    a = found.join(roots.withColumnRenamed("key", "a"), "a", "left").select(end("a").alias("a"), "b")
+    ends = stored(a.join(roots.withColumnRenamed("key", "b"), "b", "left").select("a", end("b").alias("b")))
+    moved = stored(components(ends).toDF("root", "to"))
+    fresh = moved.join(roots.select(F.col("key").alias("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("to").alias("root"))
+    after = roots.join(moved, "root", "left").select("key", F.coalesce("to", "root").alias("root")).unionByName(fresh)
+    return stored(after)
 
 
 def own_runs(left: DataFrame, whole: DataFrame, width: int) -> DataFrame:
@@ -224,8 +238,8 @@ def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slac
     dropped(signed)
     least_row = F.row_number().over(Window.partitionBy("text_id").orderBy(F.asc_nulls_last("doc_id")))
     texts = rows.select("text_id", "text", "doc_id").withColumn("nth", least_row).where("nth = 1").select("text_id", "text")
-    roots = components(copies(ids.drop("doc_id"), texts, width, least, slack))
-    member = ids.where("doc_id is not null").select("key", "text_id", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("text_id", "doc_id", F.coalesce("root", "key").alias("root"))
+    roots = copies(ids.drop("doc_id"), texts, width, least, slack)
+    member = ids.where("doc_id is not null").select("key", "text_id", "doc_id").join(roots, "key", "left").select("text_id", "doc_id", F.coalesce("root", "key").alias("root"))
     stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("s")).select("s.doc_id", "s.text_id")
     named = rows.where("doc_id is not null").drop("text")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_id").orderBy(F.xxhash64("row")))
