@@ -100,10 +100,12 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose texts are alike, on their whole sets. whole(key, text): a row a text.
 
-    A text meets those that it is paired with in groups of about per_task, so that it travels once for each group.
+    A text meets those that it is paired with in groups of about per_task, so that it travels once for each group. Only
+    those with more than one group are looked up.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("groups"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group"))
+    large = sizes.where("groups > 1")
+    dealt = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).alias("group"))
     heads = sizes.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group")).join(whole, "key").select(F.col("key").alias("a"), "group", F.lit(None).cast("long").alias("b"), "text")
     members = dealt.join(whole.toDF("b", "text"), "b").select("a", "group", "b", "text")
 
