@@ -119,7 +119,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: counts of the base kinds, the digest of their spans, and all spans.
 
-    A null or empty text has no spans. Rows with a null or repeated id are scanned like others. Other columns are ignored.
+    A null or empty text has no spans. Rows with a null or repeated id are scanned like others. Other columns are ignored; an empty table gives no rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, all rows and columns, with every span of text_col redacted. A null text stays null."""
+    """docs, all rows and columns, with every span of text_col redacted. A null or empty text stays as it is; repeated rows are redacted each, and an empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -69,23 +69,33 @@ def host_edges(pages: DataFrame, html_col: str | None) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-4, stride: int = 6) -> DataFrame:
     """edges(kind, src, dst, w), seeds(kind, host, mass) → (kind, host, rank): a personalised PageRank for each kind.
 
     rank = (1 - damping) * seed share + damping * what comes in; a host passes on its rank in proportion to w. Without
-    `rounds` it goes on until the ranks change by at most `tolerance`, both summed and as a part of each host's own rank;
-    a host that is reached for the first time changes by all of its rank, so that every host within reach gets one.
+    `rounds` it goes on until the ranks change by at most `tolerance` in a round, both summed and as a part of each host's
+    own rank; a host that is reached for the first time changes by all of its rank, so that every host within reach gets
+    one. `stride` rounds are one plan, whose result is written and tested.
     """
     share = stored(seeds.join(seeds.groupBy("kind").agg(F.sum("mass").alias("all")), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")))
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     parts = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("part")))
-    rank, turn = share.select("kind", "host", F.col("seed").alias("rank")), 0
-    while rounds is None or turn < rounds:
+    fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"), F.lit(0.0).alias("old"))
+
+    def gathered(rank: DataFrame) -> DataFrame:
         moved = rank.join(parts, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("x"), F.lit(0.0).alias("old"))
-        fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"), F.lit(0.0).alias("old"))
+        return moved.unionByName(fresh)
+
+    rank, turn, found = share.select("kind", "host", F.col("seed").alias("rank")), 0, None
+    while rounds is None or turn < rounds:
+        n = stride if rounds is None else min(stride, rounds - turn)
+        for _ in range(n - 1):
+            rank = gathered(rank).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
         before = rank.select("kind", "host", F.lit(0.0).alias("x"), F.col("rank").alias("old"))
-        found = stored(moved.unionByName(fresh).unionByName(before).groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
-        rank, turn = found.select("kind", "host", "rank"), turn + 1
+        done, found = found, stored(gathered(rank).unionByName(before).groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
+        if done is not None:
+            dropped(done)
+        rank, turn = found.select("kind", "host", "rank"), turn + n
         if rounds is None:
             change = F.abs(F.col("rank") - F.col("old"))
             summed, largest = found.agg(F.sum(change), F.max(F.when(change > 0, change / F.greatest("rank", "old")))).first()
@@ -98,7 +108,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, least_trust: fl
     """One row for each row of pages: page_id, host, path, rule, verdict, trust.
 
     trust: the host's trust / (trust + distrust), null where neither reaches it. Without a rule, a host whose trust is
-    at least `least_trust`, or that neither reaches, is allowed. A null url has an empty host and path, and is allowed.
+    at least `least_trust`, or that neither reaches, is allowed. A null url has an empty host and path, and is allowed. Repeated rows are judged each
+    and count as so many pages of their host; an empty table gives no rows.
     """
     host, path = host_of(F.col(url_col).cast("string")), path_of(F.col(url_col).cast("string"))
     cols = [F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")]
