@@ -41,9 +41,11 @@ INJECTIONS = (
 )
 # Words that a telegram leaves out.
 FILLERS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can it its this that these those i you he she we they me him her us them my your his our their myself yourself "
-    "of in to for with on at by from as into about between through and but or so yet just also very really quite rather somewhat there here then now"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might",
+    "shall", "can", "it", "its", "this", "that", "these", "those", "i", "you", "he", "she", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "our",
+    "their", "myself", "yourself", "of", "in", "to", "for", "with", "on", "at", "by", "from", "as", "into", "about", "between", "through", "and", "but", "or", "so",
+    "yet", "just", "also", "very", "really", "quite", "rather", "somewhat", "there", "here", "then", "now",
+)
 
 
 def fields(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import learn as L
+from ..operators.rank import per_source_cap
 from ..sources.tables import EDGES_SQL, NODES_SQL, SUPPLIER_BASE, graph_edges, graph_nodes, load
 from .registry import Registry
 
@@ -20,10 +21,8 @@ def l1_hebbian_update(spark, sf_dir):
     return L.coactivated(e, p).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT user_id, event_id, greatest(0, value / 100 - 0.15) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 20".replace("greatest(0, value / 100 - 0.15)", "round(greatest(0, value / 100 - 0.15), 6)"))
+@query("SELECT user_id, event_id, round(greatest(0, value / 100 - 0.15), 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 20")
 def l3_negative_feedback(spark, sf_dir):
-    from ..operators.rank import per_source_cap
-
     e = per_source_cap(load(spark, sf_dir, "events").where("event_type = 'error'"), "user_id", 20, [F.asc("ts"), F.asc("event_id")])
     return e.select("user_id", "event_id", F.round(F.greatest(F.lit(0.0), F.col("value") / 100 - 0.15), 6).alias("weight"))
 
