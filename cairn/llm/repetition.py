@@ -127,7 +127,8 @@ def measured(texts: list[str], rules: RepetitionRules, most: int = 3_000_000) ->
 def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs with its counts and verdict.
 
-    A null text has no words, and so fails. Rows with a null or repeated id are judged like others; other columns are ignored.
+    A null text has no words, and so fails. Rows with a null or repeated id are judged like others; other columns are
+    ignored, and an empty table gives no rows.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
