@@ -10,7 +10,6 @@ from ..functions import scalars as S
 from ..operators import curate as C
 from ..operators import vectors as V
 from ..sources import files
-from ..sources.scratch import fresh_path
 from ..sources.tables import load
 from ..streaming import state
 from ..streaming import stream as ST
