@@ -61,7 +61,7 @@ def proportional(df: DataFrame, group: str, total: int, key: Column) -> DataFram
     nth = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("q"), 9)), group))  # one row a group
     q = q.withColumn("nth", nth).join(F.broadcast(left), F.lit(True)).select(group, (F.col("q") + F.when(F.col("nth") <= F.col("left"), 1).otherwise(0)).alias("quota"))
     k = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return df.withColumn("_k", k).join(F.broadcast(q), group).where("_k <= quota").drop("_k", "quota")
+    return df.withColumn("_k", k).join(q, group).where("_k <= quota").drop("_k", "quota")
 
 
 def preference_pairs(df: DataFrame, bucket: Sequence[str], reward: str, id_col: str, least: float, most: int) -> DataFrame:
