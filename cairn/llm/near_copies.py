@@ -5,9 +5,10 @@ points, as everywhere in this subpackage; but texts at 0.8 differ in about ten o
 reaches. So texts are candidates as well if they share a band of minimum hashes: of pairs at similarity s,
 1 - (1 - s^7)^32 are expected to share one of the 32 bands, 0.9994 at s = 0.8 and more above. Pairs whose minimum hashes
 agree in under 0.68 of the 224 places are left out (at 0.8, some three pairs in 10^6 agree in so few), and each other pair is
-confirmed on the whole sets. A bucket's texts are first held against its least one, then those of other components
-against the one that stands in the most buckets. Those that are still in different components are held against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: so a
-large group of near copies that do not link costs no square of its size, and no link is lost.
+confirmed on the whole sets. A bucket's texts are first held against its least one, then those of
+other components against the one that stands in the most buckets. Those that are still in different components are held
+against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: no link
+is lost, and of a large group of near copies that do not link few pairs are looked at.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, "text_id binary, doc_id long, n long, fp long, bands array<long>, sketch binary")
 
 
-def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in that share of places."""
+def sifted(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b, left, right) → (a, b) of those whose sketches left and right agree in that share of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,8 +94,12 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             keep = (x == y).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in that share of places."""
+    return sifted(pairs.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b"), least)
 
 
 def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_task: int = 256) -> DataFrame:
@@ -149,12 +154,12 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
     named = distinct.select("key", "text_id").join(wanted, "key", "left_semi")
     whole = stored(texts.join(named, "text_id").select("key", "text"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        if slack is None:
+    def confirm(pairs: DataFrame, sift: bool = slack is not None) -> DataFrame:
+        if not sift:
             return stored(confirmed(pairs, whole, width, least))
-        sifted = stored(agreeing(pairs, sketches, least - slack))
-        out = stored(confirmed(sifted, whole, width, least))
-        dropped(sifted)
+        alike_enough = stored(agreeing(pairs, sketches, least - slack))
+        out = stored(confirmed(alike_enough, whole, width, least))
+        dropped(alike_enough)
         return out
 
     degree = member.groupBy("key").agg(F.count("*").alias("degree"))
@@ -172,9 +177,11 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
             order = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
             pairs = left.join(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra"), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
         else:
-            pairs = possible(left, own_runs(left, whole, width), least)
+            pairs = possible(left.join(sketches, "key"), own_runs(left, whole, width), least)
+            pairs = pairs if slack is None else sifted(pairs, least - slack)
         fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested, roots = tested.union(fresh), joined(roots, confirm(fresh))
+        found = confirm(fresh) if turn < rounds else confirm(fresh, False)
+        tested, roots = tested.union(fresh), joined(roots, found)
     dropped(heads, whole, *tables)
     return roots
 
@@ -208,8 +215,8 @@ def own_runs(left: DataFrame, whole: DataFrame, width: int) -> DataFrame:
     return keys.join(alone.groupBy("key").agg(F.count("*").alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(0)).alias("u"))
 
 
-def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 50) -> DataFrame:
-    """left(bucket, key, n, root), own(key, u) → (a, b): pairs of one bucket and different roots that can be alike, given the runs that each has alone.
+def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 20) -> DataFrame:
+    """left(bucket, key, n, root, sketch), own(key, u) → (a, b, left, right), their sketches: pairs of one bucket and different roots that can be alike, given the runs that each has alone.
 
     With shares p and q of such runs, |A and B| is at most (1 - p) |A| and |A or B| at least |A| + q |B|, so that two texts
     are alike only if (1 - p) / (1 + q) reaches `least` for the one of fewer runs, and then q is under (1 - p) / least - 1.
@@ -217,12 +224,12 @@ def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 50) ->
     both share.
     """
     own = own.join(left.groupBy("key").agg(F.collect_set("bucket").alias("buckets")), "key")  # `BANDS` at most
-    rows = stored(left.join(own, "key").select("bucket", "buckets", "key", "n", "root", "u", F.floor(F.col("u") / F.greatest("n", F.lit(1)) * levels).cast("int").alias("level")))
+    rows = stored(left.join(own, "key").select("bucket", "buckets", "key", "n", "root", "sketch", "u", F.floor(F.col("u") / F.greatest("n", F.lit(1)) * levels).cast("int").alias("level")))
     top = F.floor(((1 - F.col("u") / F.greatest("n", F.lit(1))) / least - 1) * levels).cast("int")
-    a = rows.withColumn("top", top).where("top >= 0").select("bucket", F.col("buckets").alias("own"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("u").alias("ua"), F.explode(F.sequence(F.lit(0), "top")).alias("level"))
-    b = rows.select("bucket", "buckets", "level", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"))
+    a = rows.withColumn("top", top).where("top >= 0").select("bucket", F.col("buckets").alias("own"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("u").alias("ua"), F.col("sketch").alias("left"), F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    b = rows.select("bucket", "buckets", "level", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"), F.col("sketch").alias("right"))
     both, either = F.least(F.col("m") - F.col("ua"), F.col("n") - F.col("ub")), F.greatest(F.col("m") + F.col("ub"), F.col("n") + F.col("ua"))
-    return a.join(b, ["bucket", "level"]).where((F.col("ra") != F.col("root")) & (both >= F.lit(least) * either - F.lit(1e-9)) & (F.col("bucket") == F.array_min(F.array_intersect("own", "buckets")))).select("a", "b")
+    return a.join(b, ["bucket", "level"]).where((F.col("ra") != F.col("root")) & (both >= F.lit(least) * either - F.lit(1e-9)) & (F.col("bucket") == F.array_min(F.array_intersect("own", "buckets")))).select("a", "b", "left", "right")
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
