@@ -7,8 +7,9 @@ reaches. So texts are candidates as well if they share a band of minimum hashes:
 agree in under 0.68 of the 224 places are left out (at 0.8, some three pairs in 10^6 agree in so few), and each other pair is
 confirmed on the whole sets. A bucket's texts are first held against its least one, then those of
 other components against the one that stands in the most buckets. Those that are still in different components are held
-against one another at last, but for pairs that can't be alike as each has too many runs that no other of them has: no link
-is lost, and of a large group of near copies that do not link few pairs are looked at.
+against one another at last, by their rarest runs: in one order of all runs, by their number of texts, two texts that are
+alike share one among the first fifth of each, and the runs before it bound their similarity. No link is lost, and of a
+large group of near copies that do not link few pairs are looked at.
 """
 
 from __future__ import annotations
@@ -154,8 +155,8 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
     named = distinct.select("key", "text_id").join(wanted, "key", "left_semi")
     whole = stored(texts.join(named, "text_id").select("key", "text"))
 
-    def confirm(pairs: DataFrame, sift: bool = slack is not None) -> DataFrame:
-        if not sift:
+    def confirm(pairs: DataFrame) -> DataFrame:
+        if slack is None:
             return stored(confirmed(pairs, whole, width, least))
         alike_enough = stored(agreeing(pairs, sketches, least - slack))
         out = stored(confirmed(alike_enough, whole, width, least))
@@ -177,10 +178,9 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
             order = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
             pairs = left.join(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra"), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
         else:
-            pairs = possible(left.join(sketches, "key"), own_runs(left, whole, width), least)
-            pairs = pairs if slack is None else sifted(pairs, least - slack)
+            pairs = possible(rare_runs(left, whole, width, least), least)
         fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        found = confirm(fresh) if turn < rounds else confirm(fresh, False)
+        found = confirm(fresh)
         tested, roots = tested.union(fresh), joined(roots, found)
     dropped(heads, whole, *tables)
     return roots
@@ -199,8 +199,12 @@ def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
     return stored(after)
 
 
-def own_runs(left: DataFrame, whole: DataFrame, width: int) -> DataFrame:
-    """(key, u): how many runs of each text of left(key, …) none of its other texts has."""
+def rare_runs(left: DataFrame, whole: DataFrame, width: int, least: float) -> DataFrame:
+    """(run, key, n, root, u, main): of each text of left(key, n, root, …) its rarest runs, so many that two texts that are alike share one of these.
+
+    u: how many runs of the text come before it, in the order of their number of texts here; main: whether the text's root
+    has the most texts among those with this run. Runs that only one text or root has are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,26 +214,32 @@ def own_runs(left: DataFrame, whole: DataFrame, width: int) -> DataFrame:
                     part = h[first : first + 10_000]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(part), np.int32))), pa.array(part)], ["key", "run"])
 
-    keys = left.select("key").distinct()
-    alone = whole.join(keys, "key", "left_semi").mapInArrow(run, "key long, run long").groupBy("run").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
-    return keys.join(alone.groupBy("key").agg(F.count("*").alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(0)).alias("u"))
+    keys = left.select("key", "n", "root").distinct()
+    runs = stored(whole.join(keys, "key", "left_semi").mapInArrow(run, "key long, run long"))
+    texts = runs.groupBy("run").agg(F.count("*").alias("texts"))
+    placed = runs.join(texts, "run").withColumn("u", F.row_number().over(Window.partitionBy("key").orderBy("texts", "run")) - 1)
+    rare = stored(placed.join(keys, "key").where((F.col("texts") > 1) & (F.col("u") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))).select("run", "key", "n", "root", "u"))
+    main = rare.groupBy("run", "root").agg(F.count("*").alias("many")).groupBy("run").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    return rare.join(main, "run").select("run", "key", "n", "root", "u", (F.col("root") == F.col("most")).alias("main"))
 
 
-def possible(left: DataFrame, own: DataFrame, least: float, levels: int = 20) -> DataFrame:
-    """left(bucket, key, n, root, sketch), own(key, u) → (a, b, left, right), their sketches: pairs of one bucket and different roots that can be alike, given the runs that each has alone.
+def possible(rare: DataFrame, least: float, levels: int = 40) -> DataFrame:
+    """rare_runs → (a, b): pairs of different roots that can be alike, given the runs before the first one that they share.
 
-    With shares p and q of such runs, |A and B| is at most (1 - p) |A| and |A or B| at least |A| + q |B|, so that two texts
-    are alike only if (1 - p) / (1 + q) reaches `least` for the one of fewer runs, and then q is under (1 - p) / least - 1.
-    A text meets the levels of q below that bound, and no pairs beyond it arise; a pair arises in the least bucket that
-    both share.
+    If |A| is at most |B| and shares p and q of their runs come before, then |A and B| is at most (1 - p) |A| and |A or B| at
+    least |A| + q |B|, so that they are alike only if q is at most (1 - p) / least - 1. A text meets the levels of q up to
+    that bound, and of the root with the most texts of a run no two meet: nor do pairs of these, or beyond the bound, arise.
     """
-    own = own.join(left.groupBy("key").agg(F.collect_set("bucket").alias("buckets")), "key")  # `BANDS` at most
-    rows = stored(left.join(own, "key").select("bucket", "buckets", "key", "n", "root", "sketch", "u", F.floor(F.col("u") / F.greatest("n", F.lit(1)) * levels).cast("int").alias("level")))
-    top = F.floor(((1 - F.col("u") / F.greatest("n", F.lit(1))) / least - 1) * levels).cast("int")
-    a = rows.withColumn("top", top).where("top >= 0").select("bucket", F.col("buckets").alias("own"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("u").alias("ua"), F.col("sketch").alias("left"), F.explode(F.sequence(F.lit(0), "top")).alias("level"))
-    b = rows.select("bucket", "buckets", "level", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"), F.col("sketch").alias("right"))
+    rare = stored(rare)
+    share = F.col("u") / F.col("n")
+    top = F.floor(((1 - share) / least - 1) * levels + F.lit(1e-9)).cast("int")
+    met = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    a = rare.withColumn("top", top).where("top >= 0").select("run", F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("u").alias("ua"), F.explode(met).alias("main"), "top")
+    a = a.select("run", "a", "m", "ra", "ua", "main", F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    b = rare.select("run", F.floor(share * levels).cast("int").alias("level"), "main", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"))
     both, either = F.least(F.col("m") - F.col("ua"), F.col("n") - F.col("ub")), F.greatest(F.col("m") + F.col("ub"), F.col("n") + F.col("ua"))
-    return a.join(b, ["bucket", "level"]).where((F.col("ra") != F.col("root")) & (both >= F.lit(least) * either - F.lit(1e-9)) & (F.col("bucket") == F.array_min(F.array_intersect("own", "buckets")))).select("a", "b", "left", "right")
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & ((F.col("ua") < F.col("ub")) | ((F.col("ua") == F.col("ub")) & (F.col("a") < F.col("b")))))
+    return a.join(b, ["run", "level", "main"]).where((F.col("ra") != F.col("root")) & smaller & (both >= F.lit(least) * either - F.lit(1e-9))).select("a", "b")
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,3 +118,19 @@ def test_members_meet_their_head_in_groups(spark):
     pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(0, 100)], "a long, b long")
     got = {(r.a, r.b) for r in near_copies.confirmed(pairs, whole, 5, 0.8, per_task=7).collect()}
     assert got == {(a, b) for a, b in brute_pairs(rows) if a == 0} | {(0, b) for b, a in brute_pairs(rows) if a == 0} and len(got) == 59
+
+
+def test_few_pairs_of_a_group_that_does_not_link(spark):
+    """Variants of one text whose changes recur, so that no run is one text's alone: all links are among the pairs, which are few."""
+    rng, base, rows = random.Random(8), [f"w{k}" for k in range(150)], []
+    for i in range(200):
+        copy = list(base)
+        for at in rng.sample(range(0, 150, 5), 4 if i % 9 else 3):
+            copy[at] = f"v{at}_{rng.randrange(6)}"
+        rows.append((i, " ".join(copy)))
+    whole = spark.createDataFrame(rows, "key long, text string")
+    left = spark.createDataFrame([(i, len(runs(t)), i) for i, t in rows], "key long, n long, root long")
+    pairs = [(min(r.a, r.b), max(r.a, r.b)) for r in near_copies.possible(near_copies.rare_runs(left, whole, 5, 0.8), 0.8).collect()]
+    want = brute_pairs(rows)
+    assert want and want <= set(pairs)
+    assert len(pairs) < 200 * 199 / 2 / 2  # by the runs that a text has alone, all arise
