@@ -75,24 +75,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     rank = (1 - damping) * seed share + damping * what comes in; a host passes on its rank in proportion to w. Without
     `rounds` it goes on until the ranks change by at most `tolerance` in a round, both summed and as a part of each host's
     own rank; a host that is reached for the first time changes by all of its rank, so that every host within reach gets
-    one. `stride` rounds are one plan, whose result is written and tested.
+    one. `stride` rounds are one plan, whose result is written and tested. After the first plan ranks are extrapolated once
+    to where their last two rounds lead if all that still moves goes back and forth along edges, as within ties: the change
+    of two rounds is damping ** 2 of that before. From there the rounds go on, so that they end in the same ranks, only sooner.
     """
     share = stored(seeds.join(seeds.groupBy("kind").agg(F.sum("mass").alias("all")), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")))
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     parts = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("part")))
-    fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"), F.lit(0.0).alias("old"))
+    fresh = share.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("x"), F.lit(0.0).alias("old"), F.lit(0.0).alias("older"))
 
     def gathered(rank: DataFrame) -> DataFrame:
-        moved = rank.join(parts, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("x"), F.lit(0.0).alias("old"))
+        moved = rank.join(parts, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("x"), F.lit(0.0).alias("old"), F.lit(0.0).alias("older"))
         return moved.unionByName(fresh)
 
     rank, turn, found = share.select("kind", "host", F.col("seed").alias("rank")), 0, None
     while rounds is None or turn < rounds:
         n = stride if rounds is None else min(stride, rounds - turn)
+        older = rank
         for _ in range(n - 1):
-            rank = gathered(rank).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
-        before = rank.select("kind", "host", F.lit(0.0).alias("x"), F.col("rank").alias("old"))
-        done, found = found, stored(gathered(rank).unionByName(before).groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
+            older, rank = rank, gathered(rank).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
+        none = F.lit(0.0)
+        before = rank.select("kind", "host", none.alias("x"), F.col("rank").alias("old"), none.alias("older")).unionByName(older.select("kind", "host", none.alias("x"), none.alias("old"), F.col("rank").alias("older")))
+        done, found = found, stored(gathered(rank).unionByName(before).groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old"), F.sum("older").alias("older")))
         if done is not None:
             dropped(done)
         rank, turn = found.select("kind", "host", "rank"), turn + n
@@ -101,6 +105,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
             summed, largest = found.agg(F.sum(change), F.max(F.when(change > 0, change / F.greatest("rank", "old")))).first()
             if (summed or 0.0) <= tolerance and (largest or 0.0) <= tolerance:
                 break
+            if turn == n and n > 1:
+                ahead = F.col("older") + (F.col("rank") - F.col("older")) / (1 - damping**2)
+                rank = found.select("kind", "host", F.greatest(ahead, F.lit(0.0)).alias("rank"))
     return rank
 
 
