@@ -37,6 +37,7 @@ class Pieces:
         """pieces: by id, best first after the special ones, "" where an id stands for no text; bytes_at: id of each byte."""
         self.pieces, self.byte_ids = pieces, bytes_at
         self.byte_of = {i: b for b, i in bytes_at.items()}
+        self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         spread = math.log(math.log(len(pieces) + 1) + 1)
         texts = [(p, i) for i, p in enumerate(pieces) if p and i not in self.byte_of]
         self.scores = {p: (-math.log(rank + 1) - spread, i) for rank, (p, i) in enumerate(texts)}
@@ -124,14 +125,7 @@ class Pieces:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids: pieces and bytes joined, marks back to spaces, without the mark at the front."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.pieces[i].replace(MARK, " ").encode()
-            else:
-                out.append(b)
-        return out.decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @cache
