@@ -13,17 +13,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, crc32_mod, stored, text_runs
+from .common import crc32_mod, run_bounds, stored
 
-PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 @dataclass(frozen=True)
@@ -54,45 +55,70 @@ class Net:
         return self.cores + self.shapes
 
 
-def tokens(word: bytes) -> tuple[int, bytes]:
-    """The hash of a word's core, and its shape."""
-    core = word.strip(PUNCTUATION)
-    at = word.find(core) if core else len(word)
-    case = b"a" if core.islower() else b"A" if core.isupper() and len(core) > 1 else b"T" if core[:1].isupper() else b"d" if core.isdigit() else b"a"
-    return xxhash.xxh64_intdigest(core.lower()), word[: min(at, 3)] + case + word[at + len(core) :][:3]
+def buffers_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of strings that follow each other, where each begins and the last ends)"""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), bounds.astype(np.int64)
+
+
+def tokens(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Of distinct words: their cores, and their shapes as numbers whose bytes, without those that are 0, are at most three of the punctuation before the core, its case, and at most three of what follows."""
+    opened = pc.ascii_ltrim(words, characters=PUNCTUATION)
+    core = pc.ascii_rtrim(opened, characters=PUNCTUATION)
+    lower = pc.ascii_lower(core)
+    (data, bounds), sizes = buffers_of(words), pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, last = bounds[:-1], bounds[1:]
+    at = last - pc.binary_length(opened).to_numpy(zero_copy_only=False)  # where the core begins
+    letter = lambda i, ok: np.where(ok, data[np.minimum(i, len(data) - 1)], 0).astype(np.uint64)
+    upper = pc.not_equal(core, lower).to_numpy(zero_copy_only=False)
+    lowers = pc.not_equal(core, pc.ascii_upper(core)).to_numpy(zero_copy_only=False)
+    head = letter(at, sizes > 0)
+    case = np.select([lowers & ~upper, upper & ~lowers & (sizes > 1), (head >= 65) & (head <= 90), pc.ascii_is_decimal(core).to_numpy(zero_copy_only=False)], [ord(x) for x in "aATd"], ord("a")).astype(np.uint64)
+    shape = case << np.uint64(24)
+    for k in range(3):
+        shape |= letter(first + k, first + k < at) << np.uint64(8 * k)
+        shape |= letter(at + sizes + k, at + sizes + k < last) << np.uint64(8 * k + 32)
+    return lower, shape
 
 
 class Reader:
-    """Words of texts; each distinct word is looked at once as long as the table holds it. core, shape: rows by word; hash: of its core."""
+    """Words of texts; each distinct word of a run is looked at once. core, shape: rows by word; hash: of its core; kind: number of its core among the distinct ones by hash, so that equal texts add up in one order; kind_core, kind_hash: row and hash of these."""
 
-    def __init__(self, net: Net, lexicon: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, net: Net, lexicon: np.ndarray) -> None:
         """lexicon: hashes of cores, sorted."""
-        self.net, self.lexicon, self.most = net, lexicon, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes, self.shapes = Numbering(), {}
-        self.core, self.shape, self.hash = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
-
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each word in the table, number of words of each text); numbers hold until the next call."""
-        if len(self.codes) > self.most:
-            self.clear()
-        codes, known, net = self.codes, len(self.codes), self.net
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        words = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64)
-        if len(codes) > known:
-            hashes, shapes = zip(*map(tokens, islice(codes, known, None)), strict=True)
-            for x in set(shapes) - self.shapes.keys():
-                self.shapes[x] = net.cores + xxhash.xxh32_intdigest(x) % net.shapes
-            h = np.array(hashes, np.uint64)
-            row = (net.lexicon + h % np.uint64(net.others)).astype(np.int32)
-            if len(self.lexicon):
-                at = np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)
-                row = np.where(self.lexicon[at] == h, at, row).astype(np.int32)
-            self.core, self.hash = np.append(self.core, row), np.append(self.hash, h)
-            self.shape = np.append(self.shape, np.fromiter(map(self.shapes.__getitem__, shapes), np.int32, len(shapes)))
-        return words, np.fromiter(map(len, split), np.int64, len(split))
+        self.net, self.lexicon = net, lexicon
+        self.shapes: dict[int, int] = {}
+
+    def read(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word in the tables, number of words of each text, none if it is null); numbers hold until the next call."""
+        net = self.net
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = split.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)  # not what white space at a text's ends leaves
+        if not pc.all(full, min_count=0).as_py():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+            flat = flat.filter(full)
+        coded = flat.dictionary_encode()
+        cores, shapes = tokens(coded.dictionary.cast(pa.string()))
+        kinds = cores.dictionary_encode()
+        data, bounds = buffers_of(kinds.dictionary)
+        data = data.tobytes()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(data[i:j]) for i, j in pairwise(bounds.tolist())), np.uint64, len(bounds) - 1)
+        order = np.argsort(hashes)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.kind, self.kind_hash = number[kinds.indices.to_numpy()], hashes[order]
+        self.kind_core = (net.lexicon + self.kind_hash % np.uint64(net.others)).astype(np.int32)
+        if len(self.lexicon):
+            at = np.minimum(np.searchsorted(self.lexicon, self.kind_hash), len(self.lexicon) - 1)
+            self.kind_core = np.where(self.lexicon[at] == self.kind_hash, at, self.kind_core).astype(np.int32)
+        self.core, self.hash = self.kind_core[self.kind], self.kind_hash[self.kind]
+        found, which = np.unique(shapes, return_inverse=True)
+        for x in set(found.tolist()) - self.shapes.keys():
+            self.shapes[x] = net.cores + xxhash.xxh32_intdigest(x.to_bytes(8, "little").replace(b"\0", b"")) % net.shapes
+        self.shape = np.fromiter(map(self.shapes.__getitem__, found.tolist()), np.int32, len(found))[which]
+        return coded.indices.to_numpy(), sizes
 
 
 def index_vectors(hashes: np.ndarray, net: Net) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +130,70 @@ def index_vectors(hashes: np.ndarray, net: Net) -> tuple[np.ndarray, np.ndarray]
     return places.astype(np.int64), np.where(h >> (k + np.uint64(44)) & np.uint64(1), 1.0, -1.0)
 
 
-def context_table(words: np.ndarray, sizes: np.ndarray, reader: Reader, net: Net, out: np.ndarray) -> None:
-    """Adds to out, by row, the index vectors of the cores within `near` words of each core, of the shapes within `near` of each shape, and of a core for its own shape and the reverse."""
-    core_at, core_sign = index_vectors(reader.hash, net)
-    shape_at, shape_sign = index_vectors(np.arange(net.rows), net)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    core, shape = reader.core[words].astype(np.int64), reader.shape[words].astype(np.int64)
+def dense(hashes: np.ndarray, net: Net, dtype: type | np.dtype) -> np.ndarray:
+    """[n, width] index vectors."""
+    places, signs = index_vectors(hashes, net)
+    out = np.zeros((len(hashes), net.width), dtype)
+    out[np.arange(len(hashes))[:, None], places] = signs
+    return out
+
 
-    def add(to: np.ndarray, places: np.ndarray, signs: np.ndarray, by: np.ndarray) -> None:
+def add_by_row(out: np.ndarray, row: np.ndarray, vectors: np.ndarray, levels: int = 16) -> None:
+    """out[row[i]] += vectors[i] for each i; vectors of small integers. Rows met up to `levels` times add all their first vectors, all their second ones and so on, the others each theirs at once."""
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    count = np.diff(begin, append=len(row))
+    few = np.flatnonzero(count <= levels)
+    few = few[np.argsort(-count[few], kind="stable")]
+    total = np.zeros((len(few), out.shape[1]), np.int32 if vectors.dtype.itemsize > 1 else np.int16)
+    for k in range(count[few[0]] if len(few) else 0):
+        n = np.searchsorted(-count[few], -k)  # those met more than k times
+        total[:n] += vectors.take(order.take(begin[few[:n]] + k), axis=0)
+    out[row[begin[few]]] += total
+    one = np.ones(count.max(initial=0), np.float32)
+    for i in np.flatnonzero(count > levels).tolist():
+        out[row[begin[i]]] += one[: count[i]] @ vectors.take(order[begin[i] : begin[i] + count[i]], axis=0).astype(np.float32)
+
+
+def context_table(words: np.ndarray, sizes: np.ndarray, reader: Reader, net: Net, out: np.ndarray, block: int = 65_536) -> None:
+    """Adds to out, by row, the index vectors of the cores within `near` words of each core, of the shapes within `near` of each shape, and of a core for its own shape and the reverse."""
+    table, near, n_kinds = out.reshape(net.rows, net.width), net.near, len(reader.kind_hash)
+    small = np.min_scalar_type(-1 - 2 * near)  # holds the sum of 2 * near signs
+    of_kinds, of_shapes = dense(reader.kind_hash, net, small), dense(np.arange(net.cores, net.rows), net, float)
+
+    # a word's shape stands by its core: as often as the word
+    kind, shape = reader.kind, reader.shape.astype(np.int64) - net.cores
+    times = np.bincount(words, minlength=len(kind))
+    for to, (places, signs), by in ((reader.core, index_vectors(np.arange(net.cores, net.rows), net), shape), (reader.shape, index_vectors(reader.kind_hash, net), kind)):
         for k in range(net.nonzero):
-            np.add.at(out, to * net.width + places[by, k], signs[by, k])
+            np.add.at(out, to * np.int64(net.width) + places[by, k], signs[by, k] * times)
 
-    add(core, shape_at, shape_sign, shape)
-    add(shape, core_at, core_sign, words)
-    for gap in range(1, net.near + 1):
-        same = np.flatnonzero(doc[gap:] == doc[: len(doc) - gap])
-        add(core[same], core_at, core_sign, words[same + gap])
-        add(core[same + gap], core_at, core_sign, words[same])
-        add(shape[same], shape_at, shape_sign, shape[same + gap])
-        add(shape[same + gap], shape_at, shape_sign, shape[same])
+    # texts with `near` blanks before and after each, which have no vector, in blocks
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(words)) + near * (doc + 1)
+    kinds = np.full(len(words) + near * (len(sizes) + 1), n_kinds)
+    kinds[at] = kind[words]
+    shapes = np.full(len(kinds), net.shapes)
+    shapes[at] = shape[words]
+    of_kinds = np.append(of_kinds, np.zeros((1, net.width), small), axis=0)
+    rows = np.append(reader.kind_core, net.rows).astype(np.min_scalar_type(net.rows))
+    for i in range(near, len(kinds) - near, block):
+        j = min(i + block, len(kinds) - near)
+        vectors = of_kinds.take(kinds[i - near : j + near], axis=0)
+        around = np.zeros((j - i, net.width), small)
+        for gap in range(1, near + 1):
+            around += vectors[near - gap : near - gap + j - i]
+            around += vectors[near + gap : near + gap + j - i]
+        row = rows[kinds[i:j]]
+        met = np.flatnonzero(row < net.rows)
+        add_by_row(table, row[met], around if len(met) == len(row) else around.take(met, axis=0))
+    side, pairs = net.shapes + 1, 0
+    for gap in range(1, near + 1):
+        pairs = pairs + np.bincount(shapes[gap:] * side + shapes[: len(shapes) - gap], minlength=side * side).reshape(side, side)
+    if near:
+        pairs = pairs[:-1, :-1]
+        table[net.cores :] += (pairs + pairs.T) @ of_shapes
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -135,20 +206,16 @@ def pooled(words: np.ndarray, sizes: np.ndarray, reader: Reader, contexts: np.nd
     out = np.zeros((n, 3 * d + 3), np.float32)
     if not len(words):
         return out
-    doc, full = np.repeat(np.arange(n), sizes), np.flatnonzero(sizes)
-    used, number = np.unique(words, return_inverse=True)
-    hashes, first, core = np.unique(reader.hash[used], return_index=True, return_inverse=True)
-    own = core[number]
-    code, times = np.unique(doc * len(hashes) + own, return_counts=True)
-    of, which = code // len(hashes), code % len(hashes)
-    distinct, begin = np.bincount(of, minlength=n), np.searchsorted(of, full)
-    places, signs = index_vectors(hashes, net)
-    vectors = contexts[reader.core[used[first]]]
-    np.put_along_axis(vectors, places, np.take_along_axis(vectors, places, axis=1) + (signs * net.nonzero**-0.5).astype(np.float32), axis=1)
-    own_vectors = vectors[which]  # of each distinct core of a text
-    out[full, d : 2 * d] = np.add.reduceat(own_vectors, begin, axis=0) / distinct[full, None]
-    own_vectors *= times[:, None].astype(np.float32)
-    out[full, :d] = np.add.reduceat(own_vectors, begin, axis=0) / sizes[full, None]
+    doc, full, kinds = np.repeat(np.arange(n), sizes), np.flatnonzero(sizes), len(reader.kind_hash)
+    own = reader.kind[words]
+    code, times = np.unique(doc * kinds + own, return_counts=True)
+    of, which = code // kinds, code % kinds  # each distinct core of a text
+    distinct = np.bincount(of, minlength=n)
+    vectors = contexts[reader.kind_core] + dense(reader.kind_hash, net, np.float32) * np.float32(net.nonzero**-0.5)
+    shares = np.stack([times / sizes[of], 1 / distinct[of]]).astype(np.float32)
+    end = np.cumsum(distinct)
+    for i, first, last in zip(full.tolist(), (end - distinct)[full].tolist(), end[full].tolist(), strict=True):
+        out[i, : 2 * d] = (shares[:, first:last] @ vectors.take(which[first:last], axis=0)).ravel()
     shapes = np.bincount(doc * net.shapes + reader.shape[words] - net.cores, minlength=n * net.shapes).reshape(n, net.shapes)
     out[:, 2 * d : 3 * d] = (shapes / np.maximum(sizes, 1)[:, None]) @ contexts[net.cores :]
     again = np.bincount(doc[1:], (own[1:] == own[:-1]) & (doc[1:] == doc[:-1]), n)
@@ -209,10 +276,10 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def texts_in(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, list[str]]]:
+def texts_in(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, pa.Array]]:
     """(first, last, texts) of runs of a batch's second column."""
-    for i, j, texts in text_runs(batch.column(1), most):
-        yield i, j, [t or "" for t in texts]
+    for i, j in run_bounds(batch.column(1), most):
+        yield i, j, batch.column(1).slice(i, j - i)
 
 
 def lexicon_of(sample: DataFrame, net: Net) -> np.ndarray:
@@ -224,15 +291,20 @@ def lexicon_of(sample: DataFrame, net: Net) -> np.ndarray:
             for _, j, texts in texts_in(batch, 1_000_000):
                 words, sizes = reader.read(texts)
                 if len(words):
-                    code = np.unique(np.stack([np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64), reader.hash[words]]), axis=1)
-                    core, n = np.unique(code[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n)], ["core", "n"])
+                    kinds = len(reader.kind_hash)
+                    n = np.bincount(np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + reader.kind[words]) % kinds, minlength=kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(reader.kind_hash.view(np.int64)), pa.array(n)], ["core", "n"])
 
     counts = sample.mapInArrow(run, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "core").limit(net.lexicon).select("core").toPandas()  # net.lexicon rows
     return np.sort(top["core"].to_numpy(np.int64).view(np.uint64))
 
 
+def matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of `width` numbers each, as rows."""
+    return lists.combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
 def features(rows: DataFrame, shared, net: Net) -> DataFrame:
     """(doc_id, x): the pooled vector of each text. shared: broadcast lexicon and unit context vectors."""
 
@@ -270,15 +342,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, net: Net = Net(), id_co
         met = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * net.width, pa.int32()), pa.array(total[met].ravel()))], ["row", "v"])
 
-    sums = rows.mapInArrow(tables, "row long, v array<float>").groupBy("row").agg(F.array(*(F.sum(F.col("v")[i]).cast("float") for i in range(net.width))).alias("v")).toPandas()  # net.rows at most
+    sums = rows.mapInArrow(tables, "row long, v array<float>").groupBy("row").agg(F.array(*(F.sum(F.col("v")[i]).cast("float") for i in range(net.width))).alias("v")).toArrow()  # net.rows at most
     table = np.zeros((net.rows, net.width), np.float32)
-    if len(sums):
-        table[sums["row"].to_numpy()] = np.stack(sums["v"].to_numpy())
+    table[sums["row"].to_numpy()] = matrix(sums["v"], net.width)
     vectors = spark.sparkContext.broadcast((lexicon, unit(table)))
 
-    got = features(sample.select("doc_id", "text"), vectors, net).join(known, "doc_id").orderBy("doc_id").toPandas()  # most_labels rows
-    x = np.stack(got["x"].to_numpy()).astype(float) if len(got) else np.zeros((0, 3 * net.width + 3))
-    shared = spark.sparkContext.broadcast(fit(x, got["label"].to_numpy(float), net))
+    got = features(sample.select("doc_id", "text"), vectors, net).join(known, "doc_id").toArrow().sort_by("doc_id")  # most_labels rows, each id once
+    shared = spark.sparkContext.broadcast(fit(matrix(got["x"], 3 * net.width + 3).astype(float), got["label"].to_numpy().astype(float), net))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, contexts = vectors.value
