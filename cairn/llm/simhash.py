@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import large, stored
 from .graph import components
 
 
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, threshold: int = 2, blocks: int | None = None) ->
         return distinct.mapInArrow(run, "anchor long, fp long")
 
     a, b = spread(True).toDF("anchor", "a"), spread(False).toDF("anchor", "b")
-    return a.join(b, (a.anchor == b.anchor) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    return a.join(large(b), (a.anchor == b.anchor) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, blocks: int | None = No
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = stored(links(distinct.select("fp"), threshold, blocks))
     roots = components(pairs)
-    member = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = distinct.join(large(roots.withColumnsRenamed({"node": "fp"})), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    known = stored(member.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.translate(F.hex("fp"), "ABCDEF", "abcdef"), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    known = stored(member.join(large(least), "root").join(large(degree), "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return fps.join(large(known), "fp").select("doc_id", F.lpad(F.translate(F.hex("fp"), "ABCDEF", "abcdef"), 16, "0").alias("fingerprint"), "component_id", "n_links")
