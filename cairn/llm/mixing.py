@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, large, stored
 
 
 @dataclass(frozen=True)
@@ -134,14 +134,14 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix itself: for each shard and slot the fragments of documents that it holds."""
-        return self.slots.join(self.fragments(), ["sid", "block"]).select("shard", "slot", "pass", "source", "block", "doc_id", "first_word", "words")
+        return self.slots.join(large(self.fragments()), ["sid", "block"]).select("shard", "slot", "pass", "source", "block", "doc_id", "first_word", "words")
 
     def taken(self) -> DataFrame:
         """One row for each document: doc_id, size, source_size, target, taken."""
         times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
         key = ["sid", "bucket", "nth"]
-        drawn = self.fragments().join(times, ["sid", "block"]).groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        out = self.sized.join(drawn, key, "left").join(F.broadcast(self.sources.select("sid", "source_size", "target")), "sid")
+        drawn = self.fragments().join(large(times), ["sid", "block"]).groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        out = self.sized.join(large(drawn), key, "left").join(F.broadcast(self.sources.select("sid", "source_size", "target")), "sid")
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -215,5 +215,5 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "d
     copies = ratio.select("doc_id", F.floor(F.col("ratio") + chance).cast("int").alias("n")).where("n > 0")
     # columns of docs travel inside one, so that no name of theirs meets one used here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"))
-    out = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    out = rows.join(large(copies), F.col("id").eqNullSafe(F.col("doc_id")))
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

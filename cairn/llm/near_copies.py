@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, text_runs
+from .common import dropped, large, stored, text_runs
 from .graph import components
 from .simhash import links, majority, shingle_hashes
 
@@ -100,7 +100,7 @@ def sifted(pairs: DataFrame, least: float) -> DataFrame:
 
 def agreeing(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sketches agree in that share of places."""
-    return sifted(pairs.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b"), least)
+    return sifted(pairs.join(large(sketches.toDF("a", "left")), "a").join(large(sketches.toDF("b", "right")), "b"), least)
 
 
 def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_task: int = 256) -> DataFrame:
@@ -110,10 +110,10 @@ def confirmed(pairs: DataFrame, whole: DataFrame, width: int, least: float, per_
     those with more than one group are looked up.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("groups"))
-    large = sizes.where("groups > 1")
-    dealt = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).alias("group"))
-    heads = sizes.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group")).join(whole, "key").select(F.col("key").alias("a"), "group", F.lit(None).cast("long").alias("b"), "text")
-    members = dealt.join(whole.toDF("b", "text"), "b").select("a", "group", "b", "text")
+    several = sizes.where("groups > 1")
+    dealt = pairs.join(several, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).alias("group"))
+    heads = sizes.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group")).join(large(whole), "key").select(F.col("key").alias("a"), "group", F.lit(None).cast("long").alias("b"), "text")
+    members = dealt.join(large(whole.toDF("b", "text")), "b").select("a", "group", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: set[int] = set()
@@ -140,20 +140,20 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
     sketches = distinct.select("key", "sketch")
     # by fingerprint: texts that share one, against the least of them; and the least of fingerprints that link
     heads = stored(distinct.groupBy("fp").agg(F.min("key").alias("head")))
-    same = distinct.join(heads, "fp").where("head <> key").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    near_fp = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = distinct.join(large(heads), "fp").where("head <> key").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near_fp = links(heads.select("fp")).join(large(heads.toDF("a", "x")), "a").join(large(heads.toDF("b", "y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # by band
     spread = distinct.select("key", "n", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("h"), F.max("key").alias("last")).where("h.key < last")
-    member = member_table = stored(spread.join(full, "bucket").select("bucket", "key", "n", F.col("h.key").alias("head"), F.col("h.n").alias("head_n")))
+    member = member_table = stored(spread.join(large(full), "bucket").select("bucket", "key", "n", F.col("h.key").alias("head"), F.col("h.n").alias("head_n")))
     # of sets whose sizes differ by more none are alike
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)
     starred = member.where("key <> head").withColumnRenamed("head_n", "m").where(near).select(F.col("head").alias("a"), F.col("key").alias("b"))
     stars = stored(starred.union(same).union(near_fp).distinct())
     # the texts of all candidates, once
     wanted = member.select("key").union(stars.select("a")).union(stars.select("b")).distinct()
-    named = distinct.select("key", "text_id").join(wanted, "key", "left_semi")
-    whole = stored(texts.join(named, "text_id").select("key", "text"))
+    named = distinct.select("key", "text_id").join(large(wanted), "key", "left_semi")
+    whole = stored(texts.join(large(named), "text_id").select("key", "text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         if slack is None:
@@ -164,22 +164,22 @@ def copies(distinct: DataFrame, texts: DataFrame, width: int = 5, least: float =
         return out
 
     degree = member.groupBy("key").agg(F.count("*").alias("degree"))
-    member = member.select("bucket", "key", "n").join(degree, "key")
+    member = member.select("bucket", "key", "n").join(large(degree), "key")
     tested, tables = stars, [member_table]
     roots = stored(components(confirm(stars)).toDF("key", "root"))
     for turn in range(rounds + 1):
-        rooted = stored(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+        rooted = stored(member.join(large(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
         split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        left = stored(rooted.join(split, "bucket"))
+        left = stored(rooted.join(large(split), "bucket"))
         dropped(rooted, *tables)
         member, tables = left.drop("root"), [left]
         if turn < rounds:
             # the first time the text that stands in the most full buckets, as the source of a group of copies does
             order = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
-            pairs = left.join(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra"), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
+            pairs = left.join(large(left.groupBy("bucket").agg(F.min(order).alias("s")).select("bucket", "s.a", "s.m", "s.ra")), "bucket").where(F.col("root") != F.col("ra")).withColumnRenamed("key", "b").where(near)
         else:
             pairs = possible(rare_runs(left, whole, width, least), least)
-        fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(large(tested), ["a", "b"], "left_anti"))
         found = confirm(fresh)
         tested, roots = tested.union(fresh), joined(roots, found)
     dropped(heads, whole, *tables)
@@ -191,11 +191,11 @@ def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
     if found.isEmpty():
         return roots
     end = lambda c: F.coalesce("root", c)
-    a = found.join(roots.withColumnRenamed("key", "a"), "a", "left").select(end("a").alias("a"), "b")
-    ends = stored(a.join(roots.withColumnRenamed("key", "b"), "b", "left").select("a", end("b").alias("b")))
+    a = found.join(large(roots.withColumnRenamed("key", "a")), "a", "left").select(end("a").alias("a"), "b")
+    ends = stored(a.join(large(roots.withColumnRenamed("key", "b")), "b", "left").select("a", end("b").alias("b")))
     moved = stored(components(ends).toDF("root", "to"))
-    fresh = moved.join(roots.select(F.col("key").alias("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("to").alias("root"))
-    after = roots.join(moved, "root", "left").select("key", F.coalesce("to", "root").alias("root")).unionByName(fresh)
+    fresh = moved.join(large(roots.select(F.col("key").alias("root"))), "root", "left_anti").select(F.col("root").alias("key"), F.col("to").alias("root"))
+    after = roots.join(large(moved), "root", "left").select("key", F.coalesce("to", "root").alias("root")).unionByName(fresh)
     return stored(after)
 
 
@@ -215,12 +215,12 @@ def rare_runs(left: DataFrame, whole: DataFrame, width: int, least: float) -> Da
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(part), np.int32))), pa.array(part)], ["key", "run"])
 
     keys = left.select("key", "n", "root").distinct()
-    runs = stored(whole.join(keys, "key", "left_semi").mapInArrow(run, "key long, run long"))
+    runs = stored(whole.join(large(keys), "key", "left_semi").mapInArrow(run, "key long, run long"))
     texts = runs.groupBy("run").agg(F.count("*").alias("texts"))
-    placed = runs.join(texts, "run").withColumn("u", F.row_number().over(Window.partitionBy("key").orderBy("texts", "run")) - 1)
-    rare = stored(placed.join(keys, "key").where((F.col("texts") > 1) & (F.col("u") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))).select("run", "key", "n", "root", "u"))
+    placed = runs.join(large(texts), "run").withColumn("u", F.row_number().over(Window.partitionBy("key").orderBy("texts", "run")) - 1)
+    rare = stored(placed.join(large(keys), "key").where((F.col("texts") > 1) & (F.col("u") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))).select("run", "key", "n", "root", "u"))
     main = rare.groupBy("run", "root").agg(F.count("*").alias("many")).groupBy("run").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    return rare.join(main, "run").select("run", "key", "n", "root", "u", (F.col("root") == F.col("most")).alias("main"))
+    return rare.join(large(main), "run").select("run", "key", "n", "root", "u", (F.col("root") == F.col("most")).alias("main"))
 
 
 def possible(rare: DataFrame, least: float, levels: int = 40) -> DataFrame:
@@ -239,7 +239,7 @@ def possible(rare: DataFrame, least: float, levels: int = 40) -> DataFrame:
     b = rare.select("run", F.floor(share * levels).cast("int").alias("level"), "main", F.col("key").alias("b"), "n", "root", F.col("u").alias("ub"))
     both, either = F.least(F.col("m") - F.col("ua"), F.col("n") - F.col("ub")), F.greatest(F.col("m") + F.col("ub"), F.col("n") + F.col("ua"))
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & ((F.col("ua") < F.col("ub")) | ((F.col("ua") == F.col("ub")) & (F.col("a") < F.col("b")))))
-    return a.join(b, ["run", "level", "main"]).where((F.col("ra") != F.col("root")) & smaller & (both >= F.lit(least) * either - F.lit(1e-9))).select("a", "b")
+    return a.join(large(b), ["run", "level", "main"]).where((F.col("ra") != F.col("root")) & smaller & (both >= F.lit(least) * either - F.lit(1e-9))).select("a", "b")
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slack: float | None = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,8 +258,8 @@ def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, slac
     least_row = F.row_number().over(Window.partitionBy("text_id").orderBy(F.asc_nulls_last("doc_id")))
     texts = rows.select("text_id", "text", "doc_id").withColumn("nth", least_row).where("nth = 1").select("text_id", "text")
     roots = copies(ids.drop("doc_id"), texts, width, least, slack)
-    member = ids.where("doc_id is not null").select("key", "text_id", "doc_id").join(roots, "key", "left").select("text_id", "doc_id", F.coalesce("root", "key").alias("root"))
+    member = ids.where("doc_id is not null").select("key", "text_id", "doc_id").join(large(roots), "key", "left").select("text_id", "doc_id", F.coalesce("root", "key").alias("root"))
     stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("s")).select("s.doc_id", "s.text_id")
     named = rows.where("doc_id is not null").drop("text")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_id").orderBy(F.xxhash64("row")))
-    return named.withColumn("nth", nth).where("nth = 1").join(stays, ["doc_id", "text_id"]).select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    return named.withColumn("nth", nth).where("nth = 1").join(large(stays), ["doc_id", "text_id"]).select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
