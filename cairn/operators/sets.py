@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import large, stored
 
 
 def set_prefixes(members: DataFrame, group: str, item: str, least: float) -> DataFrame:
@@ -18,7 +18,7 @@ def set_prefixes(members: DataFrame, group: str, item: str, least: float) -> Dat
     df = members.groupBy(item).agg(F.count("*").alias("df"))
     nth = F.row_number().over(Window.partitionBy(group).orderBy("df", item))
     sizes = members.groupBy(group).agg(F.count("*").alias("n"))
-    placed = members.join(df, item).withColumn("place", nth).join(sizes, group)
+    placed = members.join(large(df), item).withColumn("place", nth).join(large(sizes), group)
     return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(F.col(group).alias("g"), F.col(item).alias("i"), "n", "place")
 
 
@@ -26,20 +26,33 @@ def similar_sets(members: DataFrame, group: str, item: str, least: float) -> Dat
     """members(group, item), distinct → (a, b, jaccard), a < b, of all pairs of sets with a Jaccard similarity of at least `least` > 0.
 
     Sets meet by an item of both their prefixes if their sizes allow it, and what is left of both after that item can still
-    reach the overlap that is asked for; only these pairs are counted, item by item.
+    reach the overlap that is asked for. Of a pair the items that its prefixes share are counted: beyond them it has at most
+    those that stand after the one prefix that ends first. Only pairs that can still reach the overlap are counted item by item.
     """
-    prefixes = stored(set_prefixes(members, group, item, least))
-    a, b = prefixes.toDF("a", "i", "n", "p"), prefixes.toDF("b", "i", "m", "q")
-    overlap = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
-    # place p of n and q of m: at most as many before this item as either has, and at most what either has from it on
-    most = F.least(F.col("p"), F.col("q")) - 1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + 1
-    sized = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (most >= overlap)
-    met = a.join(b, "i").where((F.col("a") < F.col("b")) & sized).select("a", "b", "n", "m").distinct()
+    met = met_sets(stored(set_prefixes(members, group, item, least)), least)
     x, y = members.select(F.col(group).alias("a"), F.col(item).alias("i")), members.select(F.col(group).alias("b"), F.col(item).alias("i"))
-    hits = met.join(x, "a").join(y, ["b", "i"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("h"))
+    hits = met.join(large(x), "a").join(large(y), ["b", "i"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("h"))
     return hits.select("a", "b", (F.col("h") / (F.col("n") + F.col("m") - F.col("h"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def met_sets(prefixes: DataFrame, least: float) -> DataFrame:
+    """set_prefixes, stored → (a, b, n, m): the pairs of sets that are looked at. An item's sets travel to each of them as lists, and are counted where the set's other items are."""
+    overlap = lambda n, m: F.ceil((n + m) * (least / (1 + least)) - 1e-9)
+    after = lambda n: F.ceil(n * least - 1e-9) - 1
+    held = prefixes.groupBy("i").agg(F.collect_list(F.struct(F.col("g").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"))).alias("held")).where(F.size("held") > 1)
+    n, p = F.col("n"), F.col("place")
+
+    def fits(s):
+        # place p of n and q of m: at most as many before this item as either has, and at most what either has from it on
+        most = F.least(p, s["q"]) - 1 + F.least(n - p, s["m"] - s["q"]) + 1
+        return (s["b"] > F.col("g")) & (F.least(n, s["m"]) >= least * F.greatest(n, s["m"]) - 1e-9) & (most >= overlap(n, s["m"]))
+
+    lists = prefixes.join(large(held), "i").select(F.col("g").alias("a"), "n", F.filter("held", fits).alias("f")).where(F.size("f") > 0)
+    rows = lists.select("a", "n", F.col("f.b").alias("bs"), F.col("f.m").alias("ms")).repartition("a")
+    pairs = rows.select("a", "n", F.explode(F.arrays_zip("bs", "ms")).alias("f")).groupBy("a", "n", F.col("f.bs").alias("b"), F.col("f.ms").alias("m")).agg(F.count("*").alias("c"))
+    return pairs.where(F.col("c") + F.greatest(after(n), after(F.col("m"))) >= overlap(n, F.col("m"))).select("a", "b", "n", "m")
+
+
 def top_experts(routed: DataFrame, percent: int, n_experts: int) -> DataFrame:
     """routed(task, layer, expert, n) → (task, layer, expert): of each task and layer the percent of all experts with the highest counts, ties by the smaller."""
     counts = routed.groupBy("task", "layer", "expert").agg(F.sum("n").alias("n"))

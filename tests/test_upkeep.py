@@ -37,6 +37,13 @@ def test_an_item_of_all_sets_gives_no_square(spark):
     assert prefixes.where("i = -1").count() == 0 and sets.similar_sets(df, "g", "i", 0.5).count() == 0
 
 
+def test_sets_that_cannot_reach_the_overlap_are_not_looked_at(spark):
+    """Large sets share many items by chance: each pair meets, and none is counted item by item."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([(g, i) for g in range(60) for i in rng.sample(range(4000), 120)], "g long, i long")
+    assert sets.met_sets(sets.set_prefixes(df, "g", "i", 0.15), 0.15).count() == 0
+
+
 def test_boundary_of_tasks():
     near = {("a", "b"): 0.1, ("c", "d"): 0.2, ("b", "c"): 0.6}
     d = [(x, y, near.get((x, y), 0.9)) for x, y in itertools.combinations("abcde", 2)]
