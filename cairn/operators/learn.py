@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, edge_decay, hebbian
-from ..sources.scratch import stored
-from .vectors import cross_pairs, kmeans, knn_blocks, pivot_pairs, vector_means
+from ..sources.scratch import large, stored
+from .vectors import cross_pairs, density_links, kmeans, knn_blocks, pivot_pairs, sent_means, vector_means
 
 __all__ = ["kmeans", "knn_blocks", "vector_means"]
 
@@ -46,8 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, recall: float = 0.95, block: int = 4096, seed: int = 3) -> DataFrame:
-    """(a, b, sim) with a < b and cosine at least `least`. Vectors of another length than the first are near none.
+def of_one_length(points: DataFrame, id_col: str, vector: str, *more: str | None) -> DataFrame:
+    """(id, v, more…) of the rows whose vector is as long as the first; floats stay such."""
+    width = len((points.select(vector).where(F.col(vector).isNotNull()).first() or [[]])[0])
+    kind = "array<float>" if dict(points.dtypes)[vector] == "array<float>" else "array<double>"
+    return points.select(F.col(id_col).alias("id"), F.col(vector).cast(kind).alias("v"), *(c for c in more if c)).where(F.size("v") == width)
+
+
+def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", planes: int = 0, recall: float = 0.95, block: int = 4096, seed: int = 3, same: str | None = None) -> DataFrame:
+    """(a, b, sim) with a < b and cosine at least `least`. Vectors of another length than the first are near none. same: a column that both must share, in the exact form.
 
     planes = 0 is exact: blocks of about `block` points that lie near the same pivots meet, but for those that the pivots
     tell apart (vectors.pivot_pairs). planes > 0 compares points that share a side of `planes` random planes in one of as many tables as give that recall at `least`,
@@ -58,11 +65,10 @@ def near_pairs(points: DataFrame, least: float, id_col: str = "vec_id", vector:
     import numpy as np
     import pyarrow as pa
 
-    p = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    width = len((points.select(vector).where(F.col(vector).isNotNull()).first() or [[]])[0])
-    p = p.where(F.size("v") == width)
     if not planes:
-        return pivot_pairs(p, least, block)
+        return pivot_pairs(of_one_length(points, id_col, vector, same), least, block, same=same)
+    p = of_one_length(points, id_col, vector).withColumn("v", F.col("v").cast("array<double>"))
+    width = len((p.select("v").first() or [[]])[0])
     share = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** planes
     tables = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - share)))) if share < 1 else 1
     sides = np.random.default_rng(seed).standard_normal((width, tables * planes))
@@ -123,6 +129,15 @@ def dbscan(points: DataFrame, pairs: DataFrame, least_neighbours: int, id_col: s
     return out.select("id", F.coalesce("own", "near", F.lit(-1)).alias("cluster"))
 
 
+def dbscan_near(points: DataFrame, least: float, least_neighbours: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """dbscan of points(id, vector), whose pairs are those of near_pairs; they are never kept, and what is grows with the points and their blocks."""
+    core, links = density_links(of_one_length(points, id_col, vector), least, least_neighbours)
+    roots = components(links.where("not border").select("a", "b").union(core.select("id", "id")))
+    border = links.where("border").join(large(roots), F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+    out = points.select(F.col(id_col).alias("id")).join(large(roots.toDF("id", "own")), "id", "left").join(large(border.toDF("id", "near")), "id", "left")
+    return out.select("id", F.coalesce("own", "near", F.lit(-1)).alias("cluster"))
+
+
 def centroids(points: DataFrame, group: str, vector: str = "embedding", digits: int = 9) -> DataFrame:
     """(group, size, centroid): the mean vector of each group."""
     return vector_means(points, [group], vector, name="centroid", digits=digits)
@@ -154,7 +169,7 @@ def message_pass(nodes: DataFrame, edges: DataFrame, alpha: float, beta: float,
     own = F.col(vector).cast("array<double>")
     moved = F.zip_with(own, "mean", lambda x, m: F.round(alpha * x + beta * m, digits))
     kept = F.transform(own, lambda x: F.round(x, digits))
-    return nodes.join(mean, "node_id", "left").select("node_id", F.when(F.col("mean").isNull(), kept).otherwise(moved).alias(vector))
+    return nodes.join(large(mean), "node_id", "left").select("node_id", F.when(F.col("mean").isNull(), kept).otherwise(moved).alias(vector))
 
 
 def claims(edges: DataFrame) -> DataFrame:

@@ -91,8 +91,7 @@ def j9_conflicts(spark, sf_dir):
   cl AS (SELECT a, b FROM l WHERE a IN (SELECT c FROM core) AND b IN (SELECT c FROM core)), r AS (SELECT c AS node, c AS root FROM core UNION SELECT cl.b, r.root FROM r JOIN cl ON cl.a = r.node), own AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
   near AS (SELECT l.a AS node, min(root) AS root FROM l JOIN own ON own.node = l.b GROUP BY 1) SELECT vec_id AS id, coalesce(own.root, near.root, -1) AS cluster FROM embeddings LEFT JOIN own ON own.node = vec_id LEFT JOIN near ON near.node = vec_id""")
 def l10_dbscan(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
-    return L.dbscan(e, L.near_pairs(e, 0.3), 3)
+    return L.dbscan_near(load(spark, sf_dir, "embeddings"), 0.3, 3)
 
 
 @query()

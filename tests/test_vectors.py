@@ -170,3 +170,65 @@ def test_triangle_clusters(spark, edges):
     for r in rows:
         by.setdefault(r.cluster, set()).update((r.a, r.b, r.c))
     assert sorted(map(sorted, by.values())) == clusters_in_order([(r.a, r.b, r.c) for r in rows]) and rows
+
+
+# --- what travels grows with points and blocks, not with near pairs
+
+
+def test_density_links_keep_no_square(spark):
+    """Copies are near one another, all pairs of them: counts and a few links are kept."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 400, axis=0), rng.standard_normal((60, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    near = (x @ x.T >= 0.5) & ~np.eye(len(x), dtype=bool)
+    core = set(np.flatnonzero(near.sum(axis=1) >= 3).tolist())
+    for block in (64, 4096):
+        found, links = V.density_links(points, 0.5, 3, block)
+        assert {r.id for r in found.collect()} == core
+        rows = links.collect()
+        assert len(rows) < 10 * len(x) and {(r.a, r.b) for r in rows if r.border} == {(a, b) for a in range(len(x)) if a not in core for b in core if near[a, b]}
+        assert all(near[:, r.a].any() and {r.a, r.b} <= core for r in rows if not r.border)
+    got = {r.id: r.cluster for r in L.dbscan_near(points, 0.5, 3, "id", "v").collect()}
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near)), strict=True)], "a long, b long")
+    assert got == {r.id: r.cluster for r in L.dbscan(points, pairs, 3, "id").collect()}
+
+
+def test_consolidation_keeps_no_near_pairs_to_cluster(spark, monkeypatch):
+    from cairn.plans import consolidate
+
+    monkeypatch.setattr(L, "near_pairs", None)
+    nodes = spark.createDataFrame([(i, 0, [1.0, i % 2 * 1.0]) for i in range(8)], "node_id long, layer int, embedding array<float>")
+    out = consolidate.hidden(consolidate.Space(nodes, nodes, "2003-01-01", 0.9))
+    assert {r.node_id: r.cluster for r in out.clusters.collect()} == {i: i % 2 for i in range(8)}
+
+
+def test_pairs_of_one_kind(clustered):
+    df, x = clustered
+    points = V.whole(df, "vec_id", "embedding").where(F.size("v") == 24).withColumn("kind", F.col("id") % 3)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T, 1) >= 0.9), strict=True) if a % 3 == b % 3}
+    assert {(r.a, r.b) for r in V.pivot_pairs(points, 0.9, block=100, same="kind").collect()} == want
+
+
+def test_vectors_travel_to_groups_of_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((90, 8))
+    x[7] = 0
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pairs = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 100, (2, 600)), rng.integers(0, 4, 600), strict=True)] + [(k, 5, 1.0) for k in range(90)]
+    df = spark.createDataFrame(pairs, "a long, b long, weight double")
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    rows = V.pair_cosines(df, points)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.a, r.b, round(r.sim, 9)) for r in rows.collect())
+    assert got == sorted((a, b, round(float(x[a] @ x[b] / norm[a] / norm[b]), 9)) for a, b, _ in pairs if a < 90 and b < 90 and 7 not in (a, b))
+    means = V.sent_means(df.toDF("src", "dst", "weight"), points)
+    got = {r.dst: np.array(r["mean"]) for r in means.collect()}
+    sums = {}
+    for a, b, w in pairs:
+        if a < 90 and b < 90 and w > 0:
+            total, v = sums.get(b, (0.0, 0))
+            sums[b] = total + w, v + w * x[a]
+    assert got.keys() == sums.keys() and all(np.allclose(got[b], v / w) for b, (w, v) in sums.items())
+    dealt, _ = V.dealt_pairs(df, points, "a", "b", per_group=40)  # several groups
+    assert dealt.where("side = 2").count() == sum(a < 90 and b < 90 for a, b, _ in pairs) and dealt.select("ga", "gb").distinct().count() > 30
