@@ -164,8 +164,7 @@ def nearest_centroid(points: DataFrame, centers: DataFrame, group: str, least: f
 
 def message_pass(nodes: DataFrame, edges: DataFrame, alpha: float, beta: float, vector: str = "embedding", digits: int = 9) -> DataFrame:
     """nodes(node_id, vector), edges(src, dst, weight), weights of at least 0 → (node_id, vector): alpha own + beta * weighted mean of what points at it; own where nothing does."""
-    sent = edges.join(nodes.select(F.col("node_id").alias("src"), F.col(vector).alias("sent")), "src")
-    mean = vector_means(sent, ["dst"], "sent", weight="weight").select(F.col("dst").alias("node_id"), "mean")
+    mean = sent_means(edges, of_one_length(nodes, "node_id", vector)).withColumnRenamed("dst", "node_id")
     own = F.col(vector).cast("array<double>")
     moved = F.zip_with(own, "mean", lambda x, m: F.round(alpha * x + beta * m, digits))
     kept = F.transform(own, lambda x: F.round(x, digits))
