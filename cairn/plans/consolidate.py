@@ -30,7 +30,7 @@ Phase = Callable[[Space], Space]
 def hidden(s: Space) -> Space:
     """Base nodes are clustered by density."""
     base = s.nodes.where("layer = 0").select(F.col("node_id").alias("vec_id"), "embedding")
-    found = learn.dbscan(base, learn.near_pairs(base, s.least), 2)
+    found = learn.dbscan_near(base, s.least, 2)
     return replace(s, clusters=stored(found.where("cluster >= 0").toDF("node_id", "cluster")))
 
 
@@ -56,10 +56,9 @@ def emergence(s: Space) -> Space:
 
 def dynamic_edges(s: Space) -> Space:
     """Nodes of one layer that are near are analogous."""
-    points = s.nodes.select(F.col("node_id").alias("vec_id"), "embedding")
     nodes = s.nodes.select(F.col("node_id").alias("id"), "layer", "embedding")
     none = s.edges.where("false").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("strength"))
-    found = knowledge.dynamic_edges(nodes, learn.near_pairs(points, s.least), none, knowledge.Thresholds(analogous=s.least))
+    found = knowledge.dynamic_edges(nodes, learn.near_pairs(nodes, s.least, "id", same="layer"), none, knowledge.Thresholds(analogous=s.least))
     kinds = dict(s.edges.dtypes)
     fresh = found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "rel_type", F.lit(0.5).alias("weight"), F.lit(1).alias("evidence"), F.to_date(F.lit(s.as_of)).alias("last_used"))
     return replace(s, edges=s.edges.unionByName(fresh.select(*(F.col(c).cast(kinds[c]).alias(c) for c in s.edges.columns))))
