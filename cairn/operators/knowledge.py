@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intent import negation_differs
-from ..functions.scalars import cosine
 from .graph import activation, edge_attention
-from .learn import centroids
-from .vectors import knn_blocks
+from .learn import centroids, of_one_length
+from .vectors import knn_blocks, pair_cosines
 
 
 def contradiction_candidates(points: DataFrame, queries: DataFrame, texts: DataFrame, least: float = 0.8, most: int = 5) -> DataFrame:
@@ -111,16 +110,13 @@ class Thresholds:
 
 
 def dynamic_edges(nodes: DataFrame, near: DataFrame, together: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(a, b, rel_type). nodes(id, layer, embedding); near(a, b, sim): pairs of cosine t.analogous or more; together(a, b, strength): co-activation.
+    """(a, b, rel_type). nodes(id, layer, embedding), ids distinct; near(a, b, sim): pairs of nodes of one layer and of cosine t.analogous or more (near_pairs with same="layer"); together(a, b, strength): co-activation.
 
     ANALOGOUS_TO: near and on one layer. CONTRASTS_WITH: co-activated though their cosine is t.contrasts at most.
     COMPOSES_WITH: co-activation of t.composes or more.
     """
-    layer = nodes.select("id", "layer")
-    same = near.where(F.col("sim") >= t.analogous).join(layer.toDF("a", "la"), "a").join(layer.toDF("b", "lb"), "b").where("la = lb")
-    vector = nodes.select("id", "embedding")
-    met = together.join(vector.toDF("a", "va"), "a").join(vector.toDF("b", "vb"), "b")
-    apart = met.where(F.round(cosine(F.col("va"), F.col("vb")), 9) <= t.contrasts)
+    same = near.where(F.col("sim") >= t.analogous)
+    apart = pair_cosines(together, of_one_length(nodes, "id", "embedding")).where(F.round("sim", 9) <= t.contrasts)
     edge = lambda df, kind: df.select("a", "b", F.lit(kind).alias("rel_type"))
     return edge(same, "ANALOGOUS_TO").unionAll(edge(apart, "CONTRASTS_WITH")).unionAll(edge(together.where(F.col("strength") >= t.composes), "COMPOSES_WITH"))
 

@@ -210,7 +210,7 @@ def l21_dynamic_edges(spark, sf_dir):
     t = K.Thresholds(analogous=0.35, contrasts=-0.1, composes=0.9)
     e = load(spark, sf_dir, "embeddings")
     nodes = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("layer"), "embedding")
-    return K.dynamic_edges(nodes, L.near_pairs(e, t.analogous), together(spark, sf_dir), t)
+    return K.dynamic_edges(nodes, L.near_pairs(nodes, t.analogous, "id", same="layer"), together(spark, sf_dir), t)
 
 
 @query(f"""WITH t AS {TOGETHER_SQL}, l AS (SELECT a, b FROM t UNION SELECT b, a FROM t) SELECT a AS id, count(*) AS degree, count(DISTINCT p_brand) AS n_domains, count(*) >= 10 AS hub, count(DISTINCT p_brand) >= 3 AS bridge FROM l JOIN part ON p_partkey = b GROUP BY a""")
