@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, edge_decay, hebbian
 from ..sources.scratch import large, stored
-from .vectors import cross_pairs, density_links, kmeans, knn_blocks, pivot_pairs, sent_means, vector_means
+from .vectors import cross_pairs, density_links, kmeans, knn_below, knn_blocks, pivot_pairs, sent_means, vector_means, whole
 
 __all__ = ["kmeans", "knn_blocks", "vector_means"]
 
@@ -192,29 +192,40 @@ def claims(edges: DataFrame) -> DataFrame:
         left = stored(left.join(bar, "old", "left").where(F.col("bar").isNull() | (F.col("turn") <= F.col("bar"))).drop("bar"))
 
 
-def identity_matches(old: DataFrame, new: DataFrame, least: float, least_cosine: float | None = None, order: str = "cluster") -> DataFrame:
+def identity_matches(old: DataFrame, new: DataFrame, least: float, least_cosine: float | None = None, order: str = "cluster", k: int = 64) -> DataFrame:
     """old(cluster, members[, centroid]), new(cluster, members[, centroid]) → (new, old, score, by): the old cluster that each new one goes on from.
 
     The new ones claim in turn, by `order` and cluster: of the old that are still free the one with the highest Jaccard of
     members, of at least `least`, and if there is none the one with the highest cosine of centroids, of at least
-    `least_cosine`. Ties go to the smaller old id. `by` is members or centroid. Only clusters that share a member are compared
-    by members. Clusters are longs.
+    `least_cosine`, to nine digits. Ties go to the smaller old id. `by` is members or centroid. Only clusters that share a
+    member are compared by members; a member's new clusters travel to each of its old ones as a list and are counted there.
+    By centroid only new ones that get none by members search, k old at a time, among those that no earlier one holds: an
+    old never goes back to a later one, so that the others would refuse. Clusters are longs.
     """
-    size = lambda df, n: df.select(F.col("cluster").alias(n), F.size(F.array_distinct("members")).alias(f"size_{n}"))
-    x = old.select(F.col("cluster").alias("old"), F.explode(F.array_distinct("members")).alias("m"))
-    y = new.select(F.col("cluster").alias("new"), F.explode(F.array_distinct("members")).alias("m"))
-    hits = x.join(y, "m").groupBy("old", "new").agg(F.count("*").alias("h")).join(size(old, "old"), "old").join(size(new, "new"), "new")
+    x = old.select(F.col("cluster").alias("old"), F.explode(F.array_distinct("members")).alias("m"), F.size(F.array_distinct("members")).alias("size_old"))
+    y = new.select(F.col("cluster").alias("new"), F.explode(F.array_distinct("members")).alias("m")).groupBy("m").agg(F.collect_list("new").alias("news"))
+    rows = x.join(large(y), "m").select("old", "size_old", "news").repartition("old").select("old", "size_old", F.explode("news").alias("new"))
+    hits = rows.groupBy("old", "size_old", "new").agg(F.count("*").alias("h")).where(F.col("h") >= least * F.col("size_old") - 1e-9)
     score = F.col("h") / (F.col("size_old") + F.col("size_new") - F.col("h"))
-    pairs = hits.select("new", "old", score.alias("score"), F.lit("members").alias("by")).where(F.col("score") >= least)
+    sized = hits.join(large(new.select(F.col("cluster").alias("new"), F.size(F.array_distinct("members")).alias("size_new"))), "new")
+    pairs = stored(sized.select("new", "old", score.alias("score"), F.lit("members").alias("by")).where(F.col("score") >= least))
+    turns = stored(new.select(F.col("cluster").alias("new"), F.col(order).alias("o")).orderBy("o", "new").select("new", F.monotonically_increasing_id().alias("turn")))
+    ranked = lambda p: p.select("new", "old", F.struct(F.col("by") == "centroid", -F.col("score"), F.col("old")).alias("preference")).join(large(turns), "new")
+    claimed = stored(claims(ranked(pairs)))
     if least_cosine is not None:
-        side = lambda df: df.select(F.col("cluster").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
-        near = cross_pairs(side(old), side(new), least_cosine).select(F.col("q").alias("new"), F.col("node").alias("old"), F.col("sim").alias("score"), F.lit("centroid").alias("by"))
-        pairs = pairs.unionByName(near)
-    pairs = stored(pairs)
-    turns = new.select(F.col("cluster").alias("new"), F.struct(F.col(order), F.col("cluster").alias("c")).alias("turn"))
-    ranked = pairs.select("new", "old", F.struct(F.col("by") == "centroid", -F.col("score"), F.col("old")).alias("preference")).join(turns, "new")
-    claimed = claims(ranked).join(pairs, ["new", "old"])
-    return claimed.groupBy("new", "old").agg(F.max(F.struct(F.col("by") == "members", "score", "by")).alias("s")).select("new", "old", "s.score", "s.by")
+        side = lambda df: stored(whole(df.select(F.col("cluster").cast("long").alias("id"), "centroid"), "id", "centroid"))
+        points, queries = side(old), side(new).join(large(turns.toDF("id", "bar")), "id")
+        while True:
+            held = claimed.join(large(turns), "new").select(F.col("old").alias("id"), F.col("turn").alias("bar"))
+            barred = points.join(large(held), "id", "left").select("id", "v", F.coalesce("bar", F.lit(2**63 - 1)).alias("bar"))
+            left = queries.join(large(claimed.select(F.col("new").alias("id"))), "id", "left_anti")
+            near = stored(knn_below(stored(barred), stored(left), k, least_cosine).select(F.col("q").alias("new"), F.col("node").alias("old"), F.col("sim").alias("score"), F.lit("centroid").alias("by")))
+            if near.isEmpty():
+                break
+            pairs = stored(pairs.unionByName(near))
+            claimed = stored(claims(ranked(pairs)))
+    out = claimed.join(large(pairs), ["new", "old"])
+    return out.groupBy("new", "old").agg(F.max(F.struct(F.col("by") == "members", "score", "by")).alias("s")).select("new", "old", "s.score", "s.by")
 
 
 def split_oversized(members: DataFrame, group: str, most: int, order: str) -> DataFrame:

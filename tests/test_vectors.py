@@ -137,6 +137,17 @@ def test_identity_claims_equal_the_ordered_ones(spark, seed):
     assert L.identity_matches(frame(old).limit(0), frame(new), 0.15, 0.8).count() == 0
 
 
+def test_centroids_are_searched_a_few_at_a_time(spark, monkeypatch):
+    """All centroids are near: pairs of all clusters are not looked at, but two old ones at a time of those that none holds earlier."""
+    rng = np.random.default_rng(9)
+    old = {i: ({i}, (1 + 0.01 * rng.standard_normal(3)).tolist()) for i in range(12)}
+    new = {i: ({i if i % 2 else 100 + i}, (1 + 0.01 * rng.standard_normal(3)).tolist()) for i in range(12)}
+    frame = lambda d: spark.createDataFrame([(i, sorted(m), c) for i, (m, c) in d.items()], "cluster long, members array<long>, centroid array<double>")
+    monkeypatch.setattr(L, "cross_pairs", None)
+    got = {r.new: r.old for r in L.identity_matches(frame(old), frame(new), 0.5, 0.9, k=2).collect()}
+    assert got == claimed_in_order(old, new, 0.5, 0.9) and len(got) == 12
+
+
 # --- triangles
 
 
